@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extract, jaccard, lm, neardup, quality, toxicity
+from . import bpe, chat, extract, jaccard, lm, neardup, quality, toxicity
 from .session import table
 
 
@@ -19,6 +19,13 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.format_chats(turns))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -43,5 +50,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: The template's marks: see chat.py. A conversation is escaped where a text holds a mark.
+CHAT_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked as (select *, regexp_matches(text, '\[INST |\[/INST\]|<s>|<s escaped>|</s>') as clash,
+  replace(replace(replace(text, '\', '\b'), '[', '\o'), '<', '\l') as shown,
+  length(replace(replace(replace(replace(role, '\', '\b'), '[', '\o'), '<', '\l'), ']', '\c')) as role_chars from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  (case when bool_or(clash) then 11 + sum(length(shown)) else 3 + sum(length(text)) end + sum(role_chars + 18))::bigint as formatted_chars,
+  bool_or(clash) as escaped
+from marked group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": CHAT_SQL}
