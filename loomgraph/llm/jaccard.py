@@ -32,7 +32,7 @@ from .words import Words, chunks, mix, split
 
 WORDS, SIMILAR = 5, 75
 #: Bytes of text a block and a shard hold, shingles a block of a family holds, and sets under a leaf.
-BLOCK_BYTES, SHARD_BYTES, FAMILY_SHINGLES, LEAF = 8 << 20, 8 << 20, 1 << 18, 8
+BLOCK_BYTES, SHARD_BYTES, FAMILY_SHINGLES, LEAF = 8 << 20, 32 << 20, 1 << 18, 8
 _U = np.uint64
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
