@@ -39,6 +39,10 @@ class Pieces:
     longest: int
     end: float = 0.0
 
+    def __post_init__(self):
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[self.hashes >> np.uint64(44)] = True
+
     @staticmethod
     def read(path: str) -> Pieces:
         """From a sentencepiece model. Scores that are ranks (of merges) become probabilities by Zipf's law."""
@@ -64,8 +68,12 @@ class Pieces:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of the pieces of these hashes, -1 for none."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        likely = np.flatnonzero(self.filter[hashes >> np.uint64(44)])  # few spans are pieces
+        at = np.minimum(np.searchsorted(self.hashes, hashes[likely]), len(self.hashes) - 1)
+        out = np.full(len(hashes), -1)
+        same = self.hashes[at] == hashes[likely]
+        out[likely[same]] = at[same]
+        return out
 
     def _spans(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, int, dict[tuple[int, int], np.ndarray]]]:
         """Words of each length together: which, the length, and the piece of every span of theirs."""
@@ -82,20 +90,25 @@ class Pieces:
         """Natural log probability of each word; with weights, how often each piece is expected in them all."""
         out, expected = np.zeros(len(words)), np.zeros(len(self.log))
         for own, n, pieces in self._spans(words) if max(map(len, words), default=0) <= TOGETHER or len(words) == 1 else self._apart(words):
-            score = {ab: np.where(p >= 0, self.log[p], -np.inf) for ab, p in pieces.items()}
+            # only spans that are a piece in some word; of each what its words gain
+            score = {ab: np.where(p >= 0, self.log[p], -np.inf) for ab, p in pieces.items() if (p >= 0).any()}
+            ending, starting = {}, {}
+            for a, b in score:
+                ending.setdefault(b, []).append(a)
+                starting.setdefault(a, []).append(b)
             forward = [np.zeros(len(own))]
             for b in range(1, n + 1):
-                forward.append(np.logaddexp.reduce([forward[a] + score[a, b] for a in range(max(0, b - self.longest), b)]))
+                forward.append(_log_sum([forward[a] + score[a, b] for a in ending[b]]))
             out[own] = forward[n]
             if weights is None:
                 continue
             backward = {n: np.zeros(len(own))}
             for a in range(n - 1, -1, -1):
-                backward[a] = np.logaddexp.reduce([backward[b] + score[a, b] for b in range(a + 1, min(n, a + self.longest) + 1)])
-            for (a, b), p in pieces.items():
-                hit = p >= 0
-                share = np.exp(forward[a] + score[a, b] + backward[b] - forward[n]) * weights[own]
-                expected += np.bincount(p[hit], share[hit], len(expected))
+                backward[a] = _log_sum([backward[b] + score[a, b] for b in starting[a]])
+            for (a, b), gain in score.items():
+                hit = np.flatnonzero(pieces[a, b] >= 0)
+                share = np.exp(forward[a][hit] + gain[hit] + backward[b][hit] - forward[n][hit]) * weights[own[hit]]
+                np.add.at(expected, pieces[a, b][hit], share)
         return out, expected
 
     def _apart(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, int, dict[tuple[int, int], np.ndarray]]]:
@@ -108,6 +121,12 @@ class Pieces:
                     yield np.array([i]), n, pieces
 
 
+def _log_sum(rows: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exponentials; every byte is a piece, so the greatest is finite."""
+    greatest = rows[0] if len(rows) == 1 else np.maximum.reduce(rows)
+    return greatest if len(rows) == 1 else greatest + np.log(sum(np.exp(r - greatest) for r in rows))
+
+
 def _train(ids: F.Column) -> F.Column:
     return F.coalesce(F.crc32(ids.cast("string")) % 10 != 0, F.lit(True))
 
