@@ -12,6 +12,7 @@ from ..operators.filters import forced_visible
 from ..operators.groups import path_groups, territories
 from ..operators.traverse import focus_set
 from ..sources.schema import KINDS, band_for
+from ..sources.session import checkpoint
 
 
 @dataclass
@@ -66,17 +67,17 @@ def project(
     A search shows every match, and takes away all groups that a match lies in.
     """
     band = band_for(zoom)
-    groups = path_groups(nodes, band.depth)
+    groups = checkpoint(path_groups(nodes, band.depth))  # all that follows reads it several times
     members = groups.select(F.explode("members").alias("id"), F.col("id").alias("group"), "kind")
-    closest = members.groupBy("id").agg(F.max_by("group", F.when(F.col("kind") == "file", 1).otherwise(0)).alias("group"))
+    closest = checkpoint(members.groupBy("id").agg(F.max_by("group", F.when(F.col("kind") == "file", 1).otherwise(0)).alias("group")))
     shown = groups.where(F.when(F.col("kind") == "dir", F.lit(band.dirs)).otherwise(F.lit(band.files)))
-    chains = group_chains(groups)
+    chains = checkpoint(group_chains(groups))
 
     wanted = nodes.where(F.col("kind").isin(*filters) | (F.col("kind") == "decision"))
     if focus:
         wanted = wanted.join(focus_set(edges, *focus), "id", "left_semi")
     matches = wanted.where(forced_visible(search)) if search else wanted.where(F.lit(False))
-    before = _folded(closest, chains, shown)
+    before = checkpoint(_folded(closest, chains, shown))
     bare = wanted.join(before, "id", "left_anti") if band.dirs or band.files else wanted
     own = bare.where(F.col("kind").isin(*band.kinds) & (F.lit(band.leaf_files) | (F.col("kind") != "file")))
     leaves = wanted.where("kind = 'decision'").unionByName(own.where("kind <> 'decision'"))
@@ -86,11 +87,12 @@ def project(
         taken = matches.select("id").join(closest, "id").join(chains.withColumnRenamed("id", "group"), "group").select(F.col("above").alias("id"))
         shown = shown.join(taken, "id", "left_anti")
         folded = _folded(closest, chains, shown)
+    leaves = checkpoint(leaves.select("id", "kind", "name"))
     folded = folded.join(leaves.select("id"), "id", "left_anti")
 
     label = F.when(F.col("kind") == "dir", F.concat(F.substring_index("path", "/", -1), F.lit("/"))).otherwise(base_name("path"))
     none = F.lit(None)
-    visible = leaves.select("id", "kind", "name", none.cast("string").alias("group_kind"), none.cast("int").alias("member_count"))
+    visible = leaves.select("*", none.cast("string").alias("group_kind"), none.cast("int").alias("member_count"))
     visible = visible.unionByName(shown.select("id", F.lit("group").alias("kind"), label.alias("name"), F.col("kind").alias("group_kind"), "member_count"))
     representative = leaves.select("id", F.col("id").alias("rep")).unionByName(folded.select("id", F.col("above").alias("rep")))
     held = territories(nodes, edges)
