@@ -70,7 +70,7 @@ def _hits(postings: DataFrame, part: tuple) -> DataFrame:
     last = F.startswith("term", F.lit(words[-1])) if star else F.col("term") == words[-1]
     if len(words) == 1:
         return own.where(last).groupBy("node_id").agg(F.sum("tf").alias("tf"))
-    placed = [own.where(last if k == len(words) - 1 else F.col("term") == w).select("node_id", "column", F.explode(F.transform("at", lambda p, k=k: p - k)).alias("from")) for k, w in enumerate(words)]
+    placed = [own.where(last if k == len(words) - 1 else F.col("term") == w).select("node_id", "column", F.explode(F.expr(f"transform(at, p -> p - {k})")).alias("from")) for k, w in enumerate(words)]
     return reduce(lambda a, b: a.join(b, ["node_id", "column", "from"]), placed).groupBy("node_id").agg(F.count("*").alias("tf"))
 
 
