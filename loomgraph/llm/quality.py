@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import windows
-from .session import checkpoint
+from .session import bucket, checkpoint
 from .words import byte_sums, chunks, mix, span, split
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Concentration steps, and the chi-square tail beyond which a text is an outlier.
 STEPS, TAIL = 4, 1e-9
+#: Into how many the rows of a language and source are dealt for joins.
+SALTS = 32
 #: Of each statistic the spread that is taken at least: many clean texts have none of some.
 SPREADS = {"v_chars": 0.08, "v_symbols": 0.06, "v_lines": 0.12, "v_repeats": 0.12}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -119,6 +121,11 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").agg(F.count("*").alias("n"), sums.alias("sums"), F.array(*(F.sum(F.col(a) * F.col(b)) for a in names for b in names)).alias("products"))
 
 
+def _with(rows: DataFrame, parts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with what each part has. One part may hold most rows, so they are dealt out by a salt too."""
+    return rows.join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["part", "salt"], how)
+
+
 def _estimates(rows: DataFrame) -> DataFrame:
     """(part, centre, inverse) of every part by concentration steps from the medians."""
     d = len(SPREADS)
@@ -128,9 +135,9 @@ def _estimates(rows: DataFrame) -> DataFrame:
     plain = np.diag(1 / np.array(list(SPREADS.values())) ** 2).ravel().tolist()
     now = checkpoint(start.withColumn("inverse", F.array(*map(F.lit, plain))))
     for _ in range(STEPS):
-        away = rows.join(now, "part").withColumn("away", _distance()).select("part", "away", *SPREADS)
+        away = _with(rows, now).withColumn("away", _distance()).select("part", "salt", "away", *SPREADS)
         near = away.groupBy("part").agg(F.percentile_approx("away", 0.5, 1000).alias("limit"))
-        now = checkpoint(_inverted(_moments(away.join(near, "part").where("away <= limit")), factor))
+        now = checkpoint(_inverted(_moments(_with(away, near).where("away <= limit")), factor))
     return now
 
 
@@ -147,8 +154,8 @@ def quality(docs: DataFrame) -> DataFrame:
     made = made.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     made = made.withColumn("v_chars", F.log(F.greatest("word_chars", F.lit(1)) / words)).withColumn("v_symbols", F.sqrt(F.col("n_symbols") / words))
     made = made.withColumn("v_lines", F.col("n_dup_lines") / F.greatest(F.lit(5), words / 10)).withColumn("v_repeats", F.col("n_repeat_words") / words)
-    made = checkpoint(made.withColumn("part", F.to_json(F.struct("lang", "source"))).drop("lang", "source"))
-    good = made.where("not base_failed").select("part", *SPREADS)
-    judged = made.join(_estimates(good), "part", "left").withColumn("away", _distance())
+    made = checkpoint(made.withColumn("part", F.to_json(F.struct("lang", "source"))).withColumn("salt", F.pmod(bucket("doc_id", *COUNTS), F.lit(SALTS)).cast("int")).drop("lang", "source"))
+    good = made.where("not base_failed").select("part", "salt", *SPREADS)
+    judged = _with(made, _estimates(good), "left").withColumn("away", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("away", F.lit(0.0)) <= chi_square_at(1 - TAIL, len(SPREADS) // 2))
     return judged.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), F.sqrt("away").alias("distance"))
