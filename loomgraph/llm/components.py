@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .session import checkpoint
 
 
+def _looked_up(rows: DataFrame, key: str, up: DataFrame) -> DataFrame:
+    """rows with found, what up has for the key.
+
+    Many rows share a key where it is the hub of a large component. The join goes by the key's
+    complement, so that both sides are shuffled for it and the skewed partition can be split, whatever
+    partitioning up comes with.
+    """
+    table = up.select(F.bitwise_not("id").alias("complement"), F.col("up").alias("found"))
+    return rows.withColumn("complement", F.bitwise_not(key)).join(table, "complement", "left").drop("complement")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) for every id on an edge; root is the smallest id reachable.
 
@@ -22,18 +33,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("up"))
         for _ in range(2):
-            top = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            up = up.join(top, "up", "left").select("id", F.coalesce("top", "up").alias("up"))
+            up = _looked_up(up, "up", up).select("id", F.coalesce("found", "up").alias("up"))
         up = checkpoint(up)
         if root is None:
             root = up.select("id", F.col("up").alias("root"))
         else:
-            step = up.select(F.col("id").alias("root"), F.col("up").alias("top"))
-            root = root.join(step, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+            root = _looked_up(root, "root", up).select("id", F.coalesce("found", "root").alias("root"))
         root = checkpoint(root)
-        left = up.select(F.col("id").alias("a"), F.col("up").alias("x"))
-        right = up.select(F.col("id").alias("b"), F.col("up").alias("y"))
-        moved = pairs.join(left, "a").join(right, "b").where("x <> y")
+        moved = _looked_up(_looked_up(pairs, "a", up).withColumnRenamed("found", "x"), "b", up).withColumnRenamed("found", "y").where("x <> y")
         pairs = checkpoint(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if root is None:
         return pairs.select(F.col("a").alias("id"), F.col("b").alias("root"))
