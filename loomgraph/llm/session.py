@@ -1,23 +1,13 @@
-"""Session helpers shared by the operators: checkpoints in the cluster's shared folder, input size."""
+"""What the operators share: checkpoints, tables, input size and bucket hashes."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.session import checkpoint
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is
-    unset (a local test) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+__all__ = ["bucket", "checkpoint", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
