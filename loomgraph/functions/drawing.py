@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.session import ship
+
 #: World size, least and most pixels by kind; the same of strokes by relation; charges and links.
 SIZES = {
     "decision": (10, 14, 22), "file": (5, 7, 12), "component": (4.5, 6, 11), "reference": (3, 5, 9), "function": (2.5, 5, 8), "path": (2.5, 5, 8),
@@ -96,6 +98,7 @@ def convex_hulls(points: DataFrame, group: str) -> DataFrame:
 
     Only the lowest and highest point of each x can be corners, so those alone are gathered.
     """
+    ship(points.sparkSession)
     ends = points.groupBy(group, "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
     schema = f"{group} {dict(points.dtypes)[group]}, x double, y double, position int"
 

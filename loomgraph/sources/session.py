@@ -1,10 +1,26 @@
-"""Checkpoints in the folder that the cluster shares."""
+"""Checkpoints in the folder that the cluster shares, and the package on the executors."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver has it from: once a context, as a small archive."""
+    context = spark.sparkContext
+    if getattr(context, "_loomgraph_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "loomgraph.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._loomgraph_shipped = True
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
