@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .session import ship
 from .words import span, byte_sums, chunks
 
 #: Pieces and pairs of tokens that a worker keeps at most; more only costs making some anew.
@@ -290,6 +291,7 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, ids: bool = False
     is shuffled. The rank file is sent to the executors: its size is the vocabulary's, whatever the input.
     """
     spark = docs.sparkSession
+    ship(spark)
     with open(path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import ship
+
 #: Elements that end a block, that have no end tag, and whose content is no text.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
@@ -215,6 +217,8 @@ def extract(pages: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame
     read to their end. Null ids and urls stay null; repeated rows each give a row; other columns are ignored.
     """
 
+    ship(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = learnt(labelled)
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import bucket, checkpoint, text_bytes
+from .session import bucket, checkpoint, ship, text_bytes
 from .words import Words, chunks, mix, split
 
 WORDS, SIMILAR = 5, 75
@@ -345,6 +345,7 @@ def jaccard(docs: DataFrame) -> DataFrame:
     its set's other rows, null if there are none, and links no others. Repeated rows each give a row. Other columns
     are ignored.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     shards = 1 << max(0, (text_bytes(docs) // SHARD_BYTES).bit_length())
     described = checkpoint(describe(docs))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpoint
+from .session import checkpoint, ship
 from .words import Words, byte_sums, chunks, span, split
 
 HEAD, ROUNDS, LEAN = 1 << 17, 2, 1000.0
@@ -184,6 +184,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("train", _train(F.col("doc_id")))
     spark = docs.sparkSession
+    ship(spark)
     counted = checkpoint(word_table(docs))
     ends = docs.where("train").count()
     sums = counted.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()

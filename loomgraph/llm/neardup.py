@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import bucket, checkpoint
+from .session import bucket, checkpoint, ship
 
 COSINE, PASSES, BITS, WINDOW, SEED = 0.93, 16, 62, 48, 7
 #: Vectors in a block of a component.
@@ -160,6 +160,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     links with nothing and is kept. Rows that repeat a vec_id stand for one vector, the least of
     theirs, and each get its figures. Other columns are ignored.
     """
+    ship(vectors.sparkSession)
     least = _valid(vectors).groupBy("vec_id").agg(F.min(F.struct("part", "vector")).alias("x"))
     valid = checkpoint(least.select("vec_id", "x.part", "x.vector"))
     spark = vectors.sparkSession

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import windows
-from .session import bucket, checkpoint
+from .session import bucket, checkpoint, ship
 from .words import byte_sums, chunks, mix, span, split
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -74,6 +74,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 own = [batch.column(i).slice(at, to - at) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(own + [pa.array(c.astype(np.int64)) for c in _counts(data, bounds)], ["doc_id", "lang", "source", *COUNTS])
 
+    ship(docs.sparkSession)
     columns = (F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     return docs.select(*columns, "text").mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bucket, checkpoint
+from .session import bucket, checkpoint, ship
 from .words import chunks, split
 
 #: Most examples of each label that the index holds, most terms, least G of a term, and starts of words in bytes.
@@ -99,6 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     one is kept. Rows with a null id or label are left out. What reaches the driver is bounded by
     EXAMPLES and TERMS.
     """
+    ship(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     usable = usable.where(training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
