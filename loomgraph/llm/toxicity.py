@@ -10,6 +10,7 @@ weighted by their cosine and by how many labelled rows each stands for.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 from .session import bucket, checkpoint, ship
 from .words import chunks, split
 
-#: Most examples of each label that the index holds, most terms, least G of a term, and starts of words in bytes.
-EXAMPLES, TERMS, LEAST_G, STARTS = 3000, 256, 16.0, (4, 5, 6)
+#: Most examples of each label that the index holds, most terms, margin of a term's G over twice the log of
+#: their number, how many times as frequent it must be with one label, and starts of words in bytes.
+EXAMPLES, TERMS, MARGIN_G, RATIO, STARTS = 3000, 256, 2.0, 5.0, (4, 5, 6)
 #: Examples in a block, voters, weight of the prior against a voter of cosine 1, and the score that predicts 1.
 BLOCK, NEAREST, PRIOR, TOXIC = 64, 15, 0.3, 0.7
+#: Smallest hashes of terms that examples must have in common to count as copies.
+SKETCH = 8
 _U = np.uint64
 
 
@@ -95,8 +99,8 @@ def training(ids) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     """Pick terms and build the index from at most EXAMPLES training rows of each label.
 
-    The examples are those of the smallest hash of doc_id, so any run takes the same; of equal texts
-    one is kept. Rows with a null id or label are left out. What reaches the driver is bounded by
+    The examples are those of the smallest hash of doc_id, so any run takes the same; of texts of one
+    sketch (their smallest hashes of terms) one is kept. Rows with a null id or label are left out. What reaches the driver is bounded by
     EXAMPLES and TERMS.
     """
     ship(docs.sparkSession)
@@ -120,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
     found = found.mapInArrow(run, "doc_id long, toxic int, terms array<long>, tf array<long>")
-    found = checkpoint(found.groupBy(F.xxhash64("terms", "tf").alias("same")).agg(F.min_by(F.struct("doc_id", "toxic", "terms", "tf"), "doc_id").alias("x")).select("x.*"))
+    # copies and near copies of one example would make signs of its chance words
+    sketch = F.slice(F.array_sort(F.transform("terms", lambda t: F.xxhash64(t))), 1, SKETCH)
+    found = checkpoint(found.groupBy(sketch.alias("same")).agg(F.min_by(F.struct("doc_id", "toxic", "terms", "tf"), "doc_id").alias("x")).select("x.*"))
     n = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     each = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
@@ -129,7 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     for c, of in cells:
         for seen, expected in ((F.col(c), (F.col("a") + F.col("b")) * of / total), (of - F.col(c), (total - F.col("a") - F.col("b")) * of / total)):
             g = g + F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
-    top = each.where("a + b >= 3").withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(TERMS).collect()
+    # far enough out that of so many terms none is expected to get there by chance
+    least = 2 * math.log(1 + each.count()) + MARGIN_G
+    # and a common trait of, say, one language is no sign: a term must be several times as frequent with one label
+    one, other = (F.col("a") + 0.5) * max(1, n0), (F.col("b") + 0.5) * max(1, n1)
+    told = (one >= RATIO * other) | (other >= RATIO * one)
+    top = each.where("a + b >= 3").where(told).withColumn("g", g).where(F.col("g") >= least).orderBy(F.desc("g"), "term").limit(TERMS).collect()
     terms = np.array(sorted(r.term for r in top), np.int64)
     by_term = {r.term: r.a + r.b for r in top}
     idf = np.log(1 + total / np.array([by_term[t] for t in terms.tolist()], float)) if len(terms) else np.zeros(0)
