@@ -1,32 +1,36 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are words and the starts of words; a G-test over the examples picks those that tell the labels
-apart, at most ``TERMS``. The examples' unit vectors stand in an inverted index in blocks of examples;
-each term has its largest weight in each block, which bounds every cosine in the block, and a search
-visits blocks from the highest bound down until the rest cannot enter the nearest. The nearest vote,
-weighted by their cosine and by how many labelled rows each stands for.
+Terms are words and the starts of words, all of them. The examples' unit vectors stand in an inverted
+index in blocks of examples; each common term has its largest weight in each block, which with the
+exact sums of the others bounds every cosine in the block, and a search leaves out the blocks whose
+bound cannot enter the nearest. The nearest vote, weighted by their cosine, by how far the terms in
+common tell the labels apart (a G-test over the examples) and by how many labelled rows each stands for.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import bucket, checkpoint, ship
 from .words import chunks, split
 
-#: Most examples of each label that the index holds, most terms, margin of a term's G over twice the log of
-#: their number, how many times as frequent it must be with one label, and starts of words in bytes.
-EXAMPLES, TERMS, MARGIN_G, RATIO, STARTS = 3000, 256, 2.0, 5.0, (4, 5, 6)
+#: Most examples of each label that the index holds, margin of a telling term's G over twice the log of the
+#: number of terms, how many times as frequent it must be with one label, and starts of words in bytes.
+EXAMPLES, MARGIN_G, RATIO, STARTS = 3000, 2.0, 5.0, (4, 5, 6)
 #: Examples in a block, voters, weight of the prior against a voter of cosine 1, and the score that predicts 1.
 BLOCK, NEAREST, PRIOR, TOXIC = 64, 15, 0.3, 0.7
+#: Texts searched at a time, and the share of the examples from which a term is a common one.
+TEXTS, COMMON = 64, 1 / 16
 #: Smallest hashes of terms that examples must have in common to count as copies.
 SKETCH = 8
 _U = np.uint64
@@ -43,52 +47,159 @@ def _terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(texts), np.concatenate(terms).view(np.int64)
 
 
+class Postings(NamedTuple):
+    """Where each term's entries start, and of each entry the example and the weight."""
+
+    start: np.ndarray
+    who: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(dense: np.ndarray) -> Postings:
+        at, who = np.nonzero(dense)
+        return Postings(np.searchsorted(at, np.arange(len(dense) + 1)), who, dense[at, who])
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and how many each has."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size), size
+
+
 @dataclass
 class Index:
-    """Examples as unit vectors, by term and block of examples."""
+    """Examples as unit vectors, by term and block of examples. Signs are the G of the terms that tell the labels apart, else 0."""
 
     terms: np.ndarray
     idf: np.ndarray
-    weights: np.ndarray
+    weights: Postings | np.ndarray
     toxic: np.ndarray
     stands: np.ndarray
     ids: list[int]
     prior: float
     without: float
+    signs: np.ndarray | None = None
+    unseen: float = 0.0
 
     def __post_init__(self):
-        blocks = -(-max(1, self.weights.shape[1]) // BLOCK)
-        padded = np.zeros((len(self.terms), blocks * BLOCK))
-        padded[:, : self.weights.shape[1]] = self.weights
-        self.highest = padded.reshape(len(self.terms), blocks, BLOCK).max(2) if len(self.terms) else np.zeros((0, blocks))
+        if not isinstance(self.weights, Postings):
+            self.weights = Postings.of(self.weights)
 
-    def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    @cached_property
+    def blocks(self) -> int:
+        return -(-max(1, len(self.ids)) // BLOCK)
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each term its row or -1, the common terms' weights by example and their largest by block."""
+        start, who, weight = self.weights
+        size = np.diff(start)
+        row = np.where(size > COMMON * len(self.ids), 0, -1)
+        which = np.flatnonzero(row == 0)
+        row[which] = np.arange(len(which))
+        dense = np.zeros((len(which), self.blocks * BLOCK))
+        at, times = _ranges(start[which], start[which + 1])
+        dense[np.repeat(np.arange(len(which)), times), who[at]] = weight[at]
+        return row, dense, dense.reshape(len(which), self.blocks, BLOCK).max(2)
+
+    @cached_property
+    def telling(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each term its number among the telling or -1, where each example's telling terms start, those, and weight times G."""
+        number = np.full(len(self.terms), -1)
+        if self.signs is not None:
+            number[self.signs > 0] = np.arange(np.count_nonzero(self.signs > 0))
+        which = np.flatnonzero(number >= 0)
+        at, times = _ranges(self.weights.start[which], self.weights.start[which + 1])
+        term = np.repeat(which, times)
+        order = np.argsort(self.weights.who[at], kind="stable")
+        at, term = at[order], term[order]
+        signs = self.signs[term] if len(term) else np.zeros(0)
+        return number, np.searchsorted(self.weights.who[at], np.arange(len(self.ids) + 1)), number[term], self.weights.weight[at] * signs
+
+    @cached_property
+    def places(self) -> tuple[np.ndarray, np.uint64, int]:
+        """Where the terms of each leading bits start, how far those are shifted, and the most terms of one."""
+        shift = _U(63 - max(1, len(self.terms)).bit_length())
+        start = np.searchsorted(self._lead(self.terms, shift), np.arange((1 << (64 - int(shift))) + 1, dtype=np.uint64))
+        return start, shift, int(np.diff(start).max())
+
+    @staticmethod
+    def _lead(terms: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return (terms.view(np.uint64) ^ _U(1 << 63)) >> shift
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term, or -1."""
+        start, shift, most = self.places
+        found, first = np.full(len(terms), -1), start[self._lead(terms, shift)]
+        for k in range(most):
+            at = np.minimum(first + k, len(self.terms) - 1)
+            found = np.where(self.terms[at] == terms, at, found)
+        return found
+
+    def vectors(self, text: np.ndarray, at: np.ndarray, tf: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """TF-IDF of each term over the norm of its whole text, of which others are the squares of the terms in no example."""
         w = (1 + np.log(tf)) * self.idf[at]
-        return w / np.sqrt(w @ w)
+        return w / np.sqrt(np.bincount(text, w * w, len(others)) + others)[text]
+
+    def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        return self.vectors(np.zeros(len(at), int), at, tf, np.zeros(1))
+
+    def search(self, text: np.ndarray, at: np.ndarray, vector: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of the highest cosines above 0 of each text, from the highest; of equal ones the earlier example."""
+        row, dense, highest = self.common
+        width, many = self.blocks * BLOCK, row[at] >= 0
+        q = np.zeros((n, len(dense)))
+        q[text[many], row[at[many]]] = vector[many]
+        entry, times = _ranges(self.weights.start[at[~many]], self.weights.start[at[~many] + 1])
+        rest = np.bincount(np.repeat(text[~many] * width, times) + self.weights.who[entry], np.repeat(vector[~many], times) * self.weights.weight[entry], n * width).reshape(n, width)
+        bounds = q @ highest + rest.reshape(n, self.blocks, BLOCK).max(2)
+        cosine = np.zeros((n, width))
+
+        def visit(wanted: np.ndarray) -> np.ndarray:
+            for b in np.flatnonzero(wanted.any(0)):
+                texts, own = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                cosine[texts, own] = q[texts] @ dense[:, own] + rest[texts, own]
+            return np.partition(cosine, width - NEAREST, axis=1)[:, width - NEAREST]
+
+        first = np.arange(self.blocks) == bounds.argmax(1)[:, None]
+        least = visit(first)
+        least = visit(~first & (bounds > 0) & (bounds >= least[:, None] - 1e-11))
+        # rounded, lest the order of equal ones hang on what else is searched
+        which, example = np.nonzero((cosine >= least[:, None] - 1e-11) & (cosine > 0))
+        found = np.round(cosine[which, example], 12)
+        order = np.lexsort((example, -found, which))
+        which, example, found = which[order], example[order], found[order]
+        kept = np.arange(len(which)) - np.searchsorted(which, which) < NEAREST
+        return which[kept], example[kept], found[kept]
 
     def nearest(self, at: np.ndarray, vector: np.ndarray) -> list[tuple[float, int]]:
-        """The highest cosines above 0 and whose they are; of equal ones the earlier example."""
-        bounds = vector @ self.highest[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == NEAREST and bounds[b] < best[0][0] - 1e-12:
-                break
-            cosine = vector @ self.weights[at, b * BLOCK : (b + 1) * BLOCK]
-            for i in np.flatnonzero(cosine > (best[0][0] - 1e-12 if len(best) == NEAREST else 0)):
-                item = (float(cosine[i]), -(int(b) * BLOCK + int(i)))
-                if len(best) < NEAREST:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(c, -i) for c, i in sorted(best, reverse=True)]
-
-    def score(self, at: np.ndarray, tf: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        if not len(at):
-            return self.without, []
-        found = self.nearest(at, self.vector(at, tf))
-        which = np.array([i for _, i in found], int)
-        votes = np.array([c for c, _ in found]) * self.stands[which] / self.stands.mean() if found else np.zeros(0)
-        return float((votes @ self.toxic[which] + PRIOR * self.prior) / (votes.sum() + PRIOR)), found
+        """The nearest of one text."""
+        _, example, cosine = self.search(np.zeros(len(at), int), at, vector, 1)
+        return list(zip(cosine.tolist(), example.tolist(), strict=True))
+
+    def score(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """Score and the nearest examples' ids of each text."""
+        n = len(bounds) - 1
+        text, term = _terms(data, bounds)
+        at = self.find(term) if len(self.terms) else np.full(len(term), -1)
+        hit, every = at >= 0, max(1, len(self.terms))
+        pairs, tf = np.unique(text[hit] * every + at[hit], return_counts=True)
+        alone, times = np.unique((text[~hit].astype(np.uint64) << _U(48)) | (term[~hit].view(np.uint64) >> _U(16)), return_counts=True)
+        others = np.bincount((alone >> _U(48)).astype(int), ((1 + np.log(times)) * self.unseen) ** 2, n)
+        which, at = pairs // every, pairs % every
+        vector = self.vectors(which, at, tf, others)
+        near, example, cosine = self.search(which, at, vector, n)
+        number, start, told, weight = self.telling
+        own = number[at] >= 0
+        signed = np.zeros((n, max(1, number.max(initial=-1) + 1)))
+        signed[which[own], number[at[own]]] = vector[own]
+        entry, times = _ranges(start[example], start[example + 1])
+        telling = np.bincount(np.repeat(np.arange(len(near)), times), signed[np.repeat(near, times), told[entry]] * weight[entry], len(near))
+        votes = cosine * (1 + telling / cosine) ** 2 * self.stands[example] / (self.stands.mean() if len(self.stands) else 1)
+        scores = (np.bincount(near, votes * self.toxic[example], n) + PRIOR * self.prior) / (np.bincount(near, votes, n) + PRIOR)
+        scores[np.bincount(text, minlength=n) == 0] = self.without
+        cut = np.searchsorted(near, np.arange(n + 1))
+        return scores, [[self.ids[i] for i in example[a : min(b, a + 3)]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def training(ids) -> F.Column:
@@ -97,11 +208,12 @@ def training(ids) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """Pick terms and build the index from at most EXAMPLES training rows of each label.
+    """Build the index from at most EXAMPLES training rows of each label, and find the terms that tell the labels apart.
 
     The examples are those of the smallest hash of doc_id, so any run takes the same; of texts of one
-    sketch (their smallest hashes of terms) one is kept. Rows with a null id or label are left out. What reaches the driver is bounded by
-    EXAMPLES and TERMS.
+    sketch (their smallest hashes of terms) one is kept. Rows with a null id or label are left out. The share of documents with a term is
+    taken from the examples, each for as many labelled rows as it stands for; a term in none counts as in
+    one row. What reaches the driver is bounded by EXAMPLES and the lengths of those texts.
     """
     ship(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -127,43 +239,50 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     # copies and near copies of one example would make signs of its chance words
     sketch = F.slice(F.array_sort(F.transform("terms", lambda t: F.xxhash64(t))), 1, SKETCH)
     found = checkpoint(found.groupBy(sketch.alias("same")).agg(F.min_by(F.struct("doc_id", "toxic", "terms", "tf"), "doc_id").alias("x")).select("x.*"))
-    n = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    each = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    cells = [("a", n1), ("b", n0)]
-    g, total = F.lit(0.0), max(1, n0 + n1)
-    for c, of in cells:
-        for seen, expected in ((F.col(c), (F.col("a") + F.col("b")) * of / total), (of - F.col(c), (total - F.col("a") - F.col("b")) * of / total)):
-            g = g + F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+    rows = found.toArrow()
+    toxic, ids = rows["toxic"].to_numpy().astype(float), rows["doc_id"].to_numpy()
+    each, term, tf = (pc.list_value_length(rows["terms"]).to_numpy().astype(int), *(pc.list_flatten(rows[c]).to_numpy() for c in ("terms", "tf")))
+    terms, at = np.unique(term, return_inverse=True)
+    at, who, tf = at.astype(np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), each), tf.astype(np.int32)
+    del rows, term
+    n1 = int(toxic.sum())
+    n0 = len(ids) - n1
+    a, seen = np.bincount(at, toxic[who], len(terms)), np.bincount(at, minlength=len(terms))
+    g, total = np.zeros(len(terms)), max(1, n0 + n1)
+    for c, of in ((a, n1), (seen - a, n0)):
+        for had, expected in ((c, seen * of / total), (of - c, (total - seen) * of / total)):
+            g += np.where(had > 0, 2 * had * np.log(np.maximum(had, 1) / np.where(had > 0, expected, 1)), 0.0)
     # far enough out that of so many terms none is expected to get there by chance
-    least = 2 * math.log(1 + each.count()) + MARGIN_G
+    least = 2 * math.log(1 + len(terms)) + MARGIN_G
     # and a common trait of, say, one language is no sign: a term must be several times as frequent with one label
-    one, other = (F.col("a") + 0.5) * max(1, n0), (F.col("b") + 0.5) * max(1, n1)
-    told = (one >= RATIO * other) | (other >= RATIO * one)
-    top = each.where("a + b >= 3").where(told).withColumn("g", g).where(F.col("g") >= least).orderBy(F.desc("g"), "term").limit(TERMS).collect()
-    terms = np.array(sorted(r.term for r in top), np.int64)
-    by_term = {r.term: r.a + r.b for r in top}
-    idf = np.log(1 + total / np.array([by_term[t] for t in terms.tolist()], float)) if len(terms) else np.zeros(0)
-    keep = F.expr("filter(arrays_zip(terms, tf), x -> array_contains(picked, x.terms))")
-    rows = found.withColumn("picked", F.array(*map(F.lit, terms.tolist())).cast("array<long>")).select("doc_id", "toxic", keep.alias("x")).collect()
-    rows.sort(key=lambda r: (sorted(x.terms for x in r.x), r.doc_id))
-    weights = np.zeros((len(terms), len(rows)))
-    index = Index(terms, idf, weights, np.array([r.toxic for r in rows], float), np.array([counts[r.toxic] / n[r.toxic] for r in rows]), [r.doc_id for r in rows], 0.0, 0.0)
-    for i, r in enumerate(rows):
-        if r.x:
-            at = np.searchsorted(terms, [x.terms for x in r.x])
-            weights[at, i] = index.vector(at, np.array([x.tf for x in r.x], float))
-    index.__post_init__()
-    index.prior = float(index.stands @ index.toxic / index.stands.sum()) if rows else 0.5
-    bare = weights.sum(0) == 0
-    index.without = float((index.stands[bare] @ index.toxic[bare] + index.prior) / (index.stands[bare].sum() + 1))
+    one, other = (a + 0.5) * max(1, n0), (seen - a + 0.5) * max(1, n1)
+    told = ((one >= RATIO * other) | (other >= RATIO * one)) & (seen >= 3) & (g >= least)
+    n = {0: n0, 1: n1}
+    stands = np.array([counts[int(y)] / n[int(y)] for y in toxic])
+    idf = np.log(1 + stands.sum() / np.maximum(1, np.bincount(at, stands[who], len(terms))))
+    # examples that begin alike in their common terms stand in one block, which makes its bounds tight
+    common = seen[at] > COMMON * len(ids)
+    cut = np.searchsorted(who[common], np.arange(len(ids) + 1))
+    own = at[common]
+    order = sorted(range(len(ids)), key=lambda i: (np.sort(own[cut[i] : cut[i + 1]]).astype(">i4").tobytes(), ids[i]))
+    del common, own
+    place = np.empty(len(ids), np.int32)
+    place[order] = np.arange(len(ids))
+    toxic, stands, ids, who = toxic[order], stands[order], ids[order], place[who]
+    index = Index(terms, idf, Postings(np.zeros(len(terms) + 1, int), np.zeros(0, int), np.zeros(0)), toxic, stands, ids.tolist(), 0.0, 0.0, np.where(told, g, 0.0), math.log(1 + stands.sum()))
+    weight = index.vectors(who, at, tf, np.zeros(len(ids)))
+    by = np.lexsort((who, at))
+    index.weights = Postings(np.append(0, np.cumsum(seen)), who[by], weight[by])
+    index.prior = float(stands @ toxic / stands.sum()) if len(ids) else 0.5
+    bare = np.bincount(who, minlength=len(ids)) == 0
+    index.without = float((stands[bare] @ toxic[bare] + index.prior) / (stands[bare].sum() + 1))
     return index
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, and the ids of the nearest examples.
 
-    Scores depend on the text alone. Null and empty texts, like all texts without a picked term, get
+    Scores depend on the text alone. Null and empty texts, like all texts without a term, get
     the rate of label 1 among the examples without one; without labels every score is 0.5. A null
     doc_id stays null and is not held out. Repeated rows each give a row; other columns are ignored.
     """
@@ -173,14 +292,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         index = shared.value
         for batch in batches:
             for at, to, data, bounds in chunks(batch.column(1)):
-                text, term = _terms(data, bounds)
-                where = np.minimum(np.searchsorted(index.terms, term), max(0, len(index.terms) - 1))
-                hit = index.terms[where] == term if len(index.terms) else np.zeros(len(term), bool)
-                pairs, tf = np.unique(text[hit] * len(index.terms) + where[hit], return_counts=True)
-                cut = np.searchsorted(pairs, np.arange(to - at + 1) * len(index.terms))
-                made = [index.score(pairs[a:b] % max(1, len(index.terms)), tf[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                near = [[index.ids[i] for _, i in found[:3]] for _, found in made]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([s for s, _ in made], pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+                for a in range(0, to - at, TEXTS):
+                    own = bounds[a : a + TEXTS + 1]
+                    scores, near = index.score(data[own[0] : own[-1]], own - own[0])
+                    ids = batch.column(0).slice(at + a, len(own) - 1)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")
     held = F.coalesce(~training(F.col("doc_id")), F.lit(False)).alias("held_out")

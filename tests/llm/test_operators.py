@@ -10,10 +10,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from loomgraph.llm import bpe, chat, extract, jaccard, licenses, lm, mixing, neardup, quality, toxicity
+from loomgraph.llm import words as words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -183,6 +185,34 @@ def test_block_bounds_give_the_exact_nearest():
         assert np.allclose([c for c, _ in index.nearest(at, q)], [-c for c, _ in want])
 
 
+def test_toxicity_cosine_takes_all_terms(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(600)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)) + (" vil" if i % 2 else ""), "en", "s", 1) for i in range(300)]
+    frame = spark.createDataFrame(rows, DOCS)
+    index = toxicity.fit(frame, labels_of(spark, [(i, 1, i % 2) for i in range(300)]))
+    text = {i: collections.Counter(t.split()) for i, t, *_ in rows}
+    counted = collections.Counter(w for i in index.ids for w in text[i])
+    stands = dict(zip(index.ids, index.stands, strict=True))
+    total = sum(stands.values())
+    assert len(index.terms) == len(counted) > 256
+    idf = {w: math.log(1 + total / sum(stands[i] for i in index.ids if w in text[i])) for w in counted}
+    unit = lambda c: {w: (1 + math.log(n)) * idf.get(w, math.log(1 + total)) for w, n in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    texts = [" ".join(rng.choice(words) for _ in range(50)) + " zzz zzz yyy" for _ in range(20)]
+    data, bounds = words_of.buffers(pa.array(texts))
+    _, near = index.score(data, bounds)
+    for t, got in zip(texts, near, strict=True):
+        q = unit(collections.Counter(t.split()))
+        cosine = {i: sum(x * q.get(w, 0) for w, x in unit(text[i]).items()) / norm(q) / norm(unit(text[i])) for i in index.ids}
+        assert np.allclose([cosine[i] for i in got], sorted(cosine.values(), reverse=True)[:3], atol=1e-9)
+    # texts without a telling term differ, and one toxic word in a long clean text is none of its weight
+    plain = [rows[0][1], rows[2][1], " ".join(rng.choice(words) for _ in range(20_000)) + " vil", rows[0][1] + " vil"]
+    data, bounds = words_of.buffers(pa.array(plain))
+    scores, _ = index.score(data, bounds)
+    assert scores[0] != scores[1] and scores[2] < scores[3] and scores[3] >= toxicity.TOXIC
+
+
 def test_quality_counts(docs):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     for i, t, *_ in corpus():
