@@ -1,8 +1,9 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass gives every vector the concatenated signs of its products with random vectors. Vectors are
+Equal vectors stand as one with their number. Each pass gives every distinct vector the concatenated signs of its products with random vectors. Vectors are
 put in the order of those signs, and each is compared with a bounded number of its followers; pairs
 of cosine 0.93 or more, verified in double precision, are united over all passes into components.
+The number of passes follows the largest label, so that a pair of cosine 0.93 is missed as rarely in it.
 
 The window bounds what is compared while searching, not what is linked: within a component every
 pair counts. Vectors within half the angle of its first vector link with one another for certain and
@@ -22,6 +23,8 @@ from .components import components
 from .session import bucket, checkpoint, ship
 
 COSINE, PASSES, BITS, WINDOW, SEED = 0.93, 16, 62, 48, 7
+#: What share of lone pairs of cosine COSINE may be missed, and the chance that such a pair has a sign in common.
+MISSED, AGREE = 0.001, 1 - np.arccos(COSINE) / np.pi
 #: Vectors in a block of a component.
 BLOCK = 1024
 #: Cosine of half the angle of COSINE, and a margin for rounding on the side of comparing.
@@ -51,7 +54,13 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding").mapInArrow(run, _VALID)
 
 
-def _signed(valid: DataFrame) -> DataFrame:
+def passes(rows: int) -> int:
+    """Passes for a label of so many vectors: where about log2(rows / WINDOW) leading signs in common bring a pair together."""
+    alike = AGREE ** max(1.0, np.log2(max(1, rows) / WINDOW))
+    return max(PASSES, int(np.ceil(np.log(MISSED) / np.log(1 - alike))))
+
+
+def _signed(valid: DataFrame, number: int) -> DataFrame:
     """A row for each pass with the signs as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,10 +74,10 @@ def _signed(valid: DataFrame) -> DataFrame:
                 own = batch.take(pa.array(which))
                 x = np.frombuffer(b"".join(raw[i] for i in which), np.float64).reshape(-1, int(d))
                 if d not in planes:
-                    planes[d] = np.random.default_rng([SEED, int(d)]).standard_normal((int(d), PASSES * BITS))
-                signs = (x @ planes[d] > 0).reshape(len(x), PASSES, BITS)
-                for k in range(PASSES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), own.column(1), pa.array(signs[:, k] @ weights), own.column(0), own.column(2)], ["pass", "part", "signs", "vec_id", "vector"])
+                    planes[d] = np.random.default_rng([SEED, int(d)]).standard_normal((int(d), number * BITS))
+                for k in range(number):
+                    signs = x @ planes[d][:, k * BITS : (k + 1) * BITS] > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), own.column(1), pa.array(signs @ weights), own.column(0), own.column(2)], ["pass", "part", "signs", "vec_id", "vector"])
 
     return valid.mapInArrow(run, "pass int, part string, signs long, vec_id long, vector binary")
 
@@ -119,37 +128,37 @@ def _connecting(a: np.ndarray, b: np.ndarray) -> set[tuple[int, int]]:
 
 
 def _links(members: DataFrame) -> DataFrame:
-    """(vec_id, n_links) of members (component, vec_id, vector)."""
+    """(vec_id, n_links) of members (component, vec_id, vector, times), each standing for times equal vectors."""
     heads = members.where("vec_id = component").select("component", F.col("vector").alias("head"))
 
     def cored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             core = [bool(np.frombuffer(v, np.float64) @ np.frombuffer(h, np.float64) >= HALF) for v, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(core, pa.bool_())], ["component", "vec_id", "vector", "core"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(core, pa.bool_())], ["component", "vec_id", "vector", "times", "core"])
 
-    told = checkpoint(members.join(heads, "component").select("component", "vec_id", "vector", "head").mapInArrow(cored, "component long, vec_id long, vector binary, core boolean"))
-    size = told.groupBy("component").agg(F.count("*").alias("size"), F.count_if("core").alias("cores")).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    told = checkpoint(members.join(heads, "component").select("component", "vec_id", "vector", "head", "times").mapInArrow(cored, "component long, vec_id long, vector binary, times long, core boolean"))
+    size = told.groupBy("component").agg(F.count("*").alias("size"), F.count_if("core").alias("cores"), F.sum(F.when(F.col("core"), F.col("times"))).alias("certain")).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     sized = told.join(size, "component")
-    certain = sized.where("core").select("vec_id", (F.col("cores") - 1).alias("n"))
+    own = sized.select("vec_id", (F.when(F.col("core"), F.col("certain")).otherwise(F.col("times")) - 1).alias("n"))
     placed = sized.where("cores < size").withColumn("block", F.pmod(bucket("vec_id"), "blocks"))
     every = F.explode(F.expr("sequence(0L, blocks - 1)"))
-    unit = ("component", "first", "second", "side", "vec_id", "vector", "core")
+    unit = ("component", "first", "second", "side", "vec_id", "vector", "times", "core")
     asking = placed.where("not core").withColumn("second", every).withColumn("first", F.col("block")).withColumn("side", F.lit(0)).select(*unit)
     asked = placed.withColumn("first", every).withColumn("second", F.col("block")).withColumn("side", F.lit(1)).select(*unit)
 
     def compare(found: pa.Table) -> pa.Table:
         sides, core = found.column("side").to_numpy(), np.array(found.column("core").to_pylist())
         x = np.frombuffer(b"".join(found.column("vector").to_pylist()), np.float64).reshape(len(sides), -1)
-        ids = found.column("vec_id").to_numpy()
+        ids, times = found.column("vec_id").to_numpy(), found.column("times").to_numpy()
         one, two = sides == 0, sides == 1
         linked = (x[one] @ x[two].T >= COSINE) & (ids[one][:, None] != ids[two][None, :])
         # of two vectors outside the core each asks for itself
-        n = np.concatenate([linked.sum(1), linked.sum(0)[core[two]]])
+        n = np.concatenate([linked @ times[two], (times[one] @ linked)[core[two]]])
         return pa.table({"vec_id": np.concatenate([ids[one], ids[two][core[two]]]), "n": n.astype(np.int64)})
 
     units = asking.unionByName(asked)
     counted = units.groupBy("component", "first", "second").applyInArrow(compare, "vec_id long, n long")
-    return certain.unionByName(counted).groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    return own.unionByName(counted).groupBy("vec_id").agg(F.sum("n").alias("n_links"))
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -162,16 +171,22 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """
     ship(vectors.sparkSession)
     least = _valid(vectors).groupBy("vec_id").agg(F.min(F.struct("part", "vector")).alias("x"))
-    valid = checkpoint(least.select("vec_id", "x.part", "x.vector"))
+    valid = checkpoint(least.select("vec_id", "x.part", "x.vector", F.sha2("x.vector", 256).alias("same")))
+    # equal vectors would fill a window with one another
+    distinct = checkpoint(valid.groupBy("part", "same").agg(F.min("vec_id").alias("vec_id"), F.first("vector").alias("vector"), F.count("*").alias("times")))
+    most = distinct.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     spark = vectors.sparkSession
-    signed = _signed(valid)
+    signed = _signed(distinct.select("vec_id", "part", "vector"), passes(most))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["pass", "part", "signs", "vec_id"]
     links = checkpoint(_window_links(signed.repartitionByRange(parts, *order).sortWithinPartitions(*order)))
     roots = checkpoint(components(links))
-    members = valid.join(roots.select(F.col("id").alias("vec_id"), F.col("root").alias("component")), "vec_id").select("component", "vec_id", "vector")
+    members = distinct.join(roots.select(F.col("id").alias("vec_id"), F.col("root").alias("component")), "vec_id").select("component", "vec_id", "vector", "times")
     counts = _links(members)
-    found = roots.join(counts, roots.id == counts.vec_id, "left").select("id", "root", "n_links")
+    linked = roots.join(counts, roots.id == counts.vec_id).select(F.col("id").alias("first"), "root", "n_links")
+    figures = distinct.select("part", "same", F.col("vec_id").alias("first"), "times").join(linked, "first", "left")
+    figures = checkpoint(figures.select("part", "same", F.coalesce("root", "first").alias("root"), F.coalesce("n_links", F.col("times") - 1).alias("n_links")))
+    found = checkpoint(valid.select(F.col("vec_id").alias("id"), "part", "same").join(figures, ["part", "same"]).select("id", "root", "n_links"))
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     out = ids.join(found, ids.vec_id == found.id, "left").withColumn("component_id", F.coalesce("root", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -155,6 +155,20 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block):
     assert neardup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_between_groups_of_copies(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(32)
+    x = [base + rng.standard_normal(32) * 0.24 for _ in range(6)]
+    rows = [(i, [float(a) for a in x[i % 6]], 0) for i in range(600)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    unit = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= neardup.COSINE
+    assert 6 < linked.sum() < 36
+    reach = np.linalg.matrix_power(linked.astype(int), 6) > 0
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (100 * int(linked[i % 6].sum()) - 1, int(np.flatnonzero(reach[i % 6])[0])) for i in range(600)}
+    assert neardup.passes(1000) == neardup.PASSES < neardup.passes(10**6) < neardup.passes(10**8)
+
+
 def test_toxicity_finds_held_out(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
