@@ -94,7 +94,7 @@ def quotes(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = own.select("doc_id", F.explode(pairs).alias("pair")).join(keyed.select("item_id", "item", "pair"), "pair").select("doc_id", "item_id", "item")
     found = hits.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item"))
     short = cut.where(F.size("w") <= 3).select("item_id", F.col("text").alias("item"))
-    rest = docs.select("doc_id", "text").join(F.broadcast(short.limit(1000)), F.contains("text", "item"))
+    rest = docs.select("doc_id", "text").join(short, F.contains("text", "item"))
     return found.select("doc_id", "item_id").unionByName(rest.select("doc_id", "item_id")).select(_keyed("d", "doc_id").alias("source_id"), _keyed("b", "item_id").alias("target_id"))
 
 

@@ -184,3 +184,11 @@ def test_hull_and_camera(spark):
     camera = drawing.bounding_camera(points, 100, 100, 10).first()
     assert (camera.x, camera.y, camera.zoom) == (2, 2, 5)
     assert drawing.bounding_camera(points.limit(0), 100, 100).first().zoom == 1
+
+
+def test_quotes_compare_all_short_items(spark):
+    from loomgraph.sources.tables import quotes
+
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}x" for i in range(1200)))], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"w{i}x") for i in range(1200)], "item_id long, text string")
+    assert quotes(docs, items).distinct().count() == 1200
