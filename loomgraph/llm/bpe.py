@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .session import ship
-from .words import span, byte_sums, chunks
+from .words import chunks, spans
 
 #: Pieces and pairs of tokens that a worker keeps at most; more only costs making some anew.
 CACHED, PAIRS = 2_000_000, 400_000
@@ -215,7 +215,11 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes runs of texts: each distinct piece once, kept between runs in arrays sorted by hash."""
+    """Encodes runs of texts: each distinct piece once, kept between runs in arrays sorted by hash.
+
+    The ids of a run are decoded again. Where a piece does not come back, its hash is another's too,
+    and the run is encoded by the pieces' bytes instead.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary, self.pieces = Vocabulary(ranks), Pieces(pattern)
@@ -225,14 +229,18 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._keys, self._at, self._size, self._pool, self._used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, "<u4"), 0
+        self._keys, self._at, self._size, self._bytes, self._pool, self._used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(1 << 16, "<u4"), 0
 
-    def _learn(self, keys: np.ndarray, spans: list[bytes]) -> None:
+    def _tokens(self, pieces: list[bytes]) -> list[list[int]]:
         """Encode the pieces in the order of their bytes: what one shares with the one before it is done."""
-        table, got = Prefixes(self.vocabulary), [[]] * len(spans)
-        for i in sorted(range(len(spans)), key=spans.__getitem__):
-            whole = self.vocabulary.ranks.get(spans[i])  # as the library does, a piece that is a token stays one
-            got[i] = [whole] if whole is not None else table.become(spans[i]).tokens()
+        table, got = Prefixes(self.vocabulary), [[]] * len(pieces)
+        for i in sorted(range(len(pieces)), key=pieces.__getitem__):
+            whole = self.vocabulary.ranks.get(pieces[i])  # as the library does, a piece that is a token stays one
+            got[i] = [whole] if whole is not None else table.become(pieces[i]).tokens()
+        return got
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        got = self._tokens(pieces)
         size = np.fromiter(map(len, got), np.int32, len(got))
         ids = np.fromiter((t for tokens in got for t in tokens), "<u4", int(size.sum()))
         if self._used + len(ids) > len(self._pool):
@@ -241,6 +249,7 @@ class Encoder:
         to = np.searchsorted(self._keys, keys)
         self._at = np.insert(self._at, to, self._used + np.cumsum(size) - size)
         self._keys, self._size = np.insert(self._keys, to, keys), np.insert(self._size, to, size)
+        self._bytes = np.insert(self._bytes, to, np.fromiter(map(len, pieces), np.int64, len(pieces)))
         self._used += len(ids)
 
     def _where(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,11 +258,15 @@ class Encoder:
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin and end."""
+        return self.both_ways(data, bounds)[:2]
+
+    def both_ways(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As encode, then the bytes decoded from the ids and where each id's end."""
         start = self.pieces(data, bounds)
         if not len(start):
-            return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64)
+            return np.zeros(0, "<u4"), np.zeros(len(bounds), np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
         end = np.append(start[1:], len(data))
-        keys, first, which = np.unique(span(byte_sums(data, False), start, end), return_index=True, return_inverse=True)
+        keys, first, which = np.unique(spans(data, start, end), return_index=True, return_inverse=True)
         at, known = self._where(keys)
         if not known.all():
             raw = data.tobytes()
@@ -263,7 +276,18 @@ class Encoder:
             self._learn(keys[~known], [raw[a:b] for a, b in zip(start[first[~known]].tolist(), end[first[~known]].tolist(), strict=True)])
             at, _ = self._where(keys)
         ids, ends = gather(self._pool, self._at[at], self._size[at].astype(np.int64), which)
-        return ids, np.append(0, ends)[np.searchsorted(start, bounds)]
+        back, back_ends = self.decode(ids)
+        if not (np.array_equal(self._bytes[at][which], end - start) and np.array_equal(back, data)):
+            ids, ends = self._by_bytes(data.tobytes(), start.tolist(), end.tolist())
+            back, back_ends = self.decode(ids)
+        return ids, np.append(0, ends)[np.searchsorted(start, bounds)], back, back_ends
+
+    def _by_bytes(self, raw: bytes, start: list[int], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [raw[a:b] for a, b in zip(start, end, strict=True)]
+        each = list(set(pieces))
+        known = dict(zip(each, self._tokens(each), strict=True))
+        ids = np.fromiter((t for p in pieces for t in known[p]), "<u4")
+        return ids, np.cumsum([len(known[p]) for p in pieces])
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ids in a row, and where each id's end."""
@@ -299,8 +323,7 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, ids: bool = False
         encoder = _encoder(ranks.value, pattern)
         for batch in batches:
             for at, to, data, bounds in chunks(batch.column(1)):
-                got, ends = encoder.encode(data, bounds)
-                back, back_ends = encoder.decode(got)
+                got, ends, back, back_ends = encoder.both_ways(data, bounds)
                 back_ends = np.append(0, back_ends)[ends]
                 cut = [got[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 digests = [hashlib.sha256(x).hexdigest() for x in cut]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .jaccard import windows
 from .session import bucket, checkpoint, ship
-from .words import byte_sums, chunks, mix, span, split
+from .words import chunks, mix, spans, split
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Concentration steps, and the chi-square tail beyond which a text is an outlier.
@@ -57,7 +57,7 @@ def _counts(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     end = np.minimum(end, bounds[text + 1])
     end -= (end > start) & (data[np.maximum(end - 1, 0)] == 10) if len(end) else 0
     full = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
-    lines = mix(span(byte_sums(data, False), start[full], end[full]) + own[text[full]])
+    lines = mix(spans(data, start, end)[full] + own[text[full]])
     _, earliest = np.unique(lines, return_index=True)
     later = np.ones(len(lines), bool)
     later[earliest] = False

@@ -1,8 +1,9 @@
 """Words of Arrow text columns as 64-bit hashes, computed over whole buffers.
 
-A word is a maximal run of bytes outside ``\\x20`` and ``\\x09``-``\\x0D``. Each byte has a
-random 64-bit code; a word's hash is its codes weighted by powers of an odd number, read off a
-running sum, times the inverse power of its start, so equal words hash alike wherever they stand.
+A word is a maximal run of bytes outside ``\\x20`` and ``\\x09``-``\\x0D``. Every byte has a random 64-bit
+code for each place that it can have in a word; a word's hash is the sum of its codes, read off a
+running sum, so equal words hash alike wherever they stand. As no two codes hang together, texts
+cannot be built so that many of their words collide, as they can for polynomials modulo a power of two.
 """
 
 from __future__ import annotations
@@ -15,33 +16,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Places whose codes are looked up; those of further places are computed.
+PLACES = 64
 _U = np.uint64
-_rng = np.random.default_rng(20240229)
-_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_LOWER = _CODES.copy()
-_LOWER[65:91] = _CODES[97:123]
+_ODD = _U(0x9E3779B97F4A7C15)
+_TABLE = np.random.default_rng(20240229).integers(0, (1 << 64) - 1, PLACES * 256, np.uint64, endpoint=True)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _WS = np.zeros(256, bool)
 _WS[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n + 1 of each."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            row = np.empty(size, np.uint64)
-            row[0] = 1
-            done = 1
-            while done < size:
-                more = min(done, size - done)
-                row[done : done + more] = row[:more] * _U(pow(base, done, 1 << 64))
-                done += more
-            made.append(row)
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,19 +55,32 @@ class Words:
     def prefix(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first ``length`` bytes of the words longer than that, and which those are."""
         which = np.flatnonzero(self.end - self.start > length)
-        return span(self.sums, self.start[which], self.start[which] + length), which
+        return _hash(self.sums, self.start[which], self.start[which] + length), which
+
+
+def _sums(data: np.ndarray, start: np.ndarray, lower: bool) -> np.ndarray:
+    """Running sums of the bytes' codes; places count from the last start before."""
+    since = np.zeros(len(data), np.int32)
+    since[start] = start
+    np.maximum.accumulate(since, out=since)
+    place = np.arange(len(data), dtype=np.int32) - since
+    shown = _LOWER[data] if lower else data
+    far = np.flatnonzero(place >= PLACES)
+    codes = _TABLE[(np.minimum(place, PLACES - 1, out=since) << 8) | shown]
+    if len(far):
+        codes[far] = mix(((place[far].astype(np.uint64) << _U(8)) | shown[far].astype(np.uint64)) * _ODD)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes, out=sums[1:])
+    return sums
 
 
-def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, inverse = _powers(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _U(_BASE))
+def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix(sums[end] - sums[start] + (end - start).astype(np.uint64) * _ODD)
 
 
-def byte_sums(data: np.ndarray, lower: bool) -> np.ndarray:
-    power, _ = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _CODES)[data] * power[: len(data)], out=sums[1:])
-    return sums
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of parts of data that follow one another without overlap; empty ones all hash alike."""
+    return _hash(_sums(data, start[start < len(data)], False), start, end)
 
 
 def split(data: np.ndarray, bounds: np.ndarray, lower: bool) -> Words:
@@ -97,8 +93,8 @@ def split(data: np.ndarray, bounds: np.ndarray, lower: bool) -> Words:
     after[bounds[1:][bounds[1:] > 0] - 1] = True
     start = np.flatnonzero(~ws & before[:n])
     end = np.flatnonzero(~ws & after[:n]) + 1
-    sums = byte_sums(data, lower)
-    return Words(data, bounds, start, end, np.searchsorted(bounds, start, "right") - 1, span(sums, start, end), sums)
+    sums = _sums(data, start, lower)
+    return Words(data, bounds, start, end, np.searchsorted(bounds, start, "right") - 1, _hash(sums, start, end), sums)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
