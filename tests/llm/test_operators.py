@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, chat, extract, jaccard, licenses, lm, mixing, neardup, quality, toxicity
 from loomgraph.llm import words as words_of
@@ -89,6 +90,44 @@ def test_bpe_as_the_library(docs, spark):
     assert collections.Counter(map(tuple, bpe.encode(spark.createDataFrame(rows, DOCS), RANKS).collect())) == want
 
 
+def thue_morse():
+    """Two words that a polynomial hash modulo a power of two cannot tell apart, amid some text."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    return a, b
+
+
+def test_bpe_where_hashes_collide(spark, monkeypatch):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    a, b = thue_morse()
+    text = f"{a} {a} {b}"
+    got = bpe.encode(spark.createDataFrame([(1, text, "", "", 0)], DOCS), RANKS).first()
+    assert got.ids_sha256 == hashlib.sha256(np.array(library.encode_ordinary(text), "<u4").tobytes()).hexdigest() and got.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    exact = bpe.spans
+    monkeypatch.setattr(bpe, "spans", lambda *x: exact(*x) & np.uint64(7))
+    encoder = bpe.Encoder(bpe.read_ranks(RANKS), bpe.PATTERN)
+    text = " ".join(t for _, t, *_ in corpus())
+    assert encoder.encode(*words_of.buffers(pa.array([text])))[0].tolist() == library.encode_ordinary(text)
+
+
+def test_counts_of_words_that_collide_elsewhere(spark):
+    a, b = thue_morse()
+    rest = [f"w{i}" for i in range(60)]
+    texts = [" ".join([a, *rest]), " ".join([b, *rest]), "\n".join([*rest, a, b]), " ".join([a, b, "x"] * 3 + rest)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    assert [r.n_shingles for r in jaccard.jaccard(frame).orderBy("doc_id").collect()] == list(map(len, sets))
+    got = quality.quality(frame).orderBy("doc_id").collect()
+    assert [(r.n_dup_lines, r.n_repeat_words) for r in got] == [(0, 0), (0, 0), (0, 0), (0, 9)]
+    scored = lm.score(frame, PIECES).orderBy("doc_id").collect()
+    train = [i for i in range(4) if zlib.crc32(str(i).encode()) % 10]
+    counts = collections.Counter(w for i in train for w in texts[i].split())
+    assert [r.n_known for r in scored] == [sum(counts[w] > 0 for w in t.split()) + 1 for t in texts]
+    assert lm.word_table(frame.withColumn("train", F.lit(True))).count() == len({w for t in texts for w in t.split()})
+
+
 def test_bpe_prefix_table_edits():
     v = bpe.Vocabulary(bpe.read_ranks(RANKS))
     rng = random.Random(2)
@@ -308,29 +347,47 @@ def test_jaccard_against_all_pairs(docs, monkeypatch, held):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard(docs).collect()} == {i: (len(s), top(i)) for i, s in sets.items()}
 
 
-def test_lattice_sums_all_segmentations():
-    pieces = lm.Pieces.read(PIECES)
+def plain_lattice(pieces):
     log = dict(zip(pieces.texts, pieces.log, strict=True))
 
     def total(word):
         return sum((math.exp(log[word[:k]]) * total(word[k:]) for k in range(1, len(word) + 1) if word[:k] in log), 0.0) if word else 1.0
 
-    words = [lm.START + w for w in (b"the", b"there", "é".encode(), b"a", b"zqx", b"x" * 80)]
-    got, expected = pieces.marginals(words, np.ones(len(words)))
+    return total
+
+
+def test_lattice_sums_all_segmentations():
+    pieces = lm.Pieces.read(PIECES)
+    total = plain_lattice(pieces)
+    words = [lm.START + w for w in (b"the", b"there", "é".encode(), b"a", b"zqx", b"x" * 80, b"y" * 2000)]
+    got = pieces.marginals(words)
     assert np.allclose(got[:5], [math.log(total(w)) for w in words[:5]]) and np.isfinite(got).all()
-    alone = pieces.marginals(words[3:4], np.ones(1))[1]
-    assert math.isclose(sum(alone[i] * len(pieces.texts[i]) for i in np.flatnonzero(alone)), len(words[3]))
+    assert np.allclose([pieces._alone(w) for w in words], got)
+    assert math.isclose(sum(map(math.exp, pieces.log)) + math.exp(pieces.end), 1)
+    long = pieces.marginals([bytes(random.Random(1).choices(b"abcABC012+/", k=200_000))])
+    assert np.isfinite(long).all() and long[0] < -200_000
 
 
 @pytest.mark.parametrize("head", [1 << 17, 5])
-def test_lm_base_scores(docs, monkeypatch, head):
+def test_lm_scores(docs, monkeypatch, head):
     monkeypatch.setattr(lm, "HEAD", head)
     tokens = {i: [*WORD.findall(lower(t)), None] for i, t, *_ in corpus()}
     train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
     c = collections.Counter(t for i, own in tokens.items() if train(i) for t in own)
     n, v = sum(c.values()), len(c)
+    pieces = lm.Pieces.read(PIECES)
+    total = plain_lattice(pieces)
+    q = {t: total(lm.START + t.encode()) if t else math.exp(pieces.end) for own in tokens.values() for t in own}
     got = {r.doc_id: r for r in lm.score(docs, PIECES).collect()}
     for i, own in tokens.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not train(i), len(own), sum(c[t] > 0 for t in own), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own), rel_tol=1e-9) and r.score < 0
+        assert math.isclose(r.base_score, sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10((c[t] + v * q[t]) / (n + v)) for t in own), rel_tol=1e-9)
+
+
+def test_commonest_words_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 10)
+    frame = spark.range(1000).selectExpr("id as hash", "id % 7 as c", "1000 div (id + 1) + 1 as seen", "0.0D as log")
+    hashes, _, _ = lm._head(frame)
+    assert 0 < len(hashes) <= 10 and hashes.tolist() == list(range(len(hashes)))
