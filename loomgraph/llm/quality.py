@@ -1,9 +1,10 @@
 """Quality rules: fixed limits, then robust multivariate outliers within a language and source.
 
 Each text becomes a vector of transformed statistics. For every language and source the minimum-
-covariance-determinant estimate, found by concentration steps (distances, their quantile, mean and
-covariance of the nearer half, again), gives a centre and a covariance that a minority of bad texts
-cannot move. Texts whose Mahalanobis distance is beyond a far chi-square quantile are rejected.
+covariance-determinant estimate is sought: from several starts, concentration steps (distances, the
+nearer half, its mean and covariance, again) go on until no determinant falls any more, and the start
+that ends with the least determinant gives the centre and the covariance, which a minority of bad
+texts cannot move. Texts whose Mahalanobis distance is beyond a chi-square quantile are rejected.
 """
 
 from __future__ import annotations
@@ -21,12 +22,16 @@ from .session import bucket, checkpoint, ship
 from .words import chunks, mix, spans, split
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Concentration steps, and the chi-square tail beyond which a text is an outlier.
-STEPS, TAIL = 4, 1e-9
+#: Most concentration steps, the fall of a determinant's logarithm that counts, and the chi-square tail beyond which a text is an outlier.
+STEPS, FALL, TAIL = 30, 1e-3, 1e-4
+#: Precision of the distances' medians: one in so many rows may be on the wrong side.
+RANKS = 10_000
 #: Into how many the rows of a language and source are dealt for joins.
 SALTS = 32
-#: Of each statistic the spread that is taken at least: many clean texts have none of some.
-SPREADS = {"v_chars": 0.08, "v_symbols": 0.06, "v_lines": 0.12, "v_repeats": 0.12}
+#: Of each statistic the spread that an estimate is raised to where it has less: most clean texts have none of some.
+FLOORS = {"v_chars": 0.04, "v_symbols": 0.08, "v_lines": 0.15, "v_repeats": 0.15}
+#: Starts by subsets of the rows, besides the one at the medians, and about how many rows a subset has at least.
+STARTS, SUBSET = 4, 16
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -92,34 +97,61 @@ def chi_square_at(p: float, halves: int) -> float:
     return high
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of the v_ columns under the columns centre and inverse."""
-    off = [F.col(v) - F.col("centre")[i] for i, v in enumerate(SPREADS)]
+def vectors(counted: DataFrame) -> DataFrame:
+    """The v_ columns: logarithm of the mean word length, and square roots of rates, of which the limits bound none."""
+    words = F.greatest("n_words", F.lit(1))
+    repeats = F.col("n_repeat_words") / F.greatest(words - F.col("n_repeat_words"), F.lit(1))
+    made = counted.withColumn("v_chars", F.log(F.greatest("word_chars", F.lit(1)) / words)).withColumn("v_symbols", F.sqrt(F.col("n_symbols") / words))
+    return made.withColumn("v_lines", F.sqrt(10 * F.col("n_dup_lines") / words)).withColumn("v_repeats", F.sqrt(repeats))
+
+
+def _distance(fit: Column) -> Column:
+    """Squared Mahalanobis distance of the v_ columns under a centre and an inverse covariance."""
+    off = [F.col(v) - fit["centre"][i] for i, v in enumerate(FLOORS)]
     d = len(off)
-    return sum((off[i] * off[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
+    return sum((off[i] * off[j] * fit["inverse"][i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
+
+
+def raised(spread: np.ndarray) -> np.ndarray:
+    """The covariance with at least the least spreads in every direction."""
+    floor = np.array(list(FLOORS.values()))
+    values, axes = np.linalg.eigh(spread / np.outer(floor, floor))
+    return (axes * np.maximum(values, 1)) @ axes.T * np.outer(floor, floor)
+
 
+def _fitted(moments: DataFrame, factor: float) -> DataFrame:
+    """(part, fits) from n, sums and sums of products of each start's rows: log determinant, centre and inverse covariance."""
 
-def _inverted(found: DataFrame, factor: float) -> DataFrame:
-    """From n, sums and sums of products to centre and inverse covariance, a row for each group."""
-    d, least = len(SPREADS), np.array(list(SPREADS.values()))
+    def fit(n: float, sums: list[float], products: list[float]) -> dict:
+        centre = np.array(sums) / n
+        spread = raised(factor * (np.array(products).reshape(len(centre), -1) / n - np.outer(centre, centre)))
+        return {"logdet": float(np.linalg.slogdet(spread)[1]), "centre": centre.tolist(), "inverse": np.linalg.inv(spread).ravel().tolist()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = pa.list_(pa.float64())
+        kind = pa.list_(pa.struct([("logdet", pa.float64()), ("centre", numbers), ("inverse", numbers)]))
         for batch in batches:
-            centres, inverses = [], []
-            for n, sums, products in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                centre = np.array(sums) / n
-                spread = factor * (np.array(products).reshape(d, d) / n - np.outer(centre, centre))
-                centres.append(centre.tolist())
-                inverses.append(np.linalg.inv(spread + np.diag(least**2)).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], ["part", "centre", "inverse"])
+            fits = [[fit(*m) for m in row] for row in ([[x["n"], x["sums"], x["products"]] for x in r] for r in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fits, kind)], ["part", "fits"])
 
-    return found.mapInArrow(run, "part string, centre array<double>, inverse array<double>")
+    return moments.mapInArrow(run, FITS)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    names = list(SPREADS)
-    sums = F.array(*(F.sum(v) for v in names))
-    return rows.groupBy("part").agg(F.count("*").alias("n"), sums.alias("sums"), F.array(*(F.sum(F.col(a) * F.col(b)) for a in names for b in names)).alias("products"))
+FITS = "part string, fits array<struct<logdet: double, centre: array<double>, inverse: array<double>>>"
+
+
+def _moments(rows: DataFrame, chosen: list[Column]) -> DataFrame:
+    """Of the rows that each condition chooses the number, sums and sums of products; of all rows where it chooses none."""
+    names = list(FLOORS)
+
+    def one(condition: Column) -> Column:
+        among = lambda x: F.coalesce(F.sum(F.when(condition, x)), F.sum(x))
+        return F.struct(
+            among(F.lit(1.0)).alias("n"), F.array(*(among(F.col(v)) for v in names)).alias("sums"),
+            F.array(*(among(F.col(a) * F.col(b)) for a in names for b in names)).alias("products"),
+        )
+
+    return rows.groupBy("part").agg(F.array(*map(one, chosen)).alias("moments"))
 
 
 def _with(rows: DataFrame, parts: DataFrame, how: str = "inner") -> DataFrame:
@@ -127,36 +159,43 @@ def _with(rows: DataFrame, parts: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["part", "salt"], how)
 
 
-def _estimates(rows: DataFrame) -> DataFrame:
-    """(part, centre, inverse) of every part by concentration steps from the medians."""
-    d = len(SPREADS)
+def estimates(rows: DataFrame) -> DataFrame:
+    """(part, logdet, centre, inverse) of every part of rows (part, salt, h, v_ columns): the fit of the least determinant."""
+    d = len(FLOORS)
     half = chi_square_at(0.5, d // 2)
     factor = 0.5 / chi_square(half, d // 2 + 1)
-    start = rows.groupBy("part").agg(F.array(*(F.percentile_approx(v, 0.5) for v in SPREADS)).alias("centre"))
-    plain = np.diag(1 / np.array(list(SPREADS.values())) ** 2).ravel().tolist()
-    now = checkpoint(start.withColumn("inverse", F.array(*map(F.lit, plain))))
+    sized = _with(rows, rows.groupBy("part").agg(F.count("*").alias("n"))).withColumn("subset", F.pmod("h", F.greatest(F.lit(STARTS), F.floor(F.col("n") / SUBSET))))
+    medians = rows.groupBy("part").agg(F.array(*(F.percentile_approx(v, 0.5, RANKS) for v in FLOORS)).alias("centre"))
+    plain = F.array(*map(F.lit, np.diag(1 / np.array(list(FLOORS.values())) ** 2).ravel().tolist()))
+    middle = medians.select("part", F.struct(F.lit(math.inf).alias("logdet"), "centre", plain.alias("inverse")).alias("middle"))
+    subsets = _fitted(_moments(sized, [F.col("subset") == k for k in range(STARTS)]), factor)
+    now = checkpoint(subsets.join(middle, "part").select("part", F.array_append("fits", F.col("middle")).alias("fits")))
+    every = range(STARTS + 1)
     for _ in range(STEPS):
-        away = _with(rows, now).withColumn("away", _distance()).select("part", "salt", "away", *SPREADS)
-        near = away.groupBy("part").agg(F.percentile_approx("away", 0.5, 1000).alias("limit"))
-        now = checkpoint(_inverted(_moments(_with(away, near).where("away <= limit")), factor))
-    return now
+        away = _with(rows, now).select("part", "salt", *FLOORS, *(_distance(F.col("fits")[k]).alias(f"away{k}") for k in every))
+        limits = away.groupBy("part").agg(*(F.percentile_approx(f"away{k}", 0.5, RANKS).alias(f"limit{k}") for k in every))
+        near = _moments(_with(away, limits), [F.col(f"away{k}") <= F.col(f"limit{k}") for k in every])
+        after = checkpoint(_fitted(near, factor).join(now.select("part", F.col("fits").alias("before")), "part"))
+        fell = F.array_max(F.zip_with("before", "fits", lambda b, f: b["logdet"] - f["logdet"]))
+        now = after.select("part", "fits")
+        if (after.agg(F.max(fell)).first()[0] or 0.0) <= FALL:
+            break
+    return now.select("part", F.array_min("fits").alias("fit")).select("part", "fit.*")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, the counts, base_failed, kept, and the distance.
 
     Texts that fail the limits are rejected and give no estimates. Null and empty texts have no
-    words and fail. Null languages and sources are groups of their own. Where a language and source
-    has few texts, the least spreads decide. Repeated rows each give a row; a null doc_id stays
+    words and fail. Null languages and sources are groups of their own. Where texts of a language and
+    source hardly differ in a statistic, or are few, its least spread decides. Repeated rows each give a row; a null doc_id stays
     null; other columns are ignored.
     """
-    words = F.greatest("n_words", F.lit(1))
     made = statistics(docs)
-    made = made.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    made = made.withColumn("v_chars", F.log(F.greatest("word_chars", F.lit(1)) / words)).withColumn("v_symbols", F.sqrt(F.col("n_symbols") / words))
-    made = made.withColumn("v_lines", F.col("n_dup_lines") / F.greatest(F.lit(5), words / 10)).withColumn("v_repeats", F.col("n_repeat_words") / words)
-    made = checkpoint(made.withColumn("part", F.to_json(F.struct("lang", "source"))).withColumn("salt", F.pmod(bucket("doc_id", *COUNTS), F.lit(SALTS)).cast("int")).drop("lang", "source"))
-    good = made.where("not base_failed").select("part", "salt", *SPREADS)
-    judged = _with(made, _estimates(good), "left").withColumn("away", _distance())
-    kept = ~F.col("base_failed") & (F.coalesce("away", F.lit(0.0)) <= chi_square_at(1 - TAIL, len(SPREADS) // 2))
+    made = vectors(made.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))))
+    made = made.withColumn("part", F.to_json(F.struct("lang", "source"))).withColumn("h", bucket("doc_id", *COUNTS))
+    made = checkpoint(made.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).drop("lang", "source"))
+    good = made.where("not base_failed").select("part", "salt", "h", *FLOORS)
+    judged = _with(made, checkpoint(estimates(good)), "left").withColumn("away", _distance(F.struct("centre", "inverse")))
+    kept = ~F.col("base_failed") & (F.coalesce("away", F.lit(0.0)) <= chi_square_at(1 - TAIL, len(FLOORS) // 2))
     return judged.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), F.sqrt("away").alias("distance"))
