@@ -1,34 +1,41 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each source's documents get rates of the least entropy relative to taking each once that meet the
-source's constraints: so many words, and the like share of documents. Such rates are exponentials of
-a linear form in a document's size; Newton's iterations on the convex dual find its coefficients, with
-sums over the documents as Spark jobs. Rates are limited and rounded into whole copies
-systematically along the order of sizes, so that rounding errors do not add up. Only DataFrame
-functions are used.
+Each source's documents get the rates nearest to taking each once, by relative entropy, that take as
+many words as the source's target says and no document more than ``MOST`` times. Such rates are
+exponentially tilted: ``min(MOST, exp(tilt * size))``, where the tilt is the dual variable of the
+source's token constraint. Newton's iterations on the convex dual find it, with sums over the
+documents as Spark jobs. Rates are rounded into copies by the running sum of each source's documents
+from the largest, so that roundings cannot add up to more than half of one document, and the words
+still missing or too many then come from documents of the size that fits best.
+
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import bucket, checkpoint
+from .session import checkpoint
 
 #: Weights of the sources in order, repeating; most copies of a document; documents ranked in one task.
-WEIGHTS, MOST, RANKED = (1, 2, 3), 3, 10_000
-#: Share of its source's target from which a document is rounded first.
-LARGE = 0.02
-ITERATIONS, PRECISE = 60, 1e-10
+WEIGHTS, MOST, RANKED = (1, 2, 3), 3, 2_000
+#: Most iterations, and the share of the target from which a source counts as balanced.
+ITERATIONS, PRECISE = 60, 1e-9
+#: How often missing words are taken from a size of documents.
+REPAIRS = 2
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (the source, telling null apart) and size in words."""
-    source = F.col("source").cast("string")
-    count = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"), count.cast("long").alias("size"))
+    """doc_id, source, key (the source, telling null apart), size in words and a hash of the row that ranks it."""
+    source, text = F.col("source").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    count = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"),
+        count.cast("long").alias("size"), F.xxhash64("doc_id", text).alias("rank_hash"),
+    )
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -38,7 +45,7 @@ def targets(sized: DataFrame) -> DataFrame:
     of size against weight reach that limit first, so the level follows from running sums: what the
     limited ones leave, shared by the weights of the others. These are rows of sources, not documents.
     """
-    sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("docs"))
+    sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(number, F.lit(len(WEIGHTS))) + 1).cast("double")
     rows = sources.withColumn("weight", weight).withColumn("limit", MOST * F.col("source_size").cast("double"))
@@ -48,34 +55,63 @@ def targets(sized: DataFrame) -> DataFrame:
     rows = rows.withColumn("level", F.col("left") / F.sum("weight").over(after))
     free = F.when(F.col("limit") >= F.col("level") * F.col("weight"), F.col("level"))
     rows = rows.withColumn("level", F.coalesce(F.max(free).over(all_rows), F.lit(0.0)))
-    return rows.select("key", "source_size", "docs", F.least("limit", F.col("level") * F.col("weight")).alias("target"))
+    return rows.select("key", "source_size", F.least("limit", F.col("level") * F.col("weight")).alias("target"))
+
+
+def tilted(tilt: Column, size: Column) -> Column:
+    return F.least(F.lit(float(MOST)), F.exp(tilt * size))
 
 
 def balance(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """counts: (key, size, n). Gives (key, a, b): rates are exp(a + b x), at most MOST, where x is size against the source's mean."""
+    """counts: (key, size, n) of documents with words. Gives (key, tilt).
+
+    A source's words are an increasing function of its tilt, and its smallest document bounds the tilt
+    that meets the target; a step that leaves the bounds, which close in, goes to their middle.
+    """
+    least = counts.groupBy("key").agg(F.min("size").alias("least"))
     share = F.col("target") / F.col("source_size")
-    base = checkpoint(wanted.where("source_size > 0").select("key", share.alias("share"), "docs", (F.col("source_size") / F.col("docs")).alias("mean")))
-    now = base.withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0))
+    low, high = F.least(F.lit(0.0), F.ln(share) / F.col("least")), F.when(share > 1, log(MOST) / F.col("least")).otherwise(0.0)
+    now = wanted.where("source_size > 0").join(least, "key").select("key", "target", low.alias("low"), high.alias("high"), F.lit(0.0).alias("tilt"))
+    now = checkpoint(now)
     for _ in range(ITERATIONS):
-        each = counts.join(now, "key").withColumn("x", F.col("size") / F.col("mean"))
-        rate = F.least(F.lit(float(MOST)), F.exp(F.col("a") + F.col("b") * F.col("x"))) * F.col("n")
-        each = each.withColumn("r", rate)
-        r, x = F.col("r"), F.col("x")
-        sums = each.groupBy("key").agg(F.sum(r).alias("s0"), F.sum(r * x).alias("s1"), F.sum(r * x * x).alias("s2"))
-        miss0, miss1 = F.col("share") * F.col("docs") - F.col("s0"), F.col("share") * F.col("docs") - F.col("s1")
-        det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-        two = det > 1e-9 * F.col("s0") * F.col("s2")
-        da = F.when(two, F.try_divide(F.col("s2") * miss0 - F.col("s1") * miss1, det)).otherwise(F.try_divide(miss0, F.col("s0")))
-        db = F.when(two, F.try_divide(F.col("s0") * miss1 - F.col("s1") * miss0, det)).otherwise(0.0)
-        # from where every document is at the limit no step leads back
-        stepped = now.join(sums, "key").withColumn("miss", F.greatest(F.abs(miss0), F.abs(miss1)) / F.col("docs"))
-        stepped = stepped.withColumn("a2", F.least(F.col("a") + da, F.lit(log(MOST)))).withColumn("b2", F.col("b") + db)
-        done = F.col("miss") < PRECISE
-        now = checkpoint(stepped.select("key", "share", "docs", "mean", F.when(done, F.col("a")).otherwise(F.col("a2")).alias("a"), F.when(done, F.col("b")).otherwise(F.col("b2")).alias("b"), "miss"))
-        if (now.agg(F.max("miss")).first()[0] or 0.0) < PRECISE:
+        each = counts.join(now.select("key", "tilt"), "key").withColumn("rate", tilted(F.col("tilt"), F.col("size")))
+        words = F.col("n") * F.col("size") * F.col("rate")
+        slope = F.when(F.col("rate") < MOST, words * F.col("size")).otherwise(0.0)
+        sums = each.groupBy("key").agg(F.sum(words).alias("words"), F.sum(slope).alias("slope"))
+        over = F.col("words") - F.col("target")
+        step = now.join(sums, "key").withColumn("miss", F.abs(over) / F.col("target"))
+        step = step.withColumn("low", F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(over > 0, F.col("tilt")).otherwise(F.col("high")))
+        newton = F.col("tilt") - F.try_divide(over, F.col("slope"))
+        inside = (newton >= F.col("low")) & (newton <= F.col("high"))
+        moved = F.when(F.col("miss") <= PRECISE, F.col("tilt")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        now = checkpoint(step.select("key", "target", "low", "high", moved.alias("tilt"), "miss"))
+        if (now.agg(F.max("miss")).first()[0] or 0.0) <= PRECISE:
             break
         now = now.drop("miss")
-    return now.select("key", "mean", "a", "b")
+    return now.select("key", "tilt")
+
+
+def rounded(counts: DataFrame, tilts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, size, n, rate, copies): how many copies all documents of a source and size get together.
+
+    Sizes of a source are at most as many as its longest document has words.
+    """
+    from_largest = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    rates = counts.join(tilts, "key").withColumn("rate", tilted(F.col("tilt"), F.col("size")))
+    upto = F.sum(F.col("n") * F.col("rate")).over(from_largest)
+    made = rates.withColumn("upto", upto).withColumn("copies", F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("n") * F.col("rate") + 0.5))
+    limit = MOST * F.col("n")
+    made = checkpoint(made.select("key", "size", "n", "rate", F.least(F.greatest("copies", F.lit(0)), limit).alias("copies")))
+    for _ in range(REPAIRS):
+        taken = made.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
+        missing = wanted.join(taken, "key").select("key", (F.col("target") - F.col("taken")).alias("missing"))
+        more = F.greatest(F.least(F.round(F.col("missing") / F.col("size")), limit - F.col("copies")), -F.col("copies")).cast("long")
+        tried = made.join(missing, "key").withColumn("more", more).where("more <> 0")
+        left = F.abs(F.col("missing") - F.col("more") * F.col("size"))
+        best = tried.withColumn("left", left).where(F.col("left") < F.abs("missing")).groupBy("key").agg(F.min(F.struct("left", "size", "more")).alias("best"))
+        best = best.select("key", "best.size", "best.more")
+        made = checkpoint(made.join(best, ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more"))
+    return made
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -84,42 +120,24 @@ def mix(docs: DataFrame) -> DataFrame:
     Null and empty texts have size 0 and are not copied. Null sources are one source, in order the
     last. Repeated rows each count; a null doc_id stays null. Without rows or words nothing is taken.
     The same rows give the same copies in any run. Other columns are ignored.
+
+    Of the documents of one source and size all get the whole part of their mean copies, and those
+    first by hash one more. They are ranked in parts of bounded length, each of which is due its share.
     """
     sized = checkpoint(sizes(docs))
     wanted = checkpoint(targets(sized))
     counts = checkpoint(sized.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")))
-    rate = F.least(F.lit(float(MOST)), F.exp(F.col("a") + F.col("b") * F.col("size") / F.col("mean")))
-    rates = counts.join(balance(counts, wanted), "key").join(wanted.select("key", "target"), "key")
-    rates = checkpoint(rates.select("key", "size", "n", rate.alias("rate"), (F.col("size") > LARGE * F.col("target")).alias("large")))
-
-    # the rounding of documents that alone are a good part of the target is made up for by the others
-    large = checkpoint(_rounded(sized, rates.where("large")))
-    taken = large.groupBy("key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
-    small = rates.where("not large")
-    meant = small.groupBy("key").agg(F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("meant"))
-    factor = F.try_divide(F.col("target") - F.coalesce("taken", F.lit(0)), F.col("meant"))
-    factors = meant.join(wanted.select("key", "target"), "key").join(taken, "key", "left").select("key", factor.alias("factor"))
-    scaled = F.least(F.lit(float(MOST)), F.greatest(F.lit(0.0), F.col("rate") * F.col("factor")))
-    small = _rounded(sized, small.join(factors, "key").withColumn("rate", scaled))
+    made = rounded(counts, balance(counts, wanted), wanted)
+
+    each = made.select("key", "size", "n", "rate", F.floor(F.col("copies") / F.col("n")).alias("all"), F.pmod("copies", "n").alias("extra"), F.ceil(F.col("n") / RANKED).alias("parts"))
+    placed = sized.where("size > 0").join(each, ["key", "size"]).withColumn("part", F.pmod(F.xxhash64("rank_hash"), "parts"))
+    parts = placed.groupBy("key", "size", "part").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("extra").alias("extra"))
+    upto = F.sum("m").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    due = F.floor(F.col("upto") * F.col("extra") / F.col("n")) - F.floor((F.col("upto") - F.col("m")) * F.col("extra") / F.col("n"))
+    due = parts.withColumn("upto", upto).select("key", "size", "part", due.alias("due"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("rank_hash", "doc_id"))
+    ranked = placed.withColumn("rank", rank).join(due, ["key", "size", "part"])
+    taking = ranked.select("doc_id", "key", "size", "rate", (F.col("all") + F.when(F.col("rank") <= F.col("due"), 1).otherwise(0)).cast("long").alias("copies"))
     none = sized.where("size = 0").select("doc_id", "key", "size", F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"))
-    out = large.unionByName(small).unionByName(none).join(wanted.select("key", "source_size", "target"), "key")
+    out = taking.unionByName(none).join(wanted.select("key", "source_size", "target"), "key")
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rate")
-
-
-def _rounded(sized: DataFrame, rates: DataFrame) -> DataFrame:
-    """Whole copies of the documents of some sizes: where the running sum of fractions passes a half.
-
-    Documents of one source and size are ranked in parts of bounded length, and all parts of a source
-    put in a row.
-    """
-    placed = sized.join(rates.select("key", "size", "rate", F.ceil(F.col("n") / RANKED).alias("parts")), ["key", "size"])
-    placed = placed.withColumn("part", F.pmod(bucket("doc_id"), "parts")).withColumn("fraction", F.col("rate") - F.floor("rate"))
-    parts = placed.groupBy("key", "size", "part").agg(F.sum("fraction").alias("sum"))
-    running = Window.partitionBy("key").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("key", "size", "part", F.coalesce(F.sum("sum").over(running), F.lit(0.0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy(bucket("doc_id"), "doc_id"))
-    ranked = placed.withColumn("rank", rank).join(starts, ["key", "size", "part"])
-    upto = F.col("start") + F.col("rank") * F.col("fraction") + 0.5
-    extra = F.floor(upto) - F.floor(upto - F.col("fraction"))
-    copies = F.least((F.floor("rate") + extra).cast("long"), F.lit(MOST).cast("long"))
-    return ranked.select("doc_id", "key", "size", "rate", copies.alias("copies"))
