@@ -24,8 +24,8 @@ from .session import checkpoint
 WEIGHTS, MOST, RANKED = (1, 2, 3), 3, 2_000
 #: Most iterations, and the share of the target from which a source counts as balanced.
 ITERATIONS, PRECISE = 60, 1e-9
-#: How often missing words are taken from a size of documents.
-REPAIRS = 2
+#: How often at most missing words are taken from a size of documents.
+REPAIRS = 8
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -109,7 +109,9 @@ def rounded(counts: DataFrame, tilts: DataFrame, wanted: DataFrame) -> DataFrame
         tried = made.join(missing, "key").withColumn("more", more).where("more <> 0")
         left = F.abs(F.col("missing") - F.col("more") * F.col("size"))
         best = tried.withColumn("left", left).where(F.col("left") < F.abs("missing")).groupBy("key").agg(F.min(F.struct("left", "size", "more")).alias("best"))
-        best = best.select("key", "best.size", "best.more")
+        best = checkpoint(best.select("key", "best.size", "best.more"))
+        if best.isEmpty():
+            break
         made = checkpoint(made.join(best, ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more"))
     return made
 

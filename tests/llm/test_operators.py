@@ -285,6 +285,23 @@ def test_quality_rejects_outliers(spark):
     assert all(r.kept == bool(r.doc_id % 10) for r in quality.quality(spark.createDataFrame(rows, DOCS)).collect())
 
 
+def test_least_determinant_of_all_halves(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((8, 4)) @ np.diag([0.3, 0.5, 0.4, 0.6]), rng.standard_normal((4, 4)) + 6])
+    rows = [("p", i % 3, int(i * 7919), *map(float, v)) for i, v in enumerate(x)]
+    names = ", ".join(f"{v} double" for v in quality.FLOORS)
+    got = quality.estimates(spark.createDataFrame(rows, "part string, salt int, h long, " + names)).first()
+    half = quality.chi_square_at(0.5, 2)
+    factor = 0.5 / quality.chi_square(half, 3)
+    found = []
+    for half in itertools.combinations(range(12), 6):
+        found.append(np.linalg.slogdet(quality.raised(factor * np.cov(x[list(half)].T, bias=True)))[1])
+    # a local minimum at worst: no outlier is in it, and few of the 924 halves are better
+    assert np.abs(np.array(got.centre)).max() < 1 and sum(f < got.logdet - 1e-9 for f in found) <= 0.03 * len(found)
+    away = [(v - got.centre) @ np.array(got.inverse).reshape(4, 4) @ (v - got.centre) for v in x]
+    assert min(away[8:]) > quality.chi_square_at(1 - quality.TAIL, 2) and set(np.argsort(away)[:6]) <= set(range(8))
+
+
 def test_license_base(docs):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -302,16 +319,9 @@ def test_license_notices_with_gaps(spark):
     assert got.labels == "bsd" and got.n_base == 0 and got.score > 0.7
 
 
-def test_mix_meets_targets(spark):
-    rng = random.Random(4)
-    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), "en", [None, "a", "b", "c", "tiny"][min(4, i % 40)] if i % 40 < 5 else "big", 1) for i in range(1200)]
-    frame = spark.createDataFrame(rows, DOCS)
-    got = mixing.mix(frame).collect()
-    size, source = {r[0]: len(r[1].split()) for r in rows}, {r[0]: r[3] for r in rows}
-    total = collections.Counter()
-    for i, n in size.items():
-        total[source[i]] += n
-    weight = {s: 1 + k % 3 for k, s in enumerate([*sorted(s for s in total if s), None])}
+def wanted_of(total):
+    """Targets by taking out the sources above three times their size until none is."""
+    weight = {s: 1 + k % 3 for k, s in enumerate([*sorted(s for s in total if s), *([None] if None in total else [])])}
     target, free = {}, set(total)
     while free:
         left = sum(total.values()) - sum(target.values())
@@ -319,12 +329,49 @@ def test_mix_meets_targets(spark):
         over = [s for s in free if level * weight[s] > 3 * total[s]]
         target |= {s: 3 * total[s] for s in over} if over else {s: level * weight[s] for s in free}
         free -= set(over) if over else free
+    return target
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), "en", [None, "a", "b", "c", "tiny"][min(4, i % 40)] if i % 40 < 5 else "big", 1) for i in range(1200)]
+    # a source with a document that is most of it, and null ids with equal sizes
+    rows += [(2000 + i, "w " * n, "en", "giant", 1) for i, n in enumerate([3000, 700, 90, 40, 20, 7, 3])] + [(None, "w " * 10 + str(i), "en", "c", 1) for i in range(20)]
+    frame = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(frame).collect()
+    total = collections.Counter()
+    for r in rows:
+        total[r[3]] += len(r[1].split())
+    target = wanted_of(total)
+    by_size = {v: k for k, v in total.items()}
+    assert len(by_size) == len(total) and len(got) == len(rows)
+    assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(r[0]), len(r[1].split())) for r in rows)
+    taken, sizes = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        source = by_size[r.source_size]
+        assert math.isclose(r.target, target[source], rel_tol=1e-9) and r.taken <= 3 * r.size and r.taken % r.size == 0
+        taken[source] += r.taken
+        sizes[source].append((r.size, r.rate))
+    assert {s: (taken[s], target[s]) for s in target if abs(taken[s] - target[s]) > max(3, (0.01 if s == "giant" else 0.001) * target[s])} == {}
+    for s, own in sizes.items():
+        low, high = -10.0, 10.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * min(3, math.exp(min(50, mid * n))) for n, _ in own) < target[s] else (low, mid)
+        assert all(math.isclose(rate, min(3, math.exp(min(50, low * n))), rel_tol=1e-5) for n, rate in own)
+        # the tilt tells documents of different sizes apart, unless all are taken three times
+        assert len({round(rate, 6) for _, rate in own}) > 1 or target[s] == 3 * total[s]
+    assert sorted(str(r[:2]) for r in mixing.mix(frame.repartition(7)).select("doc_id", "taken").collect()) == sorted(str((r.doc_id, r.taken)) for r in got)
+
+
+def test_mix_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANKED", 7)
+    rows = [(i if i % 3 else None, "w " * (5 + i % 2), "en", "a" if i % 5 else "b", 1) for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
     taken = collections.Counter()
     for r in got:
-        assert r.size == size[r.doc_id] and r.source_size == total[source[r.doc_id]] and math.isclose(r.target, target[source[r.doc_id]], rel_tol=1e-9) and r.taken <= 3 * r.size
-        taken[source[r.doc_id]] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 0.03 * target[s] for s in target)
-    assert sorted(map(tuple, mixing.mix(frame.repartition(7)).select("doc_id", "taken").collect())) == sorted((r.doc_id, r.taken) for r in got)
+        taken[r.source_size, r.target] += r.taken
+    assert len(got) == 400 and all(abs(n - target) <= 5 for (_, target), n in taken.items())
 
 
 @pytest.mark.parametrize("held", [1 << 18, 400])
