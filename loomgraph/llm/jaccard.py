@@ -3,9 +3,10 @@
 No link is lost at any step:
 
 1. *Partners.* Of a document that links, at least 75 of 100 shingles occur in another document.
-   Blocks of documents send their shingles, 32 bits each, to shards by hash; a shard finds those of
-   two or more different sets; blocks add the counts up. Sets with fewer shared shingles are alone.
-   (Equal 32-bit parts within a shard only keep a set that could have gone.)
+   Blocks of documents send their shingles, 32 bits each, to shards by hash; a shard finds those that
+   several blocks or several of a block's sets have; blocks add the counts up. Sets with fewer shared
+   shingles are alone. (Equal 32-bit parts within a shard, and a copy of a set in another block, only
+   keep a set that could have gone.) What is sent besides the shingles is a byte or two for each.
 2. *Families.* Two sets that link share one of their first ``n - ceil(0.75 n) + 1`` shingles in any
    common order. With the rarest first, passages that many documents share come last. Sets are of
    one family if such first shingles connect them.
@@ -90,34 +91,50 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key long")
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 in as few bytes each as the largest needs, which the first byte tells."""
+    width = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _sent(docs: DataFrame, shards: int) -> DataFrame:
-    """A row for each block of documents and shard: its distinct sets, how many shingles each has there, and those."""
+    """A row for each block of documents and shard: the shingles there, and of each how far its set's number is from the last one's.
+
+    Shingles that several of the block's sets have are sent once, as common. One row of a block also
+    tells its distinct sets: their keys, sizes, and how many of their shingles are common.
+    """
 
     def message(block: int, sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, sizes = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()])
+        sizes = np.array([len(s) for s in sets.values()])
         tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(tokens, kind="stable")
         run = np.flatnonzero(np.append(True, np.diff(tokens[order]) != 0))
-        many = np.diff(np.append(run, len(order))) > 1  # of different sets, as each set is distinct
-        common, local = tokens[order][run[many]], np.zeros(len(order), bool)
-        local[order] = np.repeat(many, np.diff(np.append(run, len(order))))
+        times = np.diff(np.append(run, len(order)))  # in different sets, as each set is distinct
+        common, local = tokens[order][run[times > 1]], np.zeros(len(order), bool)
+        local[order] = np.repeat(times > 1, times)
+        shared = np.bincount(owner[local], minlength=len(sizes))
         shift = _U(64 - shards.bit_length() + 1)
-        shard = (tokens >> shift).astype(np.int64) if shards > 1 else np.zeros(len(tokens), np.int64)
-        common_shard = (common >> shift).astype(np.int64) if shards > 1 else np.zeros(len(common), np.int64)
-        cells = shards * len(keys)
-        sent = np.bincount((shard * len(keys) + owner)[~local], minlength=cells).reshape(shards, -1)
-        shared = np.bincount((shard * len(keys) + owner)[local], minlength=cells).reshape(shards, -1)
-        by_shard = np.argsort(shard[~local], kind="stable")
-        parts = tokens[~local][by_shard].astype(np.uint32)
-        ends = np.append(0, np.cumsum(sent.sum(1)))
+        of_shard = lambda x: (x >> shift).astype(np.int64) if shards > 1 else np.zeros(len(x), np.int64)
+        tokens, owner = tokens[~local], owner[~local]
+        shard = of_shard(tokens)
+        by_shard = np.argsort(shard, kind="stable")
+        tokens, owner, ends = tokens[by_shard].astype(np.uint32), owner[by_shard], np.searchsorted(shard[by_shard], np.arange(shards + 1))
+        common_ends = np.searchsorted(of_shard(common), np.arange(shards + 1))
         rows = []
         for s in range(shards):
-            rows.append((s, block, keys.tobytes(), sent[s].astype("<u4").tobytes(), shared[s].astype("<u4").tobytes(), parts[ends[s] : ends[s + 1]].tobytes(), common[common_shard == s].astype(np.uint32).tobytes()))
-        names = ["shard", "block", "keys", "sent", "shared", "shingles", "common"]
+            own, head = owner[ends[s] : ends[s + 1]], s == block % shards
+            told = (np.array(list(sets), np.int64).tobytes(), _narrow(sizes), _narrow(shared)) if head else (None, None, None)
+            rows.append((s, block, *told, _narrow(np.diff(own, prepend=0)), tokens[ends[s] : ends[s + 1]].tobytes(), common[common_ends[s] : common_ends[s + 1]].astype(np.uint32).tobytes()))
         for at in range(0, shards, 16):
             cols = list(zip(*rows[at : at + 16], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names)
 
+    names = ["shard", "block", "keys", "sizes", "shared", "owners", "shingles", "common"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, sets, held = TaskContext.get().partitionId() << 32, {}, 0
         for batch in batches:
@@ -131,47 +148,43 @@ def _sent(docs: DataFrame, shards: int) -> DataFrame:
         if sets:
             yield from message(block, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "shard long, block long, keys binary, sent binary, shared binary, shingles binary, common binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "shard long, block long, " + ", ".join(f"{c} binary" for c in names[2:]))
 
 
 def _count_shared(sent: DataFrame, shards: int) -> DataFrame:
-    """Keys of the sets of which 75 in 100 shingles also occur in another set."""
+    """Keys of the sets of which 75 in 100 shingles also occur in another set, or in another block's copy of their own."""
 
     def shard(found: pa.Table) -> pa.Table:
-        rows = found.to_pylist()
-        keys = [np.frombuffer(r["keys"], np.int64) for r in rows]
-        sizes = [np.frombuffer(r["sent"], "<u4") for r in rows]
-        tokens = np.concatenate([np.frombuffer(r["shingles"], np.uint32) for r in rows])
-        owner = np.concatenate([np.repeat(k, n) for k, n in zip(keys, sizes, strict=True)])
-        common = np.unique(np.concatenate([np.frombuffer(r["common"], np.uint32) for r in rows]))
+        rows = found.select(["block", "keys", "sizes", "shared"]).to_pylist()
+        owners = [np.cumsum(_wide(x)) for x in found.column("owners").to_pylist()]
+        tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in found.column("shingles").to_pylist()])
+        common = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in found.column("common").to_pylist()]))
         order = np.argsort(tokens, kind="stable")
         run = np.flatnonzero(np.append(True, np.diff(tokens[order]) != 0)) if len(order) else order
-        length = np.diff(np.append(run, len(order)))
-        owners = owner[order]
+        times = np.diff(np.append(run, len(order)))
         shared = np.zeros(len(order), bool)
         if len(run):
-            various = np.minimum.reduceat(owners, run) != np.maximum.reduceat(owners, run)
-            various |= np.isin(tokens[order][run], common)
-            shared[order] = np.repeat(various, length)
-        ends = np.cumsum(np.concatenate(sizes).astype(np.int64)) if rows else np.zeros(0, np.int64)
-        sums = np.append(0, np.cumsum(shared))
-        counts = sums[ends] - sums[np.append(0, ends[:-1])] if len(ends) else ends
+            # a block sends none of them twice
+            shared[order] = np.repeat((times > 1) | np.isin(tokens[order][run], common), times)
         out, at = [], 0
-        for r, k, n in zip(rows, keys, sizes, strict=True):
-            local = np.frombuffer(r["shared"], "<u4")
-            both = np.stack([n + local, counts[at : at + len(k)].astype("<u4") + local]).astype("<u4")
-            at += len(k)
-            out.append((r["block"], r["keys"] if r["shard"] == r["block"] % shards else None, both.tobytes()))
+        for r, own in zip(rows, owners, strict=True):
+            which, n = np.unique(own[shared[at : at + len(own)]], return_counts=True)
+            at += len(own)
+            out.append((r["block"], r["keys"], r["sizes"], r["shared"], _narrow(np.diff(which, prepend=0)), _narrow(n)))
         cols = list(zip(*out, strict=True))
-        return pa.table({"block": pa.array(cols[0], pa.int64()), "keys": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
+        return pa.table({c: pa.array(x, pa.binary() if i else pa.int64()) for i, (c, x) in enumerate(zip(counted, cols, strict=True))})
 
-    def block(found: pa.Table) -> pa.Table:
-        keys = next(k for k in found.column("keys").to_pylist() if k is not None)
-        total = np.sum([np.frombuffer(c, "<u4").reshape(2, -1).astype(np.int64) for c in found.column("counts").to_pylist()], axis=0)
-        return pa.table({"set_key": np.frombuffer(keys, np.int64)[100 * total[1] >= SIMILAR * total[0]]})
+    counted = ["block", "keys", "sizes", "shared", "owners", "counts"]
 
-    counted = sent.groupBy("shard").applyInArrow(shard, "block long, keys binary, counts binary")
-    return counted.groupBy("block").applyInArrow(block, "set_key long").distinct()
+    def block(found: pa.Table) -> pa.Table:
+        keys, sizes, total = next(r for r in zip(*(found.column(c).to_pylist() for c in counted[1:4]), strict=True) if r[0] is not None)
+        total = _wide(total)
+        for own, n in zip(found.column("owners").to_pylist(), found.column("counts").to_pylist(), strict=True):
+            total[np.cumsum(_wide(own))] += _wide(n)
+        return pa.table({"set_key": np.frombuffer(keys, np.int64)[100 * total >= SIMILAR * _wide(sizes)]})
+
+    made = sent.groupBy("shard").applyInArrow(shard, "block long, " + ", ".join(f"{c} binary" for c in counted[1:]))
+    return made.groupBy("block").applyInArrow(block, "set_key long").distinct()
 
 
 def _sets(docs: DataFrame) -> DataFrame:
