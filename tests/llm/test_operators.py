@@ -247,10 +247,11 @@ def test_toxicity_cosine_takes_all_terms(spark):
     text = {i: collections.Counter(t.split()) for i, t, *_ in rows}
     counted = collections.Counter(w for i in index.ids for w in text[i])
     stands = dict(zip(index.ids, index.stands, strict=True))
-    total = sum(stands.values())
-    assert len(index.terms) == len(counted) > 256
-    idf = {w: math.log(1 + total / sum(stands[i] for i in index.ids if w in text[i])) for w in counted}
-    unit = lambda c: {w: (1 + math.log(n)) * idf.get(w, math.log(1 + total)) for w, n in c.items()}
+    assert len(index.terms) == len(counted) > 256 and set(stands) == {i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1}
+    idf = {w: math.log(1 + 300 / sum(w in text[i] for i in text)) for w in counted}
+    once = [idf[w] for w in counted if sum(w in text[i] for i in index.ids) == 1]
+    assert math.isclose(index.unseen, sum(once) / len(once) if once else 1.0)
+    unit = lambda c: {w: (1 + math.log(n)) * idf.get(w, index.unseen) for w, n in c.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     texts = [" ".join(rng.choice(words) for _ in range(50)) + " zzz zzz yyy" for _ in range(20)]
     data, bounds = words_of.buffers(pa.array(texts))
@@ -266,6 +267,22 @@ def test_toxicity_cosine_takes_all_terms(spark):
     assert scores[0] != scores[1] and scores[2] < scores[3] and scores[3] >= toxicity.TOXIC
 
 
+def test_every_labelled_copy_is_an_example(spark):
+    rows = [(i, f"same words in every text {'' if i < 40 else i}", "en", "s", 1) for i in range(90)]
+    index = toxicity.fit(spark.createDataFrame(rows, DOCS), labels_of(spark, [(i, 1, i % 2) for i in range(90)]))
+    train = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(index.ids) == train and [index.toxic[index.ids.index(i)] for i in train] == [i % 2 for i in train]
+
+
+def test_scores_are_calibrated():
+    rng = np.random.default_rng(2)
+    p = rng.random(4000)
+    toxic = (rng.random(4000) < p).astype(float)
+    a, b = toxicity.curve(1 / (1 + ((1 - p) / p) ** 0.4), toxic, np.ones(4000))
+    assert abs(a) < 0.2 and abs(b - 2.5) < 0.3
+    assert toxicity.curve(np.full(3, 0.4), np.zeros(3), np.zeros(3)) == (0.0, 1.0)
+
+
 def test_quality_counts(docs):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     for i, t, *_ in corpus():
@@ -394,6 +411,19 @@ def test_jaccard_against_all_pairs(docs, monkeypatch, held):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard(docs).collect()} == {i: (len(s), top(i)) for i, s in sets.items()}
 
 
+def test_jaccard_messages_do_not_grow_with_shards(docs, monkeypatch):
+    def held(shards):
+        return jaccard._sent(docs, shards).select(F.sum(F.coalesce(F.octet_length("owners"), F.lit(0)) - 1), F.sum(F.octet_length("shingles")), F.sum(F.octet_length("keys"))).first()
+
+    few, many = held(16), held(1024)
+    assert few[1] == many[1] and few[2] == many[2] and many[0] <= few[1] / 2
+    want = {r.set_key for r in jaccard._count_shared(jaccard._sent(docs, 16), 16).collect()}
+    assert {r.set_key for r in jaccard._count_shared(jaccard._sent(docs, 1024), 1024).collect()} == want
+    monkeypatch.setattr(jaccard, "SHARD_BYTES", 64)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 6000)
+    test_jaccard_against_all_pairs(docs, monkeypatch, 1 << 18)
+
+
 def plain_lattice(pieces):
     log = dict(zip(pieces.texts, pieces.log, strict=True))
 
