@@ -123,7 +123,8 @@ def parse_git_log(lines: DataFrame) -> DataFrame:
 
 
 def commit_events(commits: DataFrame, links: DataFrame) -> DataFrame:
-    """Events of commits, oldest first, with the decisions that govern their files."""
-    linked = commits.join(links, "hash", "left")
+    """Events of commits, oldest first, with the decisions (hash, decision_id) that govern their files, which an event lists."""
+    listed = links.groupBy("hash").agg(F.array_sort(F.collect_set("decision_id")).alias("decision_ids"))
+    linked = commits.join(listed, "hash", "left")
     payload = F.to_json(F.struct("hash", "message", "files", F.coalesce("decision_ids", F.array().cast("array<string>")).alias("decision_links")))
     return linked.select("hash", F.lit("commit").alias("kind"), F.coalesce(F.nullif("author", F.lit("")), F.lit("unknown")).alias("actor"), (F.col("timestamp") * 1000).alias("created_at"), payload.alias("payload")).orderBy("created_at")

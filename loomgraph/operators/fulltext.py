@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.session import checkpoint
+
 #: The ranking's constants, and the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BREAKS = r"[^\p{L}\p{N}]+"
@@ -75,32 +77,57 @@ def _hits(postings: DataFrame, part: tuple) -> DataFrame:
 
 
 def search(postings: DataFrame, sizes: DataFrame, query: str) -> DataFrame:
-    """(node_id, rank) of the documents that a query finds, the best, of the lowest rank, first."""
+    """(node_id, rank) of the documents that a query finds in a kept index, the best, of the lowest rank, first."""
+    parsed = Query(query)
+    found = [_hits(postings, part).select("node_id", *(F.col("tf").alias(f"tf{k}") if k == i else F.lit(0).cast("long").alias(f"tf{k}") for k in range(len(parsed.parts)))) for i, part in enumerate(parsed.parts)]
+    each = reduce(DataFrame.unionByName, found).groupBy("node_id").agg(*(F.sum(f"tf{k}").alias(f"tf{k}") for k in range(len(parsed.parts))))
+    return _ranked(sizes.join(each, "node_id", "left").fillna(0), parsed)
+
+
+def search_texts(docs: DataFrame, query: str, columns: tuple[str, ...] = ("title", "description", "rationale")) -> DataFrame:
+    """The same without an index: one pass counts the words and each part's places, and nothing but those counts is kept."""
     parsed = Query(query)
-    total = sizes.agg(F.count("*").alias("n"), F.avg("words").alias("mean"))
-    found = None
-    for k, part in enumerate(parsed.parts):
-        rows = _hits(postings, part).select("node_id", "tf", F.lit(k).alias("part"))
-        found = rows if found is None else found.unionByName(rows)
-    seen = found.groupBy("part").agg(F.count("*").alias("docs"))
-    scored = found.join(F.broadcast(seen), "part").join(sizes, "node_id").join(F.broadcast(total))
-    idf = F.greatest(F.log((F.col("n") - F.col("docs") + 0.5) / (F.col("docs") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("words") / F.col("mean")))
+    split = docs.select("node_id", *(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), BREAKS), lambda w: w != "").alias(c) for c in columns))
+    plus = lambda found: reduce(Column.__add__, found, F.lit(0).cast("long"))
+    counts = [plus(_places(F.col(c), part) for c in columns if part[2] in (None, c)).alias(f"tf{k}") for k, part in enumerate(parsed.parts)]
+    return _ranked(checkpoint(split.select("node_id", plus(F.size(c) for c in columns).alias("words"), *counts)), parsed)
+
+
+def _places(words: Column, part: tuple) -> Column:
+    """How often a part stands in an array of words."""
+    wanted, star, _ = part
+    last = lambda w: F.startswith(w, F.lit(wanted[-1])) if star else w == wanted[-1]
+    if len(wanted) == 1:
+        return F.size(F.filter(words, last))
+    at = lambda i: reduce(Column.__and__, [F.get(words, i + k) == w for k, w in enumerate(wanted[:-1])] + [last(F.get(words, i + len(wanted) - 1))])
+    starts = F.sequence(F.lit(0), F.size(words) - len(wanted))
+    return F.when(F.size(words) >= len(wanted), F.size(F.filter(starts, at))).otherwise(0)
+
+
+def _ranked(counted: DataFrame, parsed: Query) -> DataFrame:
+    """(node_id, rank) from every document's number of words and of places of each part."""
+    parts = range(len(parsed.parts))
+    total = counted.agg(F.count("*").alias("n"), F.avg("words").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"docs{k}") for k in parts))
     wanted = {p: k for k, p in enumerate(parsed.parts)}
     positive = {wanted[p] for need, _ in parsed.alternatives for p in need}
-    by_doc = scored.groupBy("node_id").agg(F.collect_set("part").alias("parts"), (-F.sum(F.when(F.col("part").isin(*positive), weight).otherwise(0.0))).alias("rank"))
-    has: dict[int, Column] = {k: F.array_contains("parts", k) for k in wanted.values()}
+    has = {k: F.col(f"tf{k}") > 0 for k in parts}
     either = [reduce(Column.__and__, [has[wanted[p]] for p in need] + [~has[wanted[p]] for p in no]) for need, no in parsed.alternatives]
-    return by_doc.where(reduce(Column.__or__, either)).select("node_id", "rank").orderBy("rank", "node_id")
+
+    def weight(k: int) -> Column:
+        tf, docs = F.col(f"tf{k}"), F.col(f"docs{k}")
+        idf = F.greatest(F.log((F.col("n") - docs + 0.5) / (docs + 0.5)), F.lit(LEAST_IDF))
+        return F.when(has[k], idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("words") / F.col("mean")))).otherwise(0.0)
+
+    rank = -reduce(Column.__add__, [weight(k) for k in sorted(positive)])
+    hits = counted.where(reduce(Column.__or__, either)).join(F.broadcast(total))  # one row
+    return hits.select("node_id", rank.alias("rank")).orderBy("rank", "node_id")
 
 
 def search_decisions(docs: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, scope: str | None = None) -> DataFrame:
     """(id, name, rank) of decisions that a query finds, of those that govern the scope if there is one."""
     from .joins import governs_scope
 
-    postings = index(docs)
     decisions = nodes.where("kind = 'decision'")
     if scope is not None:
         decisions = governs_scope(decisions, nodes, edges, scope)
-    ranked = search(postings, lengths(postings, docs), query)
-    return decisions.join(ranked, F.col("id") == F.col("node_id")).select("id", "name", "rank").orderBy("rank", "id")
+    return decisions.join(search_texts(docs, query), F.col("id") == F.col("node_id")).select("id", "name", "rank").orderBy("rank", "id")

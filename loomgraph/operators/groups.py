@@ -1,4 +1,4 @@
-"""Directory, file and governance groups."""
+"""Directory, file and governance groups. Members stay rows, as one group may hold most nodes."""
 
 from __future__ import annotations
 
@@ -19,15 +19,15 @@ def dir_members(nodes: DataFrame, depth: int | None) -> DataFrame:
 
 
 def dir_groups(nodes: DataFrame, depth: int | None) -> DataFrame:
-    """(id, kind, path, dir, members, member_count) of the directories of two members or more."""
-    sized = dir_members(nodes, depth).groupBy("dir").agg(F.array_sort(F.collect_set("id")).alias("members")).where(F.size("members") >= 2)
-    return sized.select(group_id("dir").alias("id"), F.lit("dir").alias("kind"), F.col("dir").alias("path"), "dir", "members", F.size("members").alias("member_count"))
+    """(id, kind, path, dir, first_member, member_count) of the directories of two members or more."""
+    sized = dir_members(nodes, depth).groupBy("dir").agg(F.min("id").alias("first_member"), F.count_distinct("id").alias("member_count")).where("member_count >= 2")
+    return sized.select(group_id("dir").alias("id"), F.lit("dir").alias("kind"), F.col("dir").alias("path"), "dir", "first_member", "member_count")
 
 
 def file_groups(nodes: DataFrame) -> DataFrame:
     """The same of files that own nodes."""
-    sized = owned(nodes).where("kind <> 'file'").groupBy("owner").agg(F.array_sort(F.collect_set("id")).alias("members"))
-    return sized.select(group_id("owner").alias("id"), F.lit("file").alias("kind"), F.col("owner").alias("path"), F.coalesce(dir_of("owner"), F.lit("")).alias("dir"), "members", F.size("members").alias("member_count"))
+    sized = owned(nodes).where("kind <> 'file'").groupBy("owner").agg(F.min("id").alias("first_member"), F.count_distinct("id").alias("member_count"))
+    return sized.select(group_id("owner").alias("id"), F.lit("file").alias("kind"), F.col("owner").alias("path"), F.coalesce(dir_of("owner"), F.lit("")).alias("dir"), "first_member", "member_count")
 
 
 def path_groups(nodes: DataFrame, depth: int | None = None) -> DataFrame:
@@ -36,8 +36,21 @@ def path_groups(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     return dir_groups(nodes, depth).join(files.select("id"), "id", "left_anti").unionByName(files)
 
 
-def territories(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, decision_id, members, member_count) of what each decision governs."""
+def group_members(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(group, id), a row for each member of each path group."""
+    dirs = dir_members(nodes, depth).select(group_id("dir").alias("group"), "id")
+    files = owned(nodes).where("kind <> 'file'").select(group_id("owner").alias("group"), "id")
+    of_dirs = dirs.join(dir_groups(nodes, depth).select(F.col("id").alias("group")), "group", "left_semi").join(files.select("group"), "group", "left_anti")
+    return of_dirs.unionByName(files).distinct()
+
+
+def territory_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, decision_id, member), a row for each node that a decision governs."""
     decisions = nodes.where("kind = 'decision'").select(F.col("id").alias("source_id"))
-    held = edges.where("relation = 'GOVERNS'").join(decisions, "source_id").groupBy("source_id").agg(F.array_sort(F.collect_set("target_id")).alias("members"))
-    return held.select(territory_id("source_id").alias("id"), F.col("source_id").alias("decision_id"), "members", F.size("members").alias("member_count"))
+    held = edges.where("relation = 'GOVERNS'").join(decisions, "source_id", "left_semi")
+    return held.select(territory_id("source_id").alias("id"), F.col("source_id").alias("decision_id"), F.col("target_id").alias("member")).distinct()
+
+
+def territories(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, decision_id, first_member, member_count) of what each decision governs."""
+    return territory_members(nodes, edges).groupBy("id", "decision_id").agg(F.min("member").alias("first_member"), F.count("*").alias("member_count"))

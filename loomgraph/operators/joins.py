@@ -33,11 +33,11 @@ def with_links(nodes: DataFrame, edges: DataFrame, decision: str) -> DataFrame:
 
 
 def governed_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file, decision_ids) for every governed node: its path, or its name without one; a decision twice if it governs twice."""
+    """(file, decision_id) of every governed node: its path, or its name without one; a row for each time that a decision governs it."""
     decisions = nodes.where("kind = 'decision'").select(F.col("id").alias("source_id"))
     governed = edges.where("relation = 'GOVERNS'").join(decisions, "source_id")
     named = nodes.select(F.col("id").alias("target_id"), F.coalesce("file_path", "name").alias("file"))
-    return governed.join(named, "target_id").groupBy("file").agg(F.array_sort(F.collect_list("source_id")).alias("decision_ids"))
+    return governed.join(named, "target_id").select("file", F.col("source_id").alias("decision_id"))
 
 
 def governs_scope(decisions: DataFrame, nodes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
@@ -60,18 +60,18 @@ def enclosing_symbols(lines: DataFrame, spans: DataFrame, file: str) -> DataFram
 
 
 def commit_links(files: DataFrame, governed: DataFrame) -> DataFrame:
-    """(hash, decision_ids): the decisions that govern files of a commit, each once, sorted.
+    """(hash, decision_id): the decisions that govern files of a commit, each once.
 
     files: (hash, path); governed: as of governed_files.
     """
-    hits = files.join(governed, F.col("path") == F.col("file")).select("hash", F.explode("decision_ids").alias("decision_id"))
-    return hits.groupBy("hash").agg(F.array_sort(F.collect_set("decision_id")).alias("decision_ids"))
+    governing = governed.distinct()
+    return files.select("hash", "path").distinct().join(governing, F.col("path") == F.col("file")).select("hash", "decision_id").distinct()
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(id, neighbours) whichever way edges point, each neighbour once."""
-    both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).unionByName(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other")))
-    return both.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
+    """(id, neighbour) whichever way edges point, each neighbour once; a hub's stay rows."""
+    ends = F.array(F.struct(F.col("source_id").alias("id"), F.col("target_id").alias("neighbour")), F.struct(F.col("target_id").alias("id"), F.col("source_id").alias("neighbour")))
+    return edges.select(F.explode(ends).alias("e")).select("e.id", "e.neighbour").distinct()
 
 
 def panel(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:

@@ -32,7 +32,7 @@ EDGES = """g_edges as (
   union all select distinct 'o-' || l_orderkey, 'p-' || l_partkey, 'IMPORTS' from lineitem
   union all select 'd-' || doc_id, case when doc_id % 2 = 0 then 'n-' || (doc_id % 25) else 'c-' || (doc_id * 7 % (select count(*) from customer)) end, 'GOVERNS' from documents
   union all select 'd-' || doc_id, 'd-' || old, 'SUPERSEDES' from (select doc_id, lag(doc_id) over (partition by md5(text) order by doc_id) as old from documents) where old is not null
-  union all select 'd-' || doc_id, 'b-' || item_id, 'REFERENCES' from documents d join benchmark b on contains(d.text, b.text))"""
+  union all select 'd-' || doc_id, 'b-' || item_id, 'REFERENCES' from documents d join benchmark b on b.text <> '' and contains(d.text, b.text))"""
 GRAPH = f"with recursive {NODES}, {EDGES}"
 DIR = "case when length(owner) - strpos(reverse(owner), '/') > 0 and strpos(owner, '/') > 0 then left(owner, length(owner) - strpos(reverse(owner), '/')) end"
 OWNED = f"""owned as (select *, {DIR} as dir from (select *, case when kind = 'file' then file_path when strpos(qualified_name, '::') > 0 then split_part(qualified_name, '::', 1) else file_path end as owner
@@ -97,7 +97,12 @@ def decision_links(spark: SparkSession, d: str) -> DataFrame:
 @query("governed_files", GRAPH + " select coalesce(n.file_path, n.name) as file, count(*) as decisions, min(source_id) as first_decision from g_edges join g_nodes n on n.id = target_id where relation = 'GOVERNS' group by 1")
 def governed_files(spark: SparkSession, d: str) -> DataFrame:
     found = joins.governed_files(graph_nodes(spark, d), graph_edges(spark, d, ("GOVERNS",)))
-    return found.select("file", F.size("decision_ids").cast("long").alias("decisions"), F.array_min("decision_ids").alias("first_decision"))
+    return found.groupBy("file").agg(F.count("*").alias("decisions"), F.min("decision_id").alias("first_decision"))
+
+
+@query("governed_file_rows", GRAPH + " select coalesce(n.file_path, n.name) as file, source_id as decision_id from g_edges join g_nodes n on n.id = target_id where relation = 'GOVERNS'")
+def governed_file_rows(spark: SparkSession, d: str) -> DataFrame:
+    return joins.governed_files(graph_nodes(spark, d), graph_edges(spark, d, ("GOVERNS",)))
 
 
 @query("scoped_decisions", GRAPH + """ select distinct n.id from g_nodes n join g_edges e on e.source_id = n.id and relation = 'GOVERNS' join g_nodes t on t.id = e.target_id
@@ -172,10 +177,12 @@ def _groups_sql(depth: int | None) -> str:
     return f"{GRAPH}, {OWNED}, {_dirs(depth)} select 'group:path:' || path as id, length(members) as member_count, members[1] as first_member from dirs"
 
 
+GROUPED = ("path", "file", "function", "component")
+
+
 def _groups(depth: int | None) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = groups.dir_groups(graph_nodes(spark, d, ("path", "file", "function", "component")), depth)
-        return found.select("id", F.col("member_count").cast("long").alias("member_count"), F.array_min("members").alias("first_member"))
+        return groups.dir_groups(graph_nodes(spark, d, GROUPED), depth).select("id", "member_count", "first_member")
 
     return run
 
@@ -184,14 +191,29 @@ for _name, _depth in (("path_groups_d2", 2), ("path_groups_d3", 3), ("path_group
     query(_name, _groups_sql(_depth))(_groups(_depth))
 
 
+def _members_sql(depth: int | None) -> str:
+    files = "select distinct 'group:path:' || owner as \"group\", id from owned where kind <> 'file'"
+    return f"""{GRAPH}, {OWNED}, {_dirs(depth)}, f as ({files}) select 'group:path:' || path as "group", unnest(members) as id from dirs where 'group:path:' || path not in (select "group" from f)
+    union all select "group", id from f"""
+
+
+query("path_group_members_d2", _members_sql(2))(lambda spark, d: groups.group_members(graph_nodes(spark, d, GROUPED), 2))
+query("path_group_members_all", _members_sql(None))(lambda spark, d: groups.group_members(graph_nodes(spark, d, GROUPED)))
+
+
 @query("file_groups", f"{GRAPH}, {OWNED} select 'group:path:' || owner as id, count(distinct id) as member_count from owned where kind <> 'file' group by owner")
 def file_groups(spark: SparkSession, d: str) -> DataFrame:
-    return groups.file_groups(graph_nodes(spark, d, ("path", "file", "function", "component"))).select("id", F.col("member_count").cast("long").alias("member_count"))
+    return groups.file_groups(graph_nodes(spark, d, GROUPED)).select("id", "member_count")
 
 
 @query("territories", GRAPH + " select 'group:decision:' || source_id as id, source_id as decision_id, count(distinct target_id) as member_count from g_edges where relation = 'GOVERNS' group by source_id")
 def territories(spark: SparkSession, d: str) -> DataFrame:
-    return groups.territories(graph_nodes(spark, d, ("decision",)), graph_edges(spark, d, ("GOVERNS",))).select("id", "decision_id", F.col("member_count").cast("long").alias("member_count"))
+    return groups.territories(graph_nodes(spark, d, ("decision",)), graph_edges(spark, d, ("GOVERNS",))).select("id", "decision_id", "member_count")
+
+
+@query("territory_members", GRAPH + " select distinct 'group:decision:' || source_id as id, source_id as decision_id, target_id as member from g_edges where relation = 'GOVERNS'")
+def territory_members(spark: SparkSession, d: str) -> DataFrame:
+    return groups.territory_members(graph_nodes(spark, d, ("decision",)), graph_edges(spark, d, ("GOVERNS",)))
 
 
 def _rep_sql(zoom: float) -> str:
@@ -218,8 +240,8 @@ def _project_sql(zoom: float, part: str) -> str:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as one table each, as a projection reads them."""
-    return checkpoint(graph_nodes(spark, d)), checkpoint(graph_edges(spark, d))
+    """Nodes as one table, as a projection reads them several times, and edges, which it reads once."""
+    return checkpoint(graph_nodes(spark, d)), graph_edges(spark, d)
 
 
 def _projected(zoom: float, part: str) -> Query:
@@ -247,7 +269,8 @@ def projection_diff(spark: SparkSession, d: str) -> DataFrame:
 @query("focus_view", GRAPH + """, near as (select 'n-3' as id union select target_id from g_edges where source_id = 'n-3' union select source_id from g_edges where target_id = 'n-3')
     select id, kind from g_nodes join near using (id)""")
 def focus_view(spark: SparkSession, d: str) -> DataFrame:
-    return projection.project(*_graph(spark, d), 3.0, focus=("n-3", 1)).nodes.select("id", "kind")
+    nodes, edges = _graph(spark, d)
+    return projection.project(nodes, checkpoint(edges), 3.0, focus=("n-3", 1)).nodes.select("id", "kind")
 
 
 @query("search_forced", f"""{GRAPH}, {OWNED}, {_dirs(2)}, matches as (select id, kind from g_nodes where contains(lower(name), 'order#1') or contains(lower(qualified_name), 'order#1')),
@@ -269,13 +292,19 @@ _BM25 = r"""with words as (select doc_id, unnest(list_filter(regexp_split_to_arr
 def _bm25(text: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         docs = table(spark, d, "documents").select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("node_id"), F.col("text").alias("description"))
-        postings = fulltext.index(docs, ("description",))
-        return fulltext.search(postings, fulltext.lengths(postings, docs), text).select("node_id", F.round("rank", 9).alias("rank"))
+        return fulltext.search_texts(docs, text, ("description",)).select("node_id", F.round("rank", 9).alias("rank"))
 
     return run
 
 
 query("bm25_either", _BM25)(_bm25("the OR and"))
+@query("bm25_kept_index", _BM25)
+def bm25_kept_index(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("node_id"), F.col("text").alias("description"))
+    postings = checkpoint(fulltext.index(docs, ("description",)))
+    return fulltext.search(postings, fulltext.lengths(postings, docs), "the OR and").select("node_id", F.round("rank", 9).alias("rank"))
+
+
 query("bm25_both", _BM25 + " where terms = 2")(_bm25("the and"))
 query("bm25_not", _BM25.replace("-sum(greatest", "-sum(case when term = 'the' then 1 else 0 end * greatest") + " where terms = 1 and rank <> 0")(_bm25("the NOT and"))
 query("phrase_search", r"""select 'd-' || doc_id as node_id from documents where contains(' ' || array_to_string(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ' ') || ' ', ' of the ')""")(
@@ -412,16 +441,17 @@ _INDEX = "with p as (select 'shop' as name, '2024-01-01' as indexed_at)"
 def _index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Suppliers and parts as an index of another code base, for the union."""
     none = F.lit(None).cast("string")
-    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("shop").alias("project"), F.when(F.col("s_suppkey") % 2 == 0, "Method").otherwise("Enum").alias("label"), F.col("s_name").alias("name"), none.alias("qualified_name"), F.lit("").alias("file_path"))
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("shop").alias("project"), F.expr("case s_suppkey % 3 when 0 then 'Method' when 1 then 'CLASS' else 'Enum' end").alias("label"), F.col("s_name").alias("name"), none.alias("qualified_name"), F.lit("").alias("file_path"), F.concat(F.lit('{"n":'), F.col("s_suppkey").cast("string"), F.lit("}")).alias("properties"))
     edges = table(spark, d, "supplier").select(F.lit("shop").alias("project"), F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") + 1).alias("target_id"), F.lit("CALLS").alias("type"))
     return {"projects": spark.createDataFrame([("shop", "2024-01-01", "/shop")], "name string, indexed_at string, root_path string"), "nodes": nodes, "edges": edges}
 
 
-@query("unified_nodes", GRAPH + """ select id, kind, tier, created_at from (select id, kind, 'personal' as tier, null::varchar as created_at from g_nodes
-    union all select 'cbm-' || s_suppkey, case when s_suppkey % 2 = 0 then 'function' else 'enum' end, 'public', '2024-01-01' from supplier)""")
+@query("unified_nodes", GRAPH + """ select id, kind, tier, created_at, data from (select id, kind, 'team' as tier, null::varchar as created_at, null::varchar as data from g_nodes
+    union all select 'cbm-' || s_suppkey, case s_suppkey % 3 when 0 then 'function' when 1 then 'component' else 'enum' end, 'personal', '2024-01-01', '{"n":' || s_suppkey || '}' from supplier)""")
 def unified_nodes_query(spark: SparkSession, d: str) -> DataFrame:
-    local = graph_nodes(spark, d).withColumn("tier", F.lit("personal")).withColumn("created_at", F.lit(None).cast("string"))
-    return unified_nodes(local, _index(spark, d), "shop").select("id", "kind", "tier", "created_at")
+    none = F.lit(None).cast("string")
+    local = graph_nodes(spark, d).withColumns({"tier": F.lit("team"), "data": none, "created_at": none, "updated_at": none})
+    return unified_nodes(local, _index(spark, d), "shop").select("id", "kind", "tier", "created_at", "data")
 
 
 @query("unified_edges", GRAPH + " select source_id, target_id, relation from g_edges union all select 'cbm-' || s_suppkey, 'cbm-' || (s_suppkey + 1), 'CALLS' from supplier")
@@ -435,12 +465,12 @@ def commit_links(spark: SparkSession, d: str) -> DataFrame:
     nodes = graph_nodes(spark, d, ("decision", "file", "path"))
     files = graph_nodes(spark, d, ("function",)).select(F.concat(F.lit("h"), (F.substring("id", 3, 20).cast("long") % 50).cast("string")).alias("hash"), F.col("file_path").alias("path"))
     linked = joins.commit_links(files, joins.governed_files(nodes, graph_edges(spark, d, ("GOVERNS",))))
-    return linked.select("hash", F.size("decision_ids").cast("long").alias("decisions"), F.array_min("decision_ids").alias("first_decision"))
+    return linked.groupBy("hash").agg(F.count("*").alias("decisions"), F.min("decision_id").alias("first_decision"))
 
 
 @query("adjacency", GRAPH + """ select id, count(distinct other) as neighbours from (select source_id as id, target_id as other from g_edges union all select target_id, source_id from g_edges) group by id""")
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return joins.adjacency(graph_edges(spark, d)).select("id", F.size("neighbours").cast("long").alias("neighbours"))
+    return joins.adjacency(graph_edges(spark, d)).groupBy("id").agg(F.count("*").alias("neighbours"))
 
 
 @query("detail_panel", GRAPH + """ select relation, arrow, other, coalesce(n.name, other) as name from (select relation, '→' as arrow, target_id as other from g_edges where source_id = 'n-3'

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, base_name, group_id
+from ..functions.paths import ancestors, base_name, cap_depth, dir_of, group_id
 from ..operators.filters import forced_visible
-from ..operators.groups import path_groups, territories
+from ..operators.groups import owned, path_groups, territories, territory_members
 from ..operators.traverse import focus_set
 from ..sources.schema import KINDS, band_for
 from ..sources.session import checkpoint
@@ -68,8 +68,7 @@ def project(
     """
     band = band_for(zoom)
     groups = checkpoint(path_groups(nodes, band.depth))  # all that follows reads it several times
-    members = groups.select(F.explode("members").alias("id"), F.col("id").alias("group"), "kind")
-    closest = checkpoint(members.groupBy("id").agg(F.max_by("group", F.when(F.col("kind") == "file", 1).otherwise(0)).alias("group")))
+    closest = _closest(nodes, groups, band.depth)
     shown = groups.where(F.when(F.col("kind") == "dir", F.lit(band.dirs)).otherwise(F.lit(band.files)))
     chains = checkpoint(group_chains(groups))
 
@@ -77,7 +76,7 @@ def project(
     if focus:
         wanted = wanted.join(focus_set(edges, *focus), "id", "left_semi")
     matches = wanted.where(forced_visible(search)) if search else wanted.where(F.lit(False))
-    before = checkpoint(_folded(closest, chains, shown))
+    before = _folded(closest, chains, shown)
     bare = wanted.join(before, "id", "left_anti") if band.dirs or band.files else wanted
     own = bare.where(F.col("kind").isin(*band.kinds) & (F.lit(band.leaf_files) | (F.col("kind") != "file")))
     leaves = wanted.where("kind = 'decision'").unionByName(own.where("kind <> 'decision'"))
@@ -92,19 +91,24 @@ def project(
 
     label = F.when(F.col("kind") == "dir", F.concat(F.substring_index("path", "/", -1), F.lit("/"))).otherwise(base_name("path"))
     none = F.lit(None)
-    visible = leaves.select("*", none.cast("string").alias("group_kind"), none.cast("int").alias("member_count"))
+    visible = leaves.select("*", none.cast("string").alias("group_kind"), none.cast("long").alias("member_count"))
     visible = visible.unionByName(shown.select("id", F.lit("group").alias("kind"), label.alias("name"), F.col("kind").alias("group_kind"), "member_count"))
     representative = leaves.select("id", F.col("id").alias("rep")).unionByName(folded.select("id", F.col("above").alias("rep")))
-    held = territories(nodes, edges)
     seen = leaves.select("id").unionByName(closest.join(shown.select(F.col("id").alias("group")), "group", "left_semi").select("id"))
-    alive = held.select("id", F.explode("members").alias("member")).join(seen.withColumnRenamed("id", "member"), "member", "left_semi").select("id")
-    return Projection(visible, aggregate_edges(edges, representative), shown, held.join(alive, "id", "left_semi"))
+    alive = territory_members(nodes, edges).join(seen.select(F.col("id").alias("member")), "member", "left_semi").select("id")
+    return Projection(visible, aggregate_edges(edges, representative), shown, territories(nodes, edges).join(alive, "id", "left_semi"))
+
+
+def _closest(nodes: DataFrame, groups: DataFrame, depth: int | None) -> DataFrame:
+    """(id, group): the file group of what a file owns, the directory group of files themselves."""
+    group = F.when(F.col("kind") == "file", group_id(cap_depth(dir_of("owner"), depth))).otherwise(group_id("owner"))
+    return owned(nodes).select("id", group.alias("group")).join(groups.select(F.col("id").alias("group")), "group", "left_semi").select("id", "group")
 
 
 def _folded(closest: DataFrame, chains: DataFrame, shown: DataFrame) -> DataFrame:
-    """(id, above): the nearest shown group of each node that has one."""
-    climbed = closest.join(chains.withColumnRenamed("id", "group"), "group").join(shown.select(F.col("id").alias("above")), "above", "left_semi")
-    return climbed.groupBy("id").agg(F.min_by("above", "level").alias("above"))
+    """(id, above): the nearest shown group of each node that has one. Groups climb, then their members follow."""
+    climbed = chains.join(shown.select(F.col("id").alias("above")), "above", "left_semi").groupBy(F.col("id").alias("group")).agg(F.min_by("above", "level").alias("above"))
+    return closest.join(climbed, "group").select("id", "above")
 
 
 def diff(previous: DataFrame, current: DataFrame) -> DataFrame:

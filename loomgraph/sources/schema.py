@@ -19,8 +19,8 @@ EVENT_PAYLOAD = (
     "decision_id string, title string, rationale string, governed_file_ids array<string>, tags array<string>, changed_fields array<string>, old_id string, new_id string, "
     "reason string, from_tier string, to_tier string, would_govern_file_ids array<string>, hash string, message string, files array<struct<path:string,status:string>>, decision_links array<string>"
 )
-#: Labels of the code index by the kind they become; any other label is lower-cased.
-LABEL_KINDS = {"Function": "function", "Method": "function", "Class": "component", "Module": "component", "Interface": "component", "File": "path", "Package": "path", "Folder": "path"}
+#: Labels of the code index, lower-cased, by the kind they become; any other one stays.
+LABEL_KINDS = {"function": "function", "method": "function", "class": "component", "module": "component", "interface": "component", "file": "path", "package": "path", "folder": "path"}
 TRACED = ("CALLS", "IMPORTS")
 TIERS = ("personal", "team", "public")
 STATUSES = ("active", "superseded", "deprecated")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .schema import LABEL_KINDS
 
+#: Characters by which short items are looked for.
+ANCHOR = 8
 RELATIONS = ("CALLS", "IMPORTS", "GOVERNS", "SUPERSEDES", "REFERENCES")
 
 
@@ -63,7 +65,7 @@ def graph_edges(spark: SparkSession, folder: str, relations: tuple[str, ...] = R
         return table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").distinct().select(_keyed("o", "l_orderkey").alias("source_id"), _keyed("p", "l_partkey").alias("target_id"))
 
     def governs() -> DataFrame:
-        customers = table(spark, folder, "customer").count()
+        customers = table(spark, folder, "customer").agg(F.count("*")).scalar()
         odd = F.concat(F.lit("c-"), (F.col("doc_id") * 7 % customers).cast("string"))
         even = F.concat(F.lit("n-"), (F.col("doc_id") % 25).cast("string"))
         return table(spark, folder, "documents").select(_keyed("d", "doc_id").alias("source_id"), F.when(F.col("doc_id") % 2 == 0, even).otherwise(odd).alias("target_id"))
@@ -84,18 +86,23 @@ def quotes(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that contain an item's whole text.
 
     The second and third word of an item lie inside it, so a text that contains it has them next to
-    one another: an equi join finds the candidates. Items of fewer than four words are compared with all.
+    one another: an equi join finds the candidates. Items of fewer than four words are looked for by
+    their first characters, ANCHOR at most, among all windows of the texts of as many characters. An
+    empty item is no reference.
     """
     words = lambda c: F.split(c, r"[ \n]+")
     cut = items.where("text is not null").withColumn("w", words(F.col("text")))
-    keyed = cut.where(F.size("w") > 3).select("item_id", F.col("text").alias("item"), F.concat_ws(" ", F.col("w")[1], F.col("w")[2]).alias("pair"))
-    own = docs.select("doc_id", "text", words(F.col("text")).alias("w")).where(F.size("w") > 1)
+    keyed = cut.where(F.size("w") > 3).select("item_id", F.col("text").alias("item"), F.concat_ws(" ", F.col("w")[1], F.col("w")[2]).alias("key"))
+    own = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 1)
     pairs = F.expr("array_distinct(transform(sequence(0, size(w) - 2), i -> concat_ws(' ', w[i], w[i + 1])))")
-    hits = own.select("doc_id", F.explode(pairs).alias("pair")).join(keyed.select("item_id", "item", "pair"), "pair").select("doc_id", "item_id", "item")
-    found = hits.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item"))
-    short = cut.where(F.size("w") <= 3).select("item_id", F.col("text").alias("item"))
-    rest = docs.select("doc_id", "text").join(short, F.contains("text", "item"))
-    return found.select("doc_id", "item_id").unionByName(rest.select("doc_id", "item_id")).select(_keyed("d", "doc_id").alias("source_id"), _keyed("b", "item_id").alias("target_id"))
+    hits = own.select("doc_id", F.explode(pairs).alias("key")).join(keyed, "key").select("doc_id", "item_id", "item")
+    short = cut.where((F.size("w") <= 3) & (F.col("text") != "")).select("item_id", F.col("text").alias("item"), F.left("text", F.lit(ANCHOR)).alias("key"))
+    for n in (r.n for r in short.select(F.length("key").alias("n")).distinct().collect()):  # ANCHOR rows at most
+        windows = F.expr(f"array_distinct(transform(sequence(1, length(text) - {n - 1}), i -> substr(text, i, {n})))")
+        own = docs.where(F.length("text") >= n).select("doc_id", F.explode(windows).alias("key"))
+        hits = hits.unionByName(own.join(short, "key").select("doc_id", "item_id", "item"))
+    found = hits.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id")
+    return found.select(_keyed("d", "doc_id").alias("source_id"), _keyed("b", "item_id").alias("target_id"))
 
 
 def attach_index(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
@@ -124,18 +131,21 @@ def discover_index(spark: SparkSession, folders: list[str], root: str, explicit:
 
 def label_kind(label: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in LABEL_KINDS.items() for x in pair])
-    return F.coalesce(F.element_at(known, label), F.lower(label))
+    return F.coalesce(F.element_at(known, F.lower(label)), F.lower(label))
 
 
 def unified_nodes(local: DataFrame, index: dict[str, DataFrame] | None = None, project: str | None = None) -> DataFrame:
-    """Local nodes and, if an index and a project are given, that project's nodes under ids of their own."""
-    columns = ("id", "kind", "name", "qualified_name", "file_path", "tier", "created_at")
+    """Local nodes and, if an index and a project are given, that project's nodes, personal ones, under ids of their own."""
+    columns = ("id", "kind", "name", "qualified_name", "file_path", "data", "tier", "created_at", "updated_at")
     local = local.select(*columns)
     if not index or project is None:
         return local
     times = index["projects"].where(F.col("name") == project).select(F.col("name").alias("project"), "indexed_at")
-    outer = index["nodes"].where(F.col("project") == project).join(times, "project", "left")
-    return local.unionByName(outer.select(F.concat(F.lit("cbm-"), F.col("id").cast("string")).alias("id"), label_kind(F.col("label")).alias("kind"), "name", "qualified_name", "file_path", F.lit("public").alias("tier"), F.col("indexed_at").alias("created_at")))
+    outer = index["nodes"].where(F.col("project") == project).join(times, "project", "left").select(
+        F.concat(F.lit("cbm-"), F.col("id").cast("string")).alias("id"), label_kind(F.col("label")).alias("kind"), "name", "qualified_name", "file_path",
+        F.col("properties").alias("data"), F.lit("personal").alias("tier"), F.col("indexed_at").alias("created_at"), F.col("indexed_at").alias("updated_at"),
+    )
+    return local.unionByName(outer)
 
 
 def unified_edges(local: DataFrame, index: dict[str, DataFrame] | None = None, project: str | None = None) -> DataFrame:
