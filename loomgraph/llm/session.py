@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.session import checkpoint, ship
+from ..sources.session import checkpoint, shared_folder, ship
 
-__all__ = ["bucket", "checkpoint", "ship", "table", "text_bytes"]
+__all__ = ["bucket", "checkpoint", "shared_folder", "ship", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

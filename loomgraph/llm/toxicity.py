@@ -384,12 +384,13 @@ def _left_out(found: DataFrame, index: Index) -> dict[int, float]:
     return {r.doc_id: r.score for r in found.select("doc_id", "terms", "tf").mapInArrow(run, "doc_id long, score double").collect()}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, and the ids of the nearest examples.
 
     Scores depend on the text alone. Null and empty texts, like all texts without a term, get
     the rate of label 1 among the examples without one; without labels every score is 0.5. A null
-    doc_id stays null and is not held out. Repeated rows each give a row; other columns are ignored.
+    doc_id stays null and is not held out. Repeated rows each give a row; other columns are ignored,
+    but for a column of longs to carry along, if one is named.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
@@ -400,9 +401,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 for a in range(0, to - at, TEXTS):
                     own = bounds[a : a + TEXTS + 1]
                     scores, near = index.score(data[own[0] : own[-1]], own - own[0])
-                    ids = batch.column(0).slice(at + a, len(own) - 1)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+                    ids, carried = (batch.column(i).slice(at + a, len(own) - 1) for i in (0, 2))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), carried], ["doc_id", "score", "evidence", "carried"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    kept = F.col(carry) if carry else F.lit(None)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", kept.cast("long").alias("carried")).mapInArrow(run, "doc_id long, score double, evidence array<long>, carried long")
     held = F.coalesce(~training(F.col("doc_id")), F.lit(False)).alias("held_out")
-    return scored.select("doc_id", held, "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", held, "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "evidence", *([F.col("carried").alias(carry)] if carry else []))

@@ -19,7 +19,8 @@ def test_stages_take_effect(spark):
     left = {r.doc_id for r in quality.quality(docs).collect() if r.kept}
     left = {r.doc_id for r in toxicity.toxicity(frame(left), spark.read.parquet(f"{SF}/labels.parquet")).collect() if not r.predicted}
     left = {r.doc_id for r in jaccard.jaccard(frame(left)).collect() if r.component_id == r.doc_id}
-    copies = {r.doc_id: r.copies for r in mixing.mix(frame(left)).collect() if r.copies}
+    key_of = {r.row_key: r.doc_id for r in corpus_pipeline._keyed(docs).collect()}  # ranks documents of one size
+    copies = {key_of[r.doc_id]: r.copies for r in mixing.mix(corpus_pipeline._by_key(frame(left))).collect() if r.copies}
     got = corpus_pipeline.run(spark, SF).collect()
     assert collections.Counter(r.doc_id for r in got) == copies
     table = bpe.Vocabulary(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))).bytes
@@ -35,3 +36,22 @@ def test_stages_keep_the_columns(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Verdicts hold for rows without an id, and for one of two rows of an id."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    verdict = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
+    clean, junk = ([r for r in docs.collect() if verdict[r.doc_id] == v] for v in (True, False))
+    same = lambda r, i: (i, *r[1:])
+    rows = [*map(tuple, clean[:40]), *map(tuple, junk[:10]), same(junk[0], clean[0].doc_id), same(junk[1], None), same(clean[1], None), same(clean[2], None)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    left = corpus_pipeline.quality_rules(spark, odd, SF).collect()
+    assert collections.Counter(r.text for r in left if r.doc_id is None) == collections.Counter([clean[1].text, clean[2].text])
+    assert [r.text for r in left if r.doc_id == clean[0].doc_id] == [clean[0].text]
+    left = corpus_pipeline.one_of_each(spark, odd.unionByName(odd), SF).collect()
+    assert len({r.text for r in left}) == len(left) and {r.doc_id for r in left if r.text == clean[1].text} == {clean[1].doc_id}
+    twice = spark.createDataFrame([same(clean[0], 5), same(clean[1], 5), same(clean[1], 5)], docs.schema)
+    sizes = {r.text: len(r.text.split()) for r in clean[:2]}
+    mixed = corpus_pipeline.mixed(spark, twice, SF).collect()
+    assert abs(sum(sizes[r.text] for r in mixed) - sum(sizes[t] for t in (clean[0].text, clean[1].text, clean[1].text))) <= max(sizes.values())
