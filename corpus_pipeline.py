@@ -1,13 +1,13 @@
 """From raw documents to token ids: quality rules, toxicity, near-duplicates, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and reads
-again as the next stage's docs. All but the last return the columns of documents. Verdicts go by doc_id:
-a row without one is never rejected as toxic, of low quality or as a near copy.
+again as the next stage's docs. All but the last return the columns of documents. Verdicts go by row: a
+row's key is a hash of all its columns, so rows that share an id, or have none, are told apart, and only
+equal rows are not.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -15,34 +15,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, jaccard, mixing, quality, toxicity
-from loomgraph.llm.session import table
+from loomgraph.llm.session import shared_folder, table
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("row_key", F.xxhash64(*docs.columns, F.array(*(F.col(c).isNull() for c in docs.columns))))
+
+
+def _by_key(docs: DataFrame) -> DataFrame:
+    """The rows with their keys in place of ids, for operators to which an id is but a name."""
+    return _keyed(docs).withColumn("doc_id", F.col("row_key"))
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return _keyed(docs).join(rejected.select("row_key"), "row_key", "left_anti").select(*docs.columns)
+
+
+def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The keyed docs of keys (row_key, n, ...) joined with them; of the n equal rows of a key one."""
+    joined = _keyed(docs).join(keys, "row_key")
+    return joined.where("n = 1").unionByName(joined.where("n > 1").dropDuplicates(["row_key"]))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the limits or lie far from their language and source go."""
-    return _without(docs, quality.quality(docs).where("not kept"))
+    return _without(docs, quality.quality(_by_key(docs)).where("not kept").withColumnRenamed("doc_id", "row_key"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the labels are those beside the documents."""
-    return _without(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return _without(docs, toxicity.toxicity(_keyed(docs), table(spark, sf_dir, "labels"), carry="row_key").where("predicted = 1"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that of the smallest id stays, and of its repeated rows one."""
-    others = jaccard.jaccard(docs).where("component_id <> doc_id")
-    return _without(docs, others).dropDuplicates(docs.columns)
+    """Of each group of linked documents that of the smallest id stays, and of equal rows one."""
+    found = jaccard.jaccard(_by_key(docs)).groupBy(F.col("doc_id").alias("row_key")).agg(F.first("component_id").alias("component"), F.count("*").alias("n"))
+    ids = _keyed(docs).select("row_key", "doc_id").distinct()
+    # an id-less row stands behind those with ids
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    staying = found.join(ids, "row_key").groupBy("component").agg(F.min(F.struct(order.alias("order"), "row_key", "n")).alias("first"))
+    return _once(docs, staying.select("first.row_key", "first.n")).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as many times as the mix takes them."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
-    found = docs.join(copies.withColumnRenamed("doc_id", "mix_id"), docs.doc_id.eqNullSafe(F.col("mix_id")))
-    return found.withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)"))).select(*(docs[c] for c in docs.columns))
+    copies = mixing.mix(_by_key(docs)).groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("n"))
+    found = _once(docs, copies.where("mix_copies > 0"))
+    return found.withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)"))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Their results lie in the folder that spark.checkpoint.dir names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES):
