@@ -4,6 +4,10 @@ A page is a row of words and tags. Tags cost and words earn; how much, and which
 words cost too, comes from labelled pages: the log odds of standing inside or outside the main text
 there. One linear scan finds the run of the greatest total. Of that run the words of surroundings
 that cost (an advert or a form amid the article) are left out, and the rest is given block by block.
+
+Inside surroundings that speak for main text (an article, a class that labelled pages have there)
+tags hardly cost and other surroundings neither earn nor cost, so that a run goes on to the last
+word; to cross the border of such surroundings costs as much as BORDER words earn.
 """
 
 from __future__ import annotations
@@ -31,19 +35,35 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 #: Elements whose end tag may be left out, and those that a new one of these closes.
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
-#: Labelled pages: what stands between main marks is the main text. Words stand for words of any kind.
+#: What the border of main surroundings, a tag inside them and a tag of even odds cost; the least and most of a tag and of a word.
+BORDER, INSIDE, TAG, TAGS, WORDS = 25.0, 0.01, 0.1, (0.02, 3.0), (-1.0, 1.0)
+#: Log odds from which an element's name, a class, or a part of a class makes its words cost, and from which a class speaks for main text.
+NAME, CLASS, PART, MAIN = -1.0, -0.7, -2.0, 1.2
+#: Labelled pages, written for this purpose: what stands between main marks is the main text. Words stand for words of any kind.
 LABELLED = (
-    "<body><header class='site-header top'><div class='logo brand'>w w</div><nav class='menu navbar main-nav'><ul><li><a>w</a></li><li><a>w</a></li><li><a>w w</a></li></ul></nav></header>"
-    "<!--main--><article class='post content'><h1>w w w w w</h1><p>w w w w w w w w w w w w w w w w w w w w</p><p>w w w w w <a>w w</a> w w w w w w <b>w</b> w w w w w w w</p><h2>w w w</h2><p>w w w w w w w w w w w w</p></article><!--/main-->"
-    "<aside class='sidebar widget related'><h3>w w</h3><ul><li><a>w w w w</a></li><li><a>w w w w w</a></li></ul></aside><footer class='site-footer bottom'><p>w w w w <a>w</a> <a>w</a></p></footer></body>",
-    "<body><div id='cookie' class='cookie notice consent banner'><p>w w w w w w w w w w</p><button>w</button></div><div class='ad ads advert advertisement sponsor sponsored promo'>w w w w w w w w</div>"
-    "<!--main--><div class='content article-body entry-content story'><h1>w w w w</h1><p>w w w w w w w w w w w w w w w w</p><blockquote>w w w w w w w w w w</blockquote><ul><li>w w w w w w w</li><li>w w w w w w</li></ul><p>w w w w w w w w w w w w w w</p></div><!--/main-->"
-    "<section class='comments comment-list replies discussion disqus'><h3>w w</h3><div class='comment reply'><p>w w w w w w w w w w w w</p></div><div class='comment'><p>w w w w w w w w w</p></div></section></body>",
-    "<body><form class='search login newsletter subscribe signup'><label>w w</label><input><button>w</button></form><div class='breadcrumb breadcrumbs'><a>w</a> <a>w</a> <a>w w</a></div>"
-    "<!--main--><main><h1>w w w w w w</h1><pre>w w w w w w w w w</pre><table><tr><td>w w w</td><td>w w</td></tr><tr><td>w w w</td><td>w w</td></tr></table><p>w w w w w w w w w w w w w w w w w w</p></main><!--/main-->"
-    "<div class='share social toolbar buttons'><a>w</a><a>w</a></div><div class='pagination pager'><a>w</a><a>w</a></div><div class='copyright legal disclaimer'>w w w w w</div><div class='popup modal overlay alert warning'><p>w w w w w w w</p></div></body>",
+    # a blog post in a page wrapper
+    "<body class='single single-post'><div id='page' class='site wrapper'><header class='site-header' id='masthead'><div class='site-branding logo'><p class='site-title'><a>w w</a></p><p class='site-description'>w w w w w</p></div>"
+    "<nav class='main-navigation menu' id='site-navigation'><ul class='nav-menu'><li class='menu-item'><a>w</a></li><li class='menu-item'><a>w</a></li><li class='menu-item'><a>w w</a></li></ul></nav></header>"
+    "<div id='content' class='site-content container'><div id='primary' class='content-area'><main class='site-main'><!--main--><article class='post hentry comments-open has-sidebar'><header class='entry-header'><h1 class='entry-title'>w w w w w</h1></header>"
+    "<div class='entry-content'><p>w w w w w w w w w w w w w w w w w w w w w w w w w w w w</p><p>w w w w w <a>w w</a> w w w w w w <b>w</b> w w w w w w w w w w w w</p><h2>w w w</h2><p>w w w w w w w w w w w w w w w w w w</p><ul class='wp-block-list'><li>w w w w w</li><li>w w w w</li></ul></div></article><!--/main-->"
+    "<div id='comments' class='comments-area'><h2 class='comments-title'>w w</h2><ol class='comment-list'><li class='comment'><div class='comment-body'><div class='comment-author'>w w</div><div class='comment-content'><p>w w w w w w w w w w w w</p></div><div class='reply'><a>w</a></div></div></li>"
+    "<li class='comment'><div class='comment-body'><div class='comment-content'><p>w w w w w w w w w</p></div></div></li></ol><div id='respond' class='comment-respond'><form class='comment-form'><label>w</label><button>w w</button></form></div></div></main></div>"
+    "<aside id='secondary' class='sidebar widget-area'><section class='widget widget_recent_entries'><h2 class='widget-title'>w w</h2><ul><li><a>w w w w</a></li><li><a>w w w w w</a></li></ul></section></aside></div>"
+    "<footer class='site-footer' id='colophon'><div class='site-info footer-bottom copyright'><p>w w w w <a>w</a> <a>w</a></p></div></footer></div></body>",
+    # a news page without article elements
+    "<body><div id='cookie' class='cookie-notice cookie notice consent banner'><p>w w w w w w w w w w</p><button>w</button></div><div class='topbar top-bar header'><div class='logo'>w</div><div class='search search-box'>w</div></div><div class='menu navbar nav'><ul><li><a>w</a></li><li><a>w w</a></li></ul></div>"
+    "<div class='breadcrumb breadcrumbs'><a>w</a> <a>w</a> <a>w w</a></div><div class='ad ads advert advertisement sponsor sponsored promo banner-ad'>w w w w w w w w w</div><div class='container wrapper main-wrapper page'><div class='row columns'>"
+    "<!--main--><div class='content main-content article-body story story-body post-content article'><h1 class='title headline'>w w w w</h1><p class='lead intro summary'>w w w w w w w w w w w w w w w w w w w</p><p>w w w w w w w w w w w w w w w w w w w w w w w</p><blockquote class='quote'>w w w w w w w w w w</blockquote><figure class='image'><figcaption class='caption'>w w w w</figcaption></figure>"
+    "<ul class='list'><li>w w w w w w w</li><li>w w w w w w</li></ul><p>w w w w w w w w w w w w w w</p></div><!--/main-->"
+    "<div class='share social social-share share-buttons toolbar'><a>w</a><a>w</a></div><div class='related related-posts recommended more-stories'><h3>w w</h3><ul><li><a>w w w w w</a></li><li><a>w w w w</a></li></ul></div><div class='newsletter subscribe signup newsletter-signup'>w w w w w w</div></div>"
+    "<section class='comments user-comments replies discussion disqus responses'><h3>w w</h3><div class='reply response'><p>w w w w w w w w w w w w</p></div><div class='comment'><p>w w w w w w w w w</p></div></section></div><div class='footer bottom footer-links'><p>w w w</p><a>w</a><a>w</a></div><div class='legal disclaimer copyright'>w w w w w</div></body>",
+    # documentation with a main element
+    "<body><form class='search login'><label>w w</label><input><button>w</button></form><div class='layout'><div class='toc table-of-contents sidebar-nav navigation'><ul><li><a>w w</a></li><li><a>w</a></li></ul></div>"
+    "<!--main--><main class='docs document'><h1>w w w w w w</h1><p>w w w w w w w w w w w</p><pre>w w w w w w w w w</pre><table class='table'><tr><td>w w w</td><td>w w</td></tr><tr><td>w w w</td><td>w w</td></tr></table><p>w w w w w w w w w w w w w w w w w w</p><dl><dt>w</dt><dd>w w w w</dd></dl></main><!--/main-->"
+    "<div class='pagination pager prev-next'><a>w</a><a>w</a></div><div class='popup modal overlay alert warning'><p>w w w w w w w</p></div></div><div class='tags tag-list meta'><a>w</a><a>w</a></div></body>",
+    # roles instead of names
     "<body><div role='banner'><a>w</a></div><div role='navigation'><a>w</a><a>w</a></div><div role='complementary'><p>w w w w w</p></div><div role='contentinfo'>w w w</div><div role='search'>w</div>"
-    "<!--main--><div role='main'><p>w w w w w w w w w w w w</p><figure><figcaption>w w w w</figcaption></figure><p>w w w w w w w w w w</p><ol><li>w w w w</li><li>w w w w w</li></ol></div><!--/main--><dialog>w w w w w</dialog></body>",
+    "<!--main--><div role='main'><p>w w w w w w w w w w w w w w w w w w w</p><p>w w w w w w w w w w w w</p><ol><li>w w w w</li><li>w w w w w</li></ol></div><!--/main--><dialog>w w w w w</dialog><div role='alert'>w w w w</div><div role='dialog'>w w w w w</div></body>",
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -77,11 +97,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _traits(name: str, rest: str) -> list[str]:
-    """The element's name and the parts of its class, id and role."""
+    """The element's name, its classes, id and role, and the first and last part of those with several."""
     found = [name]
     for values in _NAMED.findall(rest):
         for value in "".join(values).lower().split():
-            found += {"." + value, *("." + part for part in re.split(r"[-_]+", value) if part)}
+            parts = [p for p in re.split(r"[-_]+", value) if p]
+            found += {"." + value, *(("." + parts[0] + "-", ".-" + parts[-1]) if len(parts) > 1 else ())}
     return found
 
 
@@ -108,16 +129,31 @@ class Weights:
                     total[inside] += n
                     for trait in {t for _, own in stack for t in own}:
                         words[inside][trait] += n
-        rate = {i: max(1, total[i]) for i in (True, False)}
-        self.traits = {t: math.log((words[True][t] + 0.5) / rate[True]) - math.log((words[False][t] + 0.5) / rate[False]) for t in {*words[True], *words[False]}}
-        self.word = max(0.2, math.log(total[True] / max(1, total[False])))
-        both = sum(tags[True].values()), sum(tags[False].values())
-        self.tags = {t: max(0.5, 1 + math.log((tags[False][t] + 1) / both[1]) - math.log((tags[True][t] + 1) / both[0])) for t in {*tags[True], *tags[False]}}
+        odds = lambda counts, all_in, all_out, t: math.log((counts[True][t] + 1) / all_in) - math.log((counts[False][t] + 1) / all_out)
+        self.traits = {t: odds(words, max(1, total[True]), max(1, total[False]), t) for t in {*words[True], *words[False]}}
+        self.word = min(WORDS[1], max(0.5, math.log(max(1, total[True]) / max(1, total[False]))))
+        both = [max(1, sum(tags[i].values())) for i in (True, False)]
+        self.tags = {t: min(TAGS[1], max(TAGS[0], TAG * math.exp(-odds(tags, *both, t)))) for t in {*tags[True], *tags[False]}}
+
+    def context(self, outer: float, name: str, traits: list[str], kept: bool) -> tuple[float, bool]:
+        """The score of a word in an element, and whether it stands in main surroundings.
+
+        The worst of an element's own traits and of what it stands in counts; an outermost article or
+        main element makes good what only classes around it say.
+        """
+        semantic = name in ("article", "main")
+        own = {t: self.traits[t] for t in traits if t in self.traits and not (kept and t == "header")}
+        worst = min((w for t, w in own.items() if w < _limit(t)), default=0.0)
+        best = max((w for t, w in own.items() if semantic or t[0] == "."), default=0.0)
+        if worst and not (semantic and best >= -worst):
+            return min(outer, max(WORDS[0], worst)), kept
+        if semantic and not kept:
+            return self.word, True
+        return outer, kept or outer > 0 and best >= MAIN
 
-    def context(self, outer: float, traits: list[str], kept: bool) -> float:
-        """The score of a word in an element: the worst of its own traits' and what it stands in."""
-        own = [self.traits[t] for t in traits if t in self.traits and not (kept and t == "header")]
-        return min([outer, *(max(-3.0, w) for w in own if w < -0.7)])
+
+def _limit(trait: str) -> float:
+    return NAME if trait[0] != "." else PART if trait[1] == "-" or trait[-1] == "-" else CLASS
 
 
 @lru_cache(maxsize=4)
@@ -125,91 +161,80 @@ def learnt(pages: tuple[str, ...] = LABELLED) -> Weights:
     return Weights(pages)
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    """Blocks of the best run joined by line ends; empty if nothing scores."""
-    owners: list[tuple[int, float, str, int]] = []
-    stack: list[tuple[str, float, bool, int]] = [("", weights.word, False, 0)]
-    elements: list[list] = [["", 0, 0, 0]]  # name, number of the one around, first text, end of texts
-    best, best_span, now, began = 0.0, (0, 0), 0.0, 0
-    block = 0
+def scored(page: str, weights: Weights) -> tuple[list[float], list[tuple[int, int, str]]]:
+    """The scores of a page's words and tags in order, and of each text (place among them, block, text) where its words may count.
 
-    def spend(amount: float) -> None:
-        nonlocal now, began, best, best_span
-        now += amount
-        if now <= 0:
-            now, began = 0.0, len(owners)
-        elif now > best:
-            best, best_span = now, (began, len(owners))
+    Every text is one entry of the scores, of all its words together.
+    """
+    scores: list[float] = []
+    texts: list[tuple[int, int, str]] = []
+    stack: list[tuple[str, float, bool]] = [("", weights.word, False)]
+    open_at: dict[str, list[int]] = {}  # of each name the places in the stack
+    blocks: list[int] = []  # places of elements that are blocks
+    block = 0
 
     def leave(level: int) -> None:
-        for _, _, _, element in stack[level:]:
-            elements[element][3] = len(owners)
-        del stack[level:]
-
-    for kind, name, rest in tokens(page or ""):
+        while len(stack) > level:
+            name, _, kept = stack.pop()
+            open_at[name].pop()
+            if name in BLOCKS:
+                blocks.pop()
+            if kept and not stack[-1][2]:
+                scores.append(-BORDER)
+
+    for kind, name, rest in tokens(page):
         if kind == "text":
             text = entities.unescape(rest)
-            if text:
-                score, n = stack[-1][1], len(text.split())
-                owners.append((block, score, text, stack[-1][3]))
-                if n:
-                    spend(n * score)
-        elif kind == "mark":
-            continue
-        else:
+            if not text:
+                continue
+            _, score, kept = stack[-1]
+            if score > 0:
+                texts.append((len(scores), block, text))
+            scores.append(len(text.split()) * (max(score, 0.0) if kept else score))
+        elif kind != "mark":
             block += name in BLOCKS
-            spend(-weights.tags.get(name, 0.5))
+            scores.append(-INSIDE if stack[-1][2] else -weights.tags.get(name, TAG))
             if kind == "open":
-                closes = len(stack)
-                for level in range(len(stack) - 1, 0, -1):
-                    if name in CLOSED_BY.get(stack[level][0], ()):
-                        closes = level
-                    if stack[level][0] in BLOCKS:
-                        break
-                leave(closes)
+                while blocks and name in CLOSED_BY.get(stack[blocks[-1]][0], ()):
+                    leave(blocks[-1])
                 if name not in VOID:
-                    _, outer, kept, around = stack[-1]
-                    stack.append((name, weights.context(outer, _traits(name, rest), kept), kept or name in ("article", "main"), len(elements)))
-                    elements.append([name, around, len(owners), None])
-            elif name not in VOID:
-                level = len(stack) - 1
-                while level and stack[level][0] != name:
-                    level -= 1
-                if level:
-                    leave(level)
-    leave(0)
-    best_span = _whole(best_span, owners, elements)
+                    _, outer, kept = stack[-1]
+                    now = weights.context(outer, name, _traits(name, rest), kept)
+                    if now[1] and not kept:
+                        scores.append(-BORDER)
+                    open_at.setdefault(name, []).append(len(stack))
+                    if name in BLOCKS:
+                        blocks.append(len(stack))
+                    stack.append((name, *now))
+            elif open_at.get(name):
+                leave(open_at[name][-1])
+    return scores, texts
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """From and to of the run of the greatest total, the first of several; empty if none is above 0."""
+    best, found, now, began = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        now += score
+        if now <= 0:
+            now, began = 0.0, i + 1
+        elif now > best:
+            best, found = now, (began, i + 1)
+    return found
+
+
+def main_text(page: str | None, weights: Weights) -> str:
+    """Blocks of the best run joined by line ends; empty if nothing scores."""
+    scores, texts = scored(page or "", weights)
+    start, end = best_run(scores)
     joined: dict[int, list[str]] = {}
-    for number, score, text, _ in owners[best_span[0] : best_span[1]]:
-        if score > 0:
+    for place, number, text in texts:
+        if start <= place < end:
             joined.setdefault(number, []).append(text)
     made = (" ".join("".join(parts).split()) for parts in joined.values())
     return "\n".join(b for b in made if b)
 
 
-def _whole(found: tuple[int, int], owners: list, elements: list) -> tuple[int, int]:
-    """The run grown to the article that it is in, or the innermost element around it that is not the page itself.
-
-    Short blocks at an article's end, or behind an advert, do not pay for the tags before them.
-    """
-    common = owners[found[0]][3] if found[1] else 0
-    for _, _, _, element in owners[found[0] + 1 : found[1]]:
-        while common != element and common:
-            if element > common:  # opened later, so not around it
-                element = elements[element][1]
-            else:
-                common = elements[common][1]
-    around = common
-    while around:
-        if elements[around][0] in ("article", "main"):
-            common = around
-            break
-        around = elements[around][1]
-    if elements[common][0] in ("", "html", "body"):
-        return found
-    return min(found[0], elements[common][2]), max(found[1], elements[common][3])
-
-
 def extract(pages: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points). Nothing is shuffled.
 

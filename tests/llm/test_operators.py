@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -150,6 +151,53 @@ def test_main_text():
     assert [extract.main_text(x, weights) for x in (None, "", "<div>", "plain  text", "<a \"" * 5000)] == ["", "", "", "plain text", ""]
 
 
+def test_best_run_by_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 25))]
+        start, end = extract.best_run(scores)
+        totals = [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        assert sum(scores[start:end]) == max([0, *totals])
+
+
+def test_main_text_in_other_pages():
+    """Pages that no weight was learnt from; m words are main text, x words are not."""
+    weights, m, x = extract.learnt(), "m " * 30, "x " * 12
+    pages = [
+        f"<body><div id=page class='hfeed site'><div class='header-wrap'><p>{x}</p></div><article class='feature-list-page'><header class=entry-header><h1>m m</h1></header><ul class=feature-list><li>m m<li>m</ul><p>{m}</p><p>m</p></article><div class='post-comments'><p>{x}</p></div></div>",
+        f"<body><nav>{x}</nav><div class='comments-open post'><p>{m}</p><p>m m</p></div><div id=comments><p>{x}</p></div><div class=site-footer>{x}</div>",
+        f"<body><aside><ul><li><a>x</a><li><a>x x</a></ul></aside><main><p>{m}</p><div class='ad-slot ad'>{x * 9}</div><p>m m m</p><form><label>x</label></form><p>m</p></main><footer>{x}</footer>",
+        f"<body><div class='overlay'><div class=wrap><article><p>{m}</p></article></div></div><div class=sidebar>{x}</div>",
+        f"<body><div class=menu>{x}</div><div><h1>m m m</h1><p>{m}<p>{m}<p>m</div><div class='cookie-notice'>{x}</div>",
+        f"<body><main><article><p>{m}</p></article><section class=comments><article class=comment><p>{x}</p></article></section></main>",
+    ]
+    got = [extract.main_text(p, weights).split() for p in pages]
+    want = [p.split(">", 1)[1] for p in pages]
+    found = [(w.count("m"), w.count("x"), len(re.findall(r"\bm\b", p))) for w, p in zip(got, want, strict=True)]
+    assert all(x == 0 and m == of for m, x, of in found), found
+
+
+def test_hostile_pages_take_linear_time():
+    weights = extract.learnt()
+    for page in ("<b>" * 300_000, "<b>" * 150_000 + "</i>" * 150_000, "<p><b>" * 100_000, "<div class=a-b>" * 60_000 + "w", "<li><a>" * 100_000):
+        began = time.process_time()
+        extract.main_text(page, weights)
+        assert time.process_time() - began < 10
+
+
+def test_pages_of_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = extract.extract(spark.read.parquet(f"{folder}/pages.parquet")).collect()
+    words = lambda t: collections.Counter(WORD.findall(t))
+    alike = []
+    for r in got:
+        own = texts[int(re.search(r"/(\d+)(?:\D|$)", r.url.split("example", 1)[1])[1])]
+        a, b = words(r.text), words(own or "")
+        alike.append(sum((a & b).values()) / max(1, sum(b.values())))
+    assert sum(x >= 0.99 for x in alike) >= 0.95 * len(alike)
+
+
 def test_extraction_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>some words here"), (1, "u", "<p>some words here"), (None, None, None)], "page_id long, url string, html string").selectExpr("*", "2 as text")
     assert sorted(map(tuple, extract.extract(pages).collect()), key=str) == sorted([(1, "u", "some words here", 15)] * 2 + [(None, None, "", 0)], key=str)
