@@ -23,7 +23,7 @@ from .session import checkpoint
 #: Weights of the sources in order, repeating; most copies of a document; documents ranked in one task.
 WEIGHTS, MOST, RANKED = (1, 2, 3), 3, 2_000
 #: Most iterations, and the share of the target from which a source counts as balanced.
-ITERATIONS, PRECISE = 60, 1e-9
+ITERATIONS, PRECISE = 60, 1e-6
 #: How often at most missing words are taken from a size of documents.
 REPAIRS = 8
 

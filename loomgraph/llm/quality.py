@@ -23,7 +23,7 @@ from .words import chunks, mix, spans, split
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Most concentration steps, the fall of a determinant's logarithm that counts, and the chi-square tail beyond which a text is an outlier.
-STEPS, FALL, TAIL = 30, 1e-3, 1e-4
+STEPS, FALL, TAIL = 30, 1e-2, 1e-4
 #: Precision of the distances' medians: one in so many rows may be on the wrong side.
 RANKS = 10_000
 #: Into how many the rows of a language and source are dealt for joins.
@@ -31,7 +31,7 @@ SALTS = 32
 #: Of each statistic the spread that an estimate is raised to where it has less: most clean texts have none of some.
 FLOORS = {"v_chars": 0.04, "v_symbols": 0.08, "v_lines": 0.15, "v_repeats": 0.15}
 #: Starts by subsets of the rows, besides the one at the medians, and about how many rows a subset has at least.
-STARTS, SUBSET = 4, 16
+STARTS, SUBSET = 2, 16
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -109,7 +109,7 @@ def _distance(fit: Column) -> Column:
     """Squared Mahalanobis distance of the v_ columns under a centre and an inverse covariance."""
     off = [F.col(v) - fit["centre"][i] for i, v in enumerate(FLOORS)]
     d = len(off)
-    return sum((off[i] * off[j] * fit["inverse"][i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
+    return sum((off[i] * off[j] * fit["inverse"][i * d + j] * (1 if i == j else 2) for i in range(d) for j in range(i, d)), F.lit(0.0))
 
 
 def raised(spread: np.ndarray) -> np.ndarray:
@@ -124,7 +124,9 @@ def _fitted(moments: DataFrame, factor: float) -> DataFrame:
 
     def fit(n: float, sums: list[float], products: list[float]) -> dict:
         centre = np.array(sums) / n
-        spread = raised(factor * (np.array(products).reshape(len(centre), -1) / n - np.outer(centre, centre)))
+        both = np.zeros((len(centre), len(centre)))
+        both[np.triu_indices(len(centre))] = products
+        spread = raised(factor * ((both + np.triu(both, 1).T) / n - np.outer(centre, centre)))
         return {"logdet": float(np.linalg.slogdet(spread)[1]), "centre": centre.tolist(), "inverse": np.linalg.inv(spread).ravel().tolist()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +150,7 @@ def _moments(rows: DataFrame, chosen: list[Column]) -> DataFrame:
         among = lambda x: F.coalesce(F.sum(F.when(condition, x)), F.sum(x))
         return F.struct(
             among(F.lit(1.0)).alias("n"), F.array(*(among(F.col(v)) for v in names)).alias("sums"),
-            F.array(*(among(F.col(a) * F.col(b)) for a in names for b in names)).alias("products"),
+            F.array(*(among(F.col(a) * F.col(b)) for k, a in enumerate(names) for b in names[k:])).alias("products"),
         )
 
     return rows.groupBy("part").agg(F.array(*map(one, chosen)).alias("moments"))

@@ -27,7 +27,7 @@ from .words import chunks, mix, split
 
 #: Most examples of each label that the index holds, margin of a telling term's G over twice the log of the
 #: number of terms, how many times as frequent it must be with one label, and starts of words in bytes.
-EXAMPLES, MARGIN_G, RATIO, STARTS = 1000, 2.0, 5.0, (4, 5, 6)
+EXAMPLES, MARGIN_G, RATIO, STARTS = 750, 2.0, 5.0, (4, 5, 6)
 #: Examples in a block, voters, weight of the prior against a voter of cosine 1, and the score that predicts 1.
 BLOCK, NEAREST, PRIOR, TOXIC = 64, 15, 0.3, 0.7
 #: Texts searched at a time, and the share of the examples from which a term is a common one.
@@ -269,10 +269,10 @@ def examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, i
                 cut = np.searchsorted(text, np.arange(to - at + 1))
                 rows = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 ids, toxic = (batch.column(i).slice(at, to - at) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([ids, toxic, pa.array([term[r] for r in rows], pa.list_(pa.int64())), pa.array([size[r] for r in rows], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "tf"])
+                yield pa.RecordBatch.from_arrays([ids, toxic, pa.array([term[r] for r in rows], pa.list_(pa.int64())), pa.array([size[r].astype(np.int32) for r in rows], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "tf"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
-    found = found.mapInArrow(run, "doc_id long, toxic int, terms array<long>, tf array<long>")
+    found = found.mapInArrow(run, "doc_id long, toxic int, terms array<long>, tf array<int>")
     return checkpoint(found.groupBy("doc_id").agg(F.min(F.struct("terms", "tf", "toxic")).alias("x")).select("doc_id", "x.toxic", "x.terms", "x.tf")), counts
 
 
@@ -292,6 +292,7 @@ def frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], ["term", "n"])
 
     got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    wanted.destroy()
     at, n = got["term"].to_numpy(), got["n"].to_numpy()
     found = np.zeros(len(terms), np.int64)
     found[at[at >= 0]] = n[at >= 0]
@@ -311,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     toxic, ids = rows["toxic"].to_numpy().astype(float), rows["doc_id"].to_numpy()
     each, term, tf = (pc.list_value_length(rows["terms"]).to_numpy().astype(int), *(pc.list_flatten(rows[c]).to_numpy() for c in ("terms", "tf")))
     terms, at = np.unique(term, return_inverse=True)
-    at, who, tf = at.astype(np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), each), tf.astype(np.int32)
+    at, who, tf = at.astype(np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), each), tf.copy()
     del rows, term
     told = _telling(toxic, at, who, terms)
     n = {y: max(1, int((toxic == y).sum())) for y in (0, 1)}
@@ -333,8 +334,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     weight = index.vectors(who, at, tf, np.zeros(len(ids)))
     by = np.lexsort((who, at))
     index.weights = Postings(np.append(0, np.cumsum(seen)), who[by], weight[by])
+    del at, tf, weight, by  # the driver holds little besides the index
     index.prior = float(stands @ toxic / stands.sum()) if len(ids) else 0.5
     bare = np.bincount(who, minlength=len(ids)) == 0
+    del who
     index.without = float((stands[bare] @ toxic[bare] + index.prior) / (stands[bare].sum() + 1))
     if len(ids):
         by_others = _left_out(found, index)
@@ -381,7 +384,9 @@ def _left_out(found: DataFrame, index: Index) -> dict[int, float]:
                 skip = np.array([number[i] for i in part["doc_id"].to_pylist()])
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(own.voted(which, own.find(term), tf, np.zeros(part.num_rows), skip)[0])], ["doc_id", "score"])
 
-    return {r.doc_id: r.score for r in found.select("doc_id", "terms", "tf").mapInArrow(run, "doc_id long, score double").collect()}
+    scores = {r.doc_id: r.score for r in found.select("doc_id", "terms", "tf").mapInArrow(run, "doc_id long, score double").collect()}
+    shared.destroy()
+    return scores
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataFrame:
