@@ -135,15 +135,18 @@ def label_kind(label: Column) -> Column:
 
 
 def unified_nodes(local: DataFrame, index: dict[str, DataFrame] | None = None, project: str | None = None) -> DataFrame:
-    """Local nodes and, if an index and a project are given, that project's nodes, personal ones, under ids of their own."""
+    """Local nodes and, if an index and a project are given, that project's nodes, personal ones, under ids of their own.
+
+    Columns that local nodes lack are null, as are the data of an index without properties.
+    """
     columns = ("id", "kind", "name", "qualified_name", "file_path", "data", "tier", "created_at", "updated_at")
-    local = local.select(*columns)
+    local = local.select(*(F.col(c) if c in local.columns else F.lit(None).cast("string").alias(c) for c in columns))
     if not index or project is None:
         return local
     times = index["projects"].where(F.col("name") == project).select(F.col("name").alias("project"), "indexed_at")
     outer = index["nodes"].where(F.col("project") == project).join(times, "project", "left").select(
         F.concat(F.lit("cbm-"), F.col("id").cast("string")).alias("id"), label_kind(F.col("label")).alias("kind"), "name", "qualified_name", "file_path",
-        F.col("properties").alias("data"), F.lit("personal").alias("tier"), F.col("indexed_at").alias("created_at"), F.col("indexed_at").alias("updated_at"),
+        (F.col("properties") if "properties" in index["nodes"].columns else F.lit(None).cast("string")).alias("data"), F.lit("personal").alias("tier"), F.col("indexed_at").alias("created_at"), F.col("indexed_at").alias("updated_at"),
     )
     return local.unionByName(outer)
 
