@@ -18,6 +18,9 @@ DISTANCES = {"GOVERNS": 45, "CALLS": 55, "IMPORTS": 70, "SUPERSEDES": 40, "REFER
 STRENGTHS = {"GOVERNS": 0.8, "CALLS": 0.5, "IMPORTS": 0.4, "SUPERSEDES": 0.6, "REFERENCES": 0.4, "co-changed": 0.1}
 OTHER_SIZE, OTHER_STROKE, OTHER_CHARGE, OTHER_DISTANCE, OTHER_STRENGTH = (4, 5, 10), (0.5, 0.3, 1.6), -50, 120, 0.3
 LEAST_ZOOM, MOST_ZOOM = 0.2, 5.0
+#: Milliseconds of coming and going, the size at which what goes is gone, how far what comes overshoots.
+ENTER_MS, EXIT_MS, GONE_SCALE, OVERSHOOT = 280.0, 220.0, 0.6, 1.70158
+PULL = 0.25
 
 
 def _look(table: dict, key: Column, other, at: int | None = None) -> Column:
@@ -84,6 +87,78 @@ def bounding_camera(points: DataFrame, width: float, height: float, pad: float =
     return box_.select(centre("x"), centre("y"), zoom.alias("zoom"), "n")
 
 
+def clamp_zoom(zoom: Column) -> Column:
+    return F.least(F.lit(MOST_ZOOM), F.greatest(F.lit(LEAST_ZOOM), zoom))
+
+
+def to_screen(camera: Column, x: Column, y: Column, width: float, height: float) -> Column:
+    """The pixel (x, y) at which a camera (struct of x, y, zoom) shows a point."""
+    return F.struct(((x - camera.x) * camera.zoom + width / 2).alias("x"), ((y - camera.y) * camera.zoom + height / 2).alias("y"))
+
+
+def to_world(camera: Column, x: Column, y: Column, width: float, height: float) -> Column:
+    """The point that a camera shows at a pixel."""
+    return F.struct(((x - width / 2) / camera.zoom + camera.x).alias("x"), ((y - height / 2) / camera.zoom + camera.y).alias("y"))
+
+
+def zoom_at(camera: Column, factor: Column, x: Column, y: Column, width: float, height: float) -> Column:
+    """The camera zoomed by a factor, the point at pixel (x, y) staying there."""
+    zoom = clamp_zoom(camera.zoom * factor)
+    there, here = (to_world(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), z.alias("zoom")), x, y, width, height) for z in (camera.zoom, zoom))
+    return F.struct((camera.x + there.x - here.x).alias("x"), (camera.y + there.y - here.y).alias("y"), zoom.alias("zoom"))
+
+
+def between(start: Column, end: Column, t: Column) -> Column:
+    """The camera at share t of the way."""
+    return F.struct(*((start[c] + (end[c] - start[c]) * t).alias(c) for c in ("x", "y", "zoom")))
+
+
+def moving(transitions: DataFrame, passed: float) -> DataFrame:
+    """Transitions (phase, age, ...) that many milliseconds later, without those that are over."""
+    lasts = F.when(F.col("phase") == "entering", ENTER_MS).otherwise(EXIT_MS)
+    return transitions.withColumn("age", F.col("age") + passed).where(F.col("age") < lasts)
+
+
+def appearance(phase: Column, age: Column, start: Column, end: Column) -> Column:
+    """How a node looks within a transition, as a struct of x, y, opacity and scale.
+
+    One that enters stands at end and grows there, its scale overshooting; one that exits moves evenly
+    from start, a struct of the same four, to end and fades ever faster.
+    """
+    enters = phase == "entering"
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), age / F.when(enters, ENTER_MS).otherwise(EXIT_MS)))
+    left = t - 1
+    bloom = F.when(t <= 0, 0.0).when(t >= 1, 1.0).otherwise(1 + left * left * (left * (OVERSHOOT + 1) + OVERSHOOT))
+    exits = lambda c, last, share: start[c] + (last - start[c]) * share
+    return F.struct(
+        F.when(enters, end.x).otherwise(exits("x", end.x, t)).alias("x"), F.when(enters, end.y).otherwise(exits("y", end.y, t)).alias("y"),
+        F.when(enters, 1 + left * left * left).otherwise(exits("opacity", 0.0, t * t)).alias("opacity"),
+        F.when(enters, bloom).otherwise(exits("scale", GONE_SCALE, t * t)).alias("scale"),
+    )
+
+
+def hit_edge(edges: DataFrame, nodes: DataFrame, x: float, y: float, threshold: float) -> DataFrame:
+    """The aggregate edge, the first by its ends, that passes a point within a threshold; edges without both nodes (id, x, y) do not count."""
+    folded = edges.where("aggregate")
+    for end, k in (("source_id", "a"), ("target_id", "b")):
+        folded = folded.join(nodes.select(F.col("id").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")), end)
+    near = segment_distance(F.lit(x), F.lit(y), *(F.col(c) for c in ("ax", "ay", "bx", "by"))) <= threshold
+    return folded.where(near).select(*edges.columns).orderBy("source_id", "target_id").limit(1)
+
+
+def governance_pull(nodes: DataFrame, edges: DataFrame, alpha: float = 1.0, strength: float = PULL) -> DataFrame:
+    """(id, x, y, n, vx, vy): the centroid of the shown nodes (id, kind, x, y) that each decision governs, and how it is drawn there.
+
+    A decision that governs no shown node feels nothing and has no row.
+    """
+    decisions = nodes.where("kind = 'decision'").select("id", F.col("x").alias("own_x"), F.col("y").alias("own_y"))
+    targets = nodes.select(F.col("id").alias("target_id"), "x", "y")
+    held = edges.where("relation = 'GOVERNS'").select(F.col("source_id").alias("id"), "target_id").join(targets, "target_id")
+    mean = held.groupBy("id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    pull = lambda c: ((F.col(c) - F.col(f"own_{c}")) * strength * alpha).alias(f"v{c}")
+    return mean.join(decisions, "id").select("id", "x", "y", "n", pull("x"), pull("y"))
+
+
 def centroids(points: DataFrame, group: str) -> DataFrame:
     return points.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
 

@@ -122,6 +122,19 @@ def parse_git_log(lines: DataFrame) -> DataFrame:
     return grouped.select("source", "commit", F.col("h")[0].alias("hash"), F.col("h")[1].alias("message"), F.col("h")[2].alias("author"), F.try_to_number(F.col("h")[3], F.lit("9999999999999")).cast("long").alias("timestamp"), F.transform("files", lambda x: x.f).alias("files"))
 
 
+def scan_git(lines: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New commits of logs (source, line_no, text; newest first), and the (source, hash) to take as seen next time.
+
+    seen has the last commit seen of each source. A source without one only starts from its head, without
+    history; so does one whose last commit is not in its log any more.
+    """
+    commits = parse_git_log(lines)
+    last = commits.join(seen, ["source", "hash"], "left_semi").groupBy("source").agg(F.min("commit").alias("last"))
+    new = commits.join(last, "source").where("commit < last").drop("last")
+    heads = commits.where("commit = 1").select("source", "hash")
+    return new, heads.unionByName(seen.select("source", "hash").join(heads, "source", "left_anti"))
+
+
 def commit_events(commits: DataFrame, links: DataFrame) -> DataFrame:
     """Events of commits, oldest first, with the decisions (hash, decision_id) that govern their files, which an event lists."""
     listed = links.groupBy("hash").agg(F.array_sort(F.collect_set("decision_id")).alias("decision_ids"))

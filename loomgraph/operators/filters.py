@@ -70,6 +70,19 @@ def label_shown(zoom: float) -> Column:
     return F.when(kind.isin("group", "decision"), True).when(kind == "file", F.lit(zoom >= 0.7)).otherwise(F.lit(zoom >= 2.0))
 
 
+def faded(query: str) -> Column:
+    """How opaque a search leaves a node."""
+    return F.when(name_holds(query), 1.0).otherwise(0.1)
+
+
+def by_boxes(nodes: DataFrame, edges: DataFrame, boxes: dict[str, bool]) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose kind is ticked or has no box, and edges between two of them."""
+    shown = nodes.where(F.coalesce(~F.col("kind").isin(*(k for k, ticked in boxes.items() if not ticked)), F.lit(True)))
+    ids = shown.select("id")
+    both = edges.join(ids, F.col("source_id") == F.col("id"), "left_semi").join(ids, F.col("target_id") == F.col("id"), "left_semi")
+    return shown, both
+
+
 def grep(lines: DataFrame, pattern: str) -> DataFrame:
     """Lines that a regular expression finds something in."""
     return lines.where(F.col("text").rlike(pattern))

@@ -86,3 +86,9 @@ def without_node(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """Edges neither of whose ends is among the removed ids."""
     gone = removed.select("id")
     return edges.join(gone, F.col("source_id") == F.col("id"), "left_anti").join(gone, F.col("target_id") == F.col("id"), "left_anti")
+
+
+def annotations_left(annotations: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Annotations (id, decision_id, edge_id, ...) whose decision and edge (both by id) are still there."""
+    explained = annotations.join(edges.select(F.col("id").alias("edge_id")), "edge_id", "left_semi")
+    return explained.join(nodes.select(F.col("id").alias("decision_id")), "decision_id", "left_semi").select(*annotations.columns)

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name
-from ..sources.schema import EDGES, NODES, TIERS
-from .filters import by_id
+from ..sources.schema import ANNOTATIONS, EDGES, NODES, TIERS
+from ..sources.session import checkpoint
+from .filters import by_id, find
+from .joins import annotations_left
 
 
 def stamp(after: str | None = None) -> str:
@@ -21,15 +23,25 @@ def stamp(after: str | None = None) -> str:
         now = max(now, datetime.fromisoformat(after.replace("Z", "+00:00")) + timedelta(milliseconds=1))
     return now.isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
+#: Writes after which the state is checkpointed, so that its plan stays short.
+FOLD_AFTER = 32
+
 
 class Store:
-    """Nodes and edges as DataFrames; every write gives a new state and keeps the events it makes."""
+    """Nodes, edges and annotations as DataFrames; every write gives a new state and keeps the events it makes."""
 
     def __init__(self, spark: SparkSession, nodes: DataFrame | None = None, edges: DataFrame | None = None):
         self.spark = spark
         self.nodes = nodes if nodes is not None else spark.createDataFrame([], NODES)
         self.edges = edges if edges is not None else spark.createDataFrame([], EDGES)
+        self.annotations = spark.createDataFrame([], ANNOTATIONS)
         self.events: list[dict] = []
+        self._writes = {"nodes": 0, "edges": 0, "annotations": 0}
+
+    def _set(self, **tables: DataFrame) -> None:
+        for name, rows in tables.items():
+            self._writes[name] += 1
+            setattr(self, name, checkpoint(rows) if self._writes[name] % FOLD_AFTER == 0 else rows)
 
     def get(self, node: str) -> dict | None:
         row = by_id(self.nodes, node).first()
@@ -37,7 +49,7 @@ class Store:
 
     def create_node(self, kind: str, name: str, qualified_name: str | None = None, file_path: str | None = None, data: dict | None = None, tier: str = "personal") -> str:
         node, now = str(uuid.uuid4()), stamp()
-        self.nodes = self.nodes.unionByName(self.spark.createDataFrame([(node, kind, name, qualified_name, file_path, json.dumps(data or {}), tier, now, now)], NODES))
+        self._set(nodes=self.nodes.unionByName(self.spark.createDataFrame([(node, kind, name, qualified_name, file_path, json.dumps(data or {}), tier, now, now)], NODES)))
         return node
 
     def update_node(self, node: str, **fields: str) -> None:
@@ -46,22 +58,43 @@ class Store:
             raise KeyError(f"Node not found: {node}")
         new = old | fields | {"updated_at": stamp(old["updated_at"])}
         row = self.spark.createDataFrame([tuple(new[c] for c in self.nodes.columns)], NODES)
-        self.nodes = self.nodes.where(F.col("id") != node).unionByName(row)
+        self._set(nodes=self.nodes.where(F.col("id") != node).unionByName(row))
 
     def delete_node(self, node: str) -> None:
-        """Edges of the node go with it."""
-        self.nodes = self.nodes.where(F.col("id") != node)
-        self.edges = self.edges.where((F.col("source_id") != node) & (F.col("target_id") != node))
+        """Edges of the node go with it, and annotations by it or of those edges."""
+        self._set(nodes=self.nodes.where(F.col("id") != node), edges=self.edges.where((F.col("source_id") != node) & (F.col("target_id") != node)))
+        self._set(annotations=annotations_left(self.annotations, self.nodes, self.edges))
 
     def create_edge(self, source: str, target: str, relation: str, data: dict | None = None) -> str:
         if self.nodes.where(F.col("id").isin(source, target)).count() < len({source, target}):
             raise ValueError("both ends of an edge must exist")
         edge = str(uuid.uuid4())
-        self.edges = self.edges.unionByName(self.spark.createDataFrame([(edge, source, target, relation, json.dumps(data or {}), stamp())], EDGES))
+        self._set(edges=self.edges.unionByName(self.spark.createDataFrame([(edge, source, target, relation, json.dumps(data or {}), stamp())], EDGES)))
         return edge
 
     def delete_edge(self, edge: str) -> None:
-        self.edges = self.edges.where(F.col("id") != edge)
+        self._set(edges=self.edges.where(F.col("id") != edge), annotations=self.annotations.where(F.col("edge_id") != edge))
+
+    def create_annotation(self, decision: str, edge: str) -> str:
+        """A decision explains an edge; both must exist."""
+        if self.get(decision) is None or by_id(self.edges, edge).isEmpty():
+            raise ValueError("an annotation needs its decision and its edge")
+        made = str(uuid.uuid4())
+        self._set(annotations=self.annotations.unionByName(self.spark.createDataFrame([(made, decision, edge, stamp())], ANNOTATIONS)))
+        return made
+
+    def delete_annotation(self, annotation: str) -> None:
+        self._set(annotations=self.annotations.where(F.col("id") != annotation))
+
+    def find_annotations(self, decision: str | None = None, edge: str | None = None) -> DataFrame:
+        return find(self.annotations, decision_id=decision, edge_id=edge)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"nodes": self.nodes, "edges": self.edges, "annotations": self.annotations}
+
+    def sql(self, text: str, **values) -> DataFrame:
+        """Any query over the tables, named {nodes}, {edges} and {annotations} in the text; :name stands for a value."""
+        return self.spark.sql(text, args=values, **{name: rows for name, rows in self.tables().items() if "{" + name + "}" in text})
 
     def target(self, given: str) -> str:
         """A node's id as it is; else the node of that path; else a new path node."""

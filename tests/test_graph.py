@@ -168,6 +168,59 @@ def test_store(spark):
     assert store.edges.count() == 0
 
 
+def test_annotations_go_with_their_decision_and_edge(spark):
+    store = Store(spark)
+    a, b = store.create_node("file", "a.ts"), store.create_node("file", "b.ts")
+    decision = store.create_node("decision", "D")
+    edges = [store.create_edge(a, b, r) for r in ("CALLS", "IMPORTS")] + [store.create_edge(b, b, "CALLS")]
+    made = [store.create_annotation(decision, e) for e in edges]
+    assert store.find_annotations(decision=decision).count() == 3 and [r.id for r in store.find_annotations(edge=edges[0]).collect()] == made[:1]
+    with pytest.raises(ValueError):
+        store.create_annotation(decision, "gone")
+    store.delete_edge(edges[0])
+    assert sorted(r.id for r in store.annotations.collect()) == sorted(made[1:])
+    store.delete_node(a)
+    assert [r.id for r in store.annotations.collect()] == made[2:]
+    assert store.sql("select n.name from {nodes} n join {annotations} a on a.decision_id = n.id where kind = :kind", kind="decision").collect()[0].name == "D"
+    store.delete_node(decision)
+    assert store.annotations.isEmpty()
+
+
+def test_many_writes_keep_the_plan_short(spark, monkeypatch):
+    monkeypatch.setattr("loomgraph.operators.store.FOLD_AFTER", 5)
+    store = Store(spark)
+    for i in range(12):
+        store.create_node("file", f"f{i}")
+    assert store.nodes.count() == 12 and store.nodes._jdf.queryExecution().analyzed().toString().count("Union") < 5
+
+
+def test_git_scan_starts_at_the_head(spark):
+    rows = [(s, i, t) for s in ("new", "known", "rebased") for i, t in enumerate(["h3\x00c\x00x\x003", "M\ta.ts", "h2\x00b\x00x\x002", "h1\x00a\x00x\x001"])]
+    seen = spark.createDataFrame([("known", "h1"), ("rebased", "h0"), ("silent", "h9")], "source string, hash string")
+    found, heads = events.scan_git(spark.createDataFrame(rows, "source string, line_no int, text string"), seen)
+    assert pairs(found.select("source", "hash")) == [("known", "h2"), ("known", "h3")]
+    assert pairs(heads) == [("known", "h3"), ("new", "h3"), ("rebased", "h3"), ("silent", "h9")]
+
+
+def test_views(spark):
+    at = F.struct(F.lit(2.0).alias("x"), F.lit(4.0).alias("y"), F.lit(1.0).alias("opacity"), F.lit(1.0).alias("scale"))
+    to = F.struct(F.lit(6.0).alias("x"), F.lit(8.0).alias("y"))
+    look = lambda phase, age: tuple(spark.range(1).select(drawing.appearance(F.lit(phase), F.lit(age), at, to).alias("a")).first().a)
+    assert look("entering", -5.0) == (6, 8, 0, 0) and look("entering", 280.0) == (6, 8, 1, 1) and look("entering", 200.0)[3] > 1
+    assert look("exiting", 0.0) == (2, 4, 1, 1) and look("exiting", 110.0) == (4, 6, 0.75, 0.9) and look("exiting", 999.0) == (6, 8, 0, 0.6)
+    nodes = spark.createDataFrame([("d", "decision", 0.0, 0.0), ("e", "decision", 1.0, 1.0), ("a", "file", 4.0, 0.0), ("b", None, 0.0, 8.0)], "id string, kind string, x double, y double")
+    edges = edges_of(spark, ("d", "a", "GOVERNS"), ("d", "b", "GOVERNS"), ("e", "gone", "GOVERNS"), ("a", "b", "CALLS"))
+    assert pairs(drawing.governance_pull(nodes, edges)) == [("d", 2.0, 4.0, 2, 0.5, 1.0)]
+    folded = edges.withColumn("aggregate", F.col("relation") == "CALLS")
+    assert [r.source_id for r in drawing.hit_edge(folded, nodes, 2.0, 4.0, 0.1).collect()] == ["a"] and drawing.hit_edge(folded, nodes, 4.0, 8.0, 0.1).isEmpty()
+    shown, left = filters.by_boxes(nodes, edges, {"file": False, "decision": True})
+    assert pairs(shown.select("id")) == [("b",), ("d",), ("e",)] and pairs(left) == [("d", "b", "GOVERNS")]
+    camera = F.struct(F.lit(3.0).alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("zoom"))
+    zoomed = drawing.zoom_at(camera, F.lit(9.0), F.lit(10.0), F.lit(20.0), 100.0, 80.0)
+    before, after, zoom = spark.range(1).select(drawing.to_world(camera, F.lit(10.0), F.lit(20.0), 100.0, 80.0), drawing.to_world(zoomed, F.lit(10.0), F.lit(20.0), 100.0, 80.0), zoomed.zoom).first()
+    assert tuple(before) == pytest.approx(tuple(after)) and zoom == 5
+
+
 def test_search_and_union(spark):
     nodes = spark.createDataFrame([("1", "Function", "parseBody", "p.f"), ("2", "Class", "Router", "p_f")], "id string, label string, name string, qualified_name string")
     assert [r.id for r in filters.search_symbols(nodes, "BODY").collect()] == ["1"]
