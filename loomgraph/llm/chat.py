@@ -2,7 +2,8 @@
 
 A conversation is written as turns, each with marks of its role, after a header that names its
 escaping. It is parsed again by splitting at the marks; where the turns read back differ from those
-written, the conversation is written once more with every text escaped, which no text can break.
+written, the conversation is written once more with every text escaped, which no text can break. That
+is parsed and compared too; a conversation that still differed would fail the job, not pass unnoticed.
 Only DataFrame functions are used.
 """
 
@@ -79,7 +80,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     source = F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
     plain = chats.withColumn("plain", written(False)).withColumn("escaped", parse(F.col("plain")) != source)
-    out = plain.withColumn("formatted", F.when(F.col("escaped"), written(True)).otherwise(F.col("plain"))).drop("plain")
+    written_out = plain.withColumn("formatted", F.when(F.col("escaped"), written(True)).otherwise(F.col("plain"))).drop("plain")
+    differs = F.raise_error(F.concat(F.lit("not read back as written: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    out = written_out.withColumn("formatted", F.when(~F.col("escaped") | (parse(F.col("formatted")) == source), F.col("formatted")).otherwise(differs.cast("string")))
     return out.withColumn("loss_spans", _loss_spans()).withColumn("n_turns", F.size("turns").cast("long")).drop("turns")
 
 

@@ -220,6 +220,22 @@ def test_chats_read_back(spark):
     assert chat.digests(chat.format_chats(frame.limit(0))).count() == 0
 
 
+def test_a_chat_that_does_not_read_back_fails(spark, monkeypatch):
+    """With an escaping that does nothing, marks within a text must fail the job; without marks nothing is escaped."""
+    monkeypatch.setattr(chat, "escape", lambda text: text)
+    frame = spark.createDataFrame([(1, 0, "user", "a</s>b")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="not read back as written: conversation 1"):
+        chat.format_chats(frame).collect()
+    assert chat.format_chats(frame.withColumn("text", F.lit("ab"))).count() == 1
+
+
+def test_very_long_chat(spark):
+    long = "[INST \\o<s>é" * 200_000
+    frame = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    row = chat.digests(chat.format_chats(frame)).first()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_vectors_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
