@@ -1,13 +1,15 @@
-"""What the operators share: checkpoints, tables, input size and bucket hashes."""
+"""What the operators share: checkpoints, tables, input size, bucket hashes and the return of freed memory."""
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.session import checkpoint, shared_folder, ship
 
-__all__ = ["bucket", "checkpoint", "shared_folder", "ship", "table", "text_bytes"]
+__all__ = ["bucket", "checkpoint", "give_back", "shared_folder", "ship", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,3 +24,10 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def bucket(*columns: str):
     """A bucket hash as a non-negative long; nulls hash too."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def give_back() -> None:
+    """Return to the system the memory that Python has freed, which the C library otherwise keeps for later; where it cannot, nothing happens."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

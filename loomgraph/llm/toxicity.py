@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bucket, checkpoint, ship
+from .session import bucket, checkpoint, give_back, ship
 from .words import chunks, mix, split
 
 #: Most examples of each label that the index holds, margin of a telling term's G over twice the log of the
@@ -398,6 +398,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> Da
     but for a column of longs to carry along, if one is named.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    give_back()  # the driver needs neither the index nor what it was made of any more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
