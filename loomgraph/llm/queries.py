@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, extract, jaccard, licenses, lm, mixing, neardup, quality, toxicity
+from . import bpe, chat, extract, jaccard, licenses, lm, mixing, neardup, periodic, quality, toxicity
 from .session import table
 
 
@@ -55,6 +55,10 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.collapse(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
