@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, extract, jaccard, licenses, lm, mixing, neardup, periodic, quality, toxicity
+from . import bpe, chat, extract, jaccard, lexical, licenses, lm, mixing, neardup, periodic, quality, toxicity
 from .session import table
 
 
@@ -59,6 +59,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.collapse(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
@@ -82,5 +86,18 @@ from marked group by conv_id
 """
 
 
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term"
+SEARCH_SQL = f"""
+with tf as (select doc_id, term, count(*) as tf from (select doc_id, {_TERMS} from documents) group by all),
+n as (select doc_id, sum(tf)::bigint as n from tf group by all),
+total as (select count(*) as docs, sum(n)::bigint as terms from n),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint as w from (select term, count(*) as df from tf group by all) cross join total),
+asked as (select item_id, term, count(*) as times from (select item_id, {_TERMS} from benchmark) group by all),
+scored as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::bigint as score
+  from asked join w using (term) join tf using (term) join n using (doc_id) cross join total group by all)
+select * from (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from scored where score > 0) where rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": CHAT_SQL}
+    return {"op3_chat_format": CHAT_SQL, "op13_ranked_search": SEARCH_SQL}

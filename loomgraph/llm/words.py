@@ -83,9 +83,10 @@ def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return _hash(_sums(data, start[start < len(data)], False), start, end)
 
 
-def split(data: np.ndarray, bounds: np.ndarray, lower: bool) -> Words:
+def split(data: np.ndarray, bounds: np.ndarray, lower: bool, breaks: np.ndarray = _WS) -> Words:
+    """breaks: which of the 256 bytes stand between words."""
     n = len(data)
-    ws = _WS[data]
+    ws = breaks[data]
     before, after = np.ones(n + 1, bool), np.ones(n + 1, bool)
     before[1:n] = ws[: n - 1] if n else False
     after[: max(n - 1, 0)] = ws[1:]
