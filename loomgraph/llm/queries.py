@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, extract, jaccard, lexical, licenses, lm, mixing, neardup, periodic, quality, toxicity
+from . import bpe, chat, extract, jaccard, lexical, licenses, lm, mixing, neardup, periodic, quality, substrings, toxicity
 from .session import table
 
 
@@ -59,6 +59,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.collapse(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
