@@ -65,18 +65,20 @@ def derive(events: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select(F.col("id").alias("seq"), F.posexplode(made).alias("pos", "m")).select("seq", "pos", "m.*")
 
 
-def fold_nodes(mutations: DataFrame) -> DataFrame:
-    """(id, kind, name, status, data) after all mutations, in the order of seq and pos.
+def fold_nodes(mutations: DataFrame, fields: tuple[str, ...] = ("kind", "name", "status", "data")) -> DataFrame:
+    """(id, kind, name, status, data), or other fields, after all mutations, in the order of seq and pos.
 
     What counts of a node is its last add or remove. If that is an add, each field has its value in the
     last update after it that sets it, else the added one. Updates of a missing node do nothing.
     """
     order = F.struct("seq", "pos")
     own = mutations.where(F.col("op").isin("add_node", "update_node", "remove_node")).withColumn("at", order)
-    placed = F.max(F.when(F.col("op") != "update_node", F.col("at"))).over(Window.partitionBy("id"))
-    live = own.withColumn("base", placed).where("base is not null and at >= base")
+    placed = own.where("op <> 'update_node'").groupBy("id").agg(F.max("at").alias("base"))
+    # by another form of the id than that of the aggregate, so that a node of very many updates can be split
+    form = lambda rows: rows.withColumn("form", F.concat(F.lit("~"), "id"))
+    live = form(own).join(form(placed).drop("id"), "form").where("at >= base")
     last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    folded = live.groupBy("id").agg(F.min_by("op", "at").alias("first"), *(last(c) for c in ("kind", "name", "status", "data")))
+    folded = live.groupBy("id").agg(F.min_by("op", "at").alias("first"), *(last(c) for c in fields))
     return folded.where("first = 'add_node'").drop("first")
 
 
