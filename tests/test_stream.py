@@ -1,8 +1,12 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators.events import derive, fold_nodes
+from loomgraph.operators.events import derive, fold_edges, fold_nodes
+from loomgraph.sources.schema import MUTATIONS
+from loomgraph.streaming.git import COMMITS, GitLogReader, git_stream
+from loomgraph.streaming.live import live_changes, live_edges, live_nodes
 from loomgraph.streaming.pipeline import event_windows, read_events, run_pipeline
 
 
@@ -22,3 +26,81 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(made).select(*key).collect()), key=str) == sorted(map(tuple, batch.select(*key).collect()), key=str)
     assert fold_nodes(spark.read.parquet(made)).count() == 3
     assert event_windows(stored, "5 seconds").agg(F.sum("count")).first()[0] == 10
+
+
+def run_stream(stream, folder, out, **options):
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(folder)).option("path", str(out)).trigger(availableNow=True).options(**options).start()
+    query.awaitTermination()
+
+
+def test_git_logs_give_each_commit_once(spark, tmp_path):
+    logs, out, state = tmp_path / "logs", tmp_path / "out", tmp_path / "state"
+    logs.mkdir()
+
+    def log(name, *hashes):
+        (logs / f"{name}.log").write_text("".join(f"{h}\x00about {h}\x00ann\x00{h[1:]}\n\nM\tsrc/{h}.ts\nR100\told\tnew.ts\n" for h in hashes))
+
+    def seen():
+        return sorted((r.source, r.hash) for r in spark.read.schema(COMMITS).parquet(str(out)).collect())
+
+    log("a", "h2", "h1")
+    log("rebased", "h5", "h4")
+    run_stream(git_stream(spark, str(logs)), state, out)
+    assert seen() == []  # heads only
+    log("a", "h4", "h3", "h2", "h1")
+    log("rebased", "h9", "h8")
+    log("new", "h1")
+    run_stream(git_stream(spark, str(logs)), state, out)
+    assert seen() == [("a", "h3"), ("a", "h4")]
+    run_stream(git_stream(spark, str(logs)), state, out)  # a restart with nothing new
+    log("a", "h6", "h5", "h4", "h3", "h2", "h1")
+    log("new", "h2", "h1")
+    run_stream(git_stream(spark, str(logs)), state, out)
+    assert seen() == [("a", f"h{k}") for k in (3, 4, 5, 6)] + [("new", "h2")]
+    row = spark.read.parquet(str(out)).where("hash = 'h3'").first()
+    assert (row.message, row.author, row.timestamp, [tuple(f) for f in row.files]) == ("about h3", "ann", 3, [("src/h3.ts", "M"), ("new.ts", "R")])
+
+
+def test_a_range_of_commits_stays_as_it_was_when_the_log_grows(tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"h{k}\x00m\x00x\x00{k}\n" for k in (5, 4, 3, 2, 1)))
+    reader = GitLogReader(str(tmp_path))
+    found = [r[1] for p in reader.partitions({"a": "h1"}, {"a": "h3"}) for r in reader.read(p)]
+    assert found == ["h3", "h2"] and reader.latestOffset() == {"a": "h5"}
+
+
+def test_live_state_is_the_fold_however_batches_are_cut(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = []
+    for seq in range(240):
+        op = rnd.choice(("add_node", "add_node", "update_node", "remove_node", "add_edge", "add_edge", "add_edge", "remove_edge"))
+        node, ends = f"n{rnd.randint(0, 7)}", {"source_id": f"n{rnd.randint(0, 7)}", "target_id": f"n{rnd.randint(0, 7)}", "relation": rnd.choice("XY")}
+        own = {"id": node} if "node" in op else ends
+        if op in ("add_node", "update_node"):
+            own |= {f: rnd.choice((None, f"{f}{seq}")) for f in ("kind", "name", "status", "data")}
+        rows.append({"seq": seq // 2, "pos": seq % 2, "op": op, **own})
+    names = [f.split()[0] for f in MUTATIONS.split(", ")]
+    frame = lambda part: spark.createDataFrame([tuple(r.get(n) for n in names) for r in part], MUTATIONS)
+    want_nodes, want_edges = fold_nodes(frame(rows)).collect(), fold_edges(frame(rows)).collect()
+    assert want_nodes and want_edges
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for cuts in ([], [3], sorted(rnd.sample(range(1, 240), 4))):
+            folder = tmp_path / f"cut{len(cuts)}"
+            (folder / "in").mkdir(parents=True)
+            stream = spark.readStream.schema(MUTATIONS).option("maxFilesPerTrigger", 1).json(str(folder / "in"))
+            for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, 240], strict=True)):
+                (folder / "in" / f"{k}.json").write_text("\n".join(json.dumps(r) for r in rows[a:b]))
+                # a new run for each file: the state is read back after a restart
+                run_update(live_changes(stream), folder)
+            changes = spark.read.parquet(str(folder / "out"))
+            assert sorted(live_nodes(changes).collect()) == sorted(want_nodes)
+            assert sorted(live_edges(changes).collect()) == sorted(want_edges)
+            ever = {r.id: r.v for r in changes.where("part = 'node'").groupBy("id").agg(F.max("version").alias("v")).collect()}
+            assert ever == {n: sum(r.get("id") == n for r in rows) for n in ever}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def run_update(stream, folder):
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
