@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.wire import ulid
 from ..operators import commands
+from ..sources.schema import MUTATIONS
+from ..sources.session import shared_folder
 from ..sources.tables import graph_edges, graph_nodes, table
-from .catalog import query
+from ..streaming import git, live, pipeline
+from .catalog import _FOLD, mutation_log, query
+from .view_catalog import SQL
 
 #: Of each document: a decision is made, perhaps changed and superseded, promoted and deleted. Some refer to what is not there.
 _MADE = """with n as (select count(*) as customers from customer), d as (select doc_id as d from documents),
@@ -51,3 +58,75 @@ def decision_batch(spark: SparkSession, d: str) -> DataFrame:
     paths = new.join(into, "id", "left").select(F.lit("path").alias("part"), F.col("file_path").alias("id"), none.alias("name"), "tier", F.coalesce("count", F.lit(0)).alias("count"))
     tally = lambda rows, part, key: rows.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("count")).select(F.lit(part).alias("part"), "id", none.alias("name"), none.alias("tier"), "count")
     return decisions.unionByName(paths).unionByName(tally(out["events"], "event", "kind")).unionByName(tally(out["refused"], "refused", "op"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+@query("git_stream", SQL["git_log"])
+def git_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as commits of twenty logs: a stream starts when each has all but its three newest, and runs again when it has these."""
+    folder = _folder(spark, "git")
+    source = F.col("o_custkey") % 20
+    first = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"))
+    rows = table(spark, d, "orders").withColumns({"source": source, "n": F.row_number().over(Window.partitionBy(source).orderBy("o_orderkey"))}).join(first, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    key = F.col("o_orderkey").cast("string")
+    head = F.concat_ws("\x00", F.concat(F.lit("h"), key), F.concat(F.lit("order "), key), "o_orderpriority", key)
+    entry = rows.select("source", "n", F.concat_ws("\n", head, F.concat(F.lit("M\tparts/"), F.col("part").cast("string"), F.lit(".ts"))).alias("value"))
+    for least in (4, 1):  # a log is one file in the order of n, newest first
+        told = entry.where(F.col("n") >= least).repartitionByRange("source").sortWithinPartitions("source", "n")
+        told.select("source", "value").write.mode("overwrite").partitionBy("source").text(f"{folder}/logs")
+        stream = git.git_stream(spark, f"{folder}/logs").writeStream.format("parquet")
+        stream.option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(git.COMMITS).parquet(f"{folder}/out")
+    return found.select("hash", "message", "author", "timestamp", F.explode_outer(F.col("files").path).alias("path"))
+
+
+_LIVE = _FOLD.format(where="")
+
+
+@query("live_state", _LIVE + """, e as (select u, max(seq) as added from m where op = 'purchase' group by u)
+    select 'node' as part, 'u-' || live.u as id, coalesce('s' || max(m.seq) filter (where op = 'click' and seq > added), 'new') as value from live join m on m.u = live.u group by live.u
+    union all select 'edge', 'u-' || e.u, 'u-' || (e.u + 1) from e left join base a on a.u = e.u left join base b on b.u = e.u + 1 where (a.removed is null or a.removed < e.added) and (b.removed is null or b.removed < e.added)""")
+def live_state(spark: SparkSession, d: str) -> DataFrame:
+    """The events' mutations as they arrive in three parts, folded in the state of a stream that stops after each."""
+    folder, provider = _folder(spark, "live"), "spark.sql.streaming.stateStore.providerClass"
+    log = mutation_log(spark, d)
+    names = [f.split()[0] for f in MUTATIONS.split(", ")]
+    log = log.select(*(F.col(c) if c in log.columns else F.lit(None).cast("string").alias(c) for c in names))
+    part = F.ntile(3).over(Window.orderBy("number"))
+    cut = log.groupBy(F.floor(F.col("seq") / 1000).alias("number")).agg(F.min("seq").alias("seq")).withColumn("part", part).groupBy("part").agg(F.min("seq").alias("from")).orderBy("part").collect()  # three numbers
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        bounds = [r["from"] for r in cut] + [None]
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            own = log.where(F.col("seq") >= low)
+            (own if high is None else own.where(F.col("seq") < high)).write.mode("append").parquet(f"{folder}/in")
+            stream = live.live_changes(spark.readStream.schema(log.schema).parquet(f"{folder}/in")).writeStream.outputMode("update")
+            write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+            stream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    changes = spark.read.schema(live.CHANGES).parquet(f"{folder}/out")
+    nodes, edges = live.live_nodes(changes), live.live_edges(changes)
+    return nodes.select(F.lit("node").alias("part"), "id", F.col("status").alias("value")).unionByName(edges.select(F.lit("edge").alias("part"), F.col("source_id").alias("id"), F.col("target_id").alias("value")))
+
+
+@query("event_pipeline", """with e as (select event_id, event_type as kind from events), m as (select 'event' as type, kind, event_id from e union all select 'mutation', kind, event_id from e where event_id % 3 = 0)
+    select type, kind, count(*) as count, count(distinct event_id) as ids from m group by all""")
+def event_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Events through the pipeline, the last third of them twice: each is stored and handed on once, with the mutations that it stands for after it."""
+    folder = _folder(spark, "events")
+    at = F.col("event_id").cast("long")
+    payload = F.when(at % 3 == 0, F.concat(F.lit('{"decision_id":"d-'), at.cast("string"), F.lit('"}'))).otherwise("{}")
+    rows = table(spark, d, "events").select(ulid(F.lit(1_700_000_000_000) + at * 1000, at).alias("id"), F.lit("decision.deleted").alias("kind"), F.col("event_type").alias("actor"), (at * 1000).alias("created_at"), F.lit("").alias("project_id"), payload.alias("payload"))
+    nodes = spark.createDataFrame([], "id string, kind string, name string, status string, data string")
+    hand_on = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/sent/batch={number}")
+    for part in (rows, rows.where(at % 3 == 2)):
+        part.write.mode("append").json(f"{folder}/in")
+        pipeline.run_pipeline(pipeline.read_events(spark, f"{folder}/in", 1_000_000), lambda: nodes, f"{folder}/log", f"{folder}/mutations", f"{folder}/state", hand_on).awaitTermination()
+    sent = spark.read.parquet(f"{folder}/sent")
+    actors = spark.read.parquet(f"{folder}/log").select(F.col("id").alias("seq"), "actor")
+    return sent.join(actors, "seq").groupBy("type", F.col("actor").alias("kind")).agg(F.count("*").alias("count"), F.count_distinct("seq").alias("ids"))

@@ -9,7 +9,7 @@ from ..functions import drawing, paths, wire
 from ..operators import events, filters, fulltext, joins
 from ..sources.tables import graph_edges, graph_nodes, table
 from . import projection
-from .catalog import _BM25, GRAPH, query
+from .catalog import _BM25, GRAPH, SQL, query  # noqa: F401  (SQL: for live_catalog, with the queries of this module in it)
 
 #: Every node stands at a place made from the number in its id.
 _PLACED = "placed as (select *, (cast(substr(id, 3) as bigint) % 97)::double as x, (cast(substr(id, 3) as bigint) % 89)::double as y from g_nodes)"
@@ -141,6 +141,6 @@ def reclassified(spark: SparkSession, d: str) -> DataFrame:
     return projection.reclassified(side(17), side(23))
 
 
-@query("escaped_html", "select doc_id, replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as html from documents where text is not null")
+@query("escaped_html", "select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as html from documents where text is not null")
 def escaped_html(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", wire.escape_html(F.substring("text", 1, 200)).alias("html"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", wire.escape_html(F.col("text")).alias("html"))

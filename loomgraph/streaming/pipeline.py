@@ -4,13 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import append_new, derive
 from ..sources.schema import EVENTS
 
+#: Digits at the end of an id that do not tell the range of the log that it lies in: of an id by time, some 17 minutes are a range.
+TAIL = 20
+#: Ranges of the log that are named one by one; a batch that touches more reads what lies between its first and last.
+NAMED = 1000
+
+
+def id_range(event: Column | str) -> Column:
+    """The range of the log in which an event id lies; short ids all lie in one."""
+    event = F.col(event) if isinstance(event, str) else event
+    return F.when(F.length(event) > TAIL, F.left(event, F.length(event) - TAIL)).otherwise("short")
+
+
+def touched(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """The part of a log (partitioned by range) in which ids of rows can lie: other ranges' files are not read."""
+    ranges = rows.select(id_range("id").alias("range")).distinct()
+    some = [r.range for r in ranges.limit(NAMED + 1).collect()]
+    if len(some) <= NAMED:
+        return log.where(F.col("range").isin(some))
+    first, last = ranges.agg(F.min("range"), F.max("range")).first()
+    return log.where(F.col("range").between(first, last))
+
+
+def in_order(events: DataFrame, mutations: DataFrame) -> DataFrame:
+    """(seq, pos, type, body) of what goes out: each event, at pos -1, and then the mutations that it stands for."""
+    told = events.select(F.col("id").cast("string").alias("seq"), F.lit(-1).alias("pos"), F.lit("event").alias("type"), F.to_json(F.struct(*events.columns)).alias("body"))
+    made = mutations.select(F.col("seq").cast("string").alias("seq"), "pos", F.lit("mutation").alias("type"), F.to_json(F.struct(*(c for c in mutations.columns if c not in ("seq", "pos")))).alias("body"))
+    return told.unionByName(made).orderBy("seq", "pos")
+
 
 def read_events(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
     """Events as they arrive in JSON files."""
@@ -18,17 +46,19 @@ def read_events(spark: SparkSession, folder: str, per_trigger: int = 100) -> Dat
 
 
 def run_pipeline(events: DataFrame, nodes: Callable[[], DataFrame], log: str, mutations: str, checkpoint: str, hand_on: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Append each batch's new events to the log and what they derive to the mutations.
+    """Append each batch's new events to the log and what they derive to the mutations, then hand on both, in order.
 
     nodes gives the current state at the time of the batch. Rows carry their batch, and a batch that
-    is run again replaces what it wrote before, so events and mutations are stored once.
+    is run again replaces what it wrote before, so events and mutations are stored once. The log is partitioned by
+    range of ids, and a batch looks for its ids only in the ranges that they lie in, however long the log is.
     """
     spark = events.sparkSession
+    stored = spark.createDataFrame([], EVENTS + ", batch long, range string").schema
 
     def persist(batch: DataFrame, number: int) -> None:
         rows = batch.dropDuplicates(["id"])
         try:
-            earlier = spark.read.parquet(log).where(F.col("batch") != number)
+            earlier = touched(spark.read.schema(stored).parquet(log), rows).where(F.col("batch") != number)
             rows = append_new(earlier, rows)
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
@@ -36,10 +66,12 @@ def run_pipeline(events: DataFrame, nodes: Callable[[], DataFrame], log: str, mu
         rows = rows.persist()
         try:
             derived = derive(rows, nodes())
-            rows.write.mode("overwrite").parquet(f"{log}/batch={number}")
+            ranged = rows.withColumns({"batch": F.lit(number).cast("long"), "range": id_range("id")})
+            # a batch has a folder of its own in every range it touches; run again, it replaces these
+            ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("range", "batch").parquet(log)
             derived.write.mode("overwrite").parquet(f"{mutations}/batch={number}")
             if hand_on:
-                hand_on(derived.orderBy("seq", "pos"), number)
+                hand_on(in_order(rows, derived), number)
         finally:
             rows.unpersist()
 

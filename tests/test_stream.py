@@ -7,7 +7,7 @@ from loomgraph.operators.events import derive, fold_edges, fold_nodes
 from loomgraph.sources.schema import MUTATIONS
 from loomgraph.streaming.git import COMMITS, GitLogReader, git_stream
 from loomgraph.streaming.live import live_changes, live_edges, live_nodes
-from loomgraph.streaming.pipeline import event_windows, read_events, run_pipeline
+from loomgraph.streaming.pipeline import event_windows, read_events, run_pipeline, touched
 
 
 def test_stream_gives_what_a_batch_gives(spark, tmp_path):
@@ -104,3 +104,24 @@ def test_live_state_is_the_fold_however_batches_are_cut(spark, tmp_path):
 def run_update(stream, folder):
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def test_a_batch_reads_only_the_ranges_that_its_ids_lie_in(spark, tmp_path):
+    source, log = tmp_path / "in", tmp_path / "log"
+    source.mkdir()
+    nodes = spark.createDataFrame([], "id string, kind string, name string, status string, data string")
+    sent = []
+    event = lambda minute, k: {"id": f"{minute:06d}" + f"{k:020d}", "kind": "decision.deleted", "actor": "a", "created_at": k, "project_id": "", "payload": '{"decision_id":"d"}'}
+    for k in range(5):
+        # the events of two ranges, one of them again
+        (source / f"{k}.json").write_text("\n".join(json.dumps(event(m, i)) for m, i in ((k, 1), (k, 2), (max(0, k - 1), 2))))
+        run_pipeline(read_events(spark, str(source), 1), lambda: nodes, str(log), str(tmp_path / "made"), str(tmp_path / "state"), lambda rows, n: sent.append([(r.seq, r.pos, r.type) for r in rows.collect()])).awaitTermination()
+    stored = spark.read.parquet(str(log))
+    assert stored.count() == 10 == stored.select("id").distinct().count()
+    last = spark.createDataFrame([event(4, 1), event(3, 2)])
+    kept = touched(stored, last)
+    assert kept.count() == 4 and {f.split("range=")[1][:6] for f in kept.inputFiles()} >= {"000003", "000004"}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "range" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert [(pos, kind) for rows in sent for _, pos, kind in rows] == [(-1, "event"), (0, "mutation")] * 10
+    assert all(rows == sorted(rows) for rows in sent)
