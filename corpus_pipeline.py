@@ -11,61 +11,68 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, jaccard, mixing, quality, toxicity
 from loomgraph.llm.session import shared_folder, table
 
 
+def _key(docs: DataFrame) -> Column:
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*every, F.array(*(c.isNull() for c in every))).alias("row_key")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_key", F.xxhash64(*docs.columns, F.array(*(F.col(c).isNull() for c in docs.columns))))
+    """(row_key, row): rows as one column, so that whatever columns they have clash with none of a stage's own."""
+    return docs.select(_key(docs), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def _by_key(docs: DataFrame) -> DataFrame:
-    """The rows with their keys in place of ids, for operators to which an id is but a name."""
-    return _keyed(docs).withColumn("doc_id", F.col("row_key"))
+    """What operators read of the rows, with keys in place of ids, for those to which an id is but a name."""
+    return docs.select(_key(docs).alias("doc_id"), "text", "lang", "source")
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return _keyed(docs).join(rejected.select("row_key"), "row_key", "left_anti").select(*docs.columns)
+    return _keyed(docs).join(rejected.select("row_key"), "row_key", "left_anti").select("row.*")
 
 
 def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The keyed docs of keys (row_key, n, ...) joined with them; of the n equal rows of a key one."""
+    """(row_key, row, n, ...) of the docs of keys (row_key, n, ...); of the n equal rows of a key one."""
     joined = _keyed(docs).join(keys, "row_key")
     return joined.where("n = 1").unionByName(joined.where("n > 1").dropDuplicates(["row_key"]))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the limits or lie far from their language and source go."""
+    """Documents that fail the limits or lie far from their language and source go. Columns beyond those of documents stay, whatever their names."""
     return _without(docs, quality.quality(_by_key(docs)).where("not kept").withColumnRenamed("doc_id", "row_key"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; the labels are those beside the documents."""
-    return _without(docs, toxicity.toxicity(_keyed(docs), table(spark, sf_dir, "labels"), carry="row_key").where("predicted = 1"))
+    """Documents predicted toxic go; the labels are those beside the documents. Other columns stay."""
+    read = docs.select("doc_id", "text", _key(docs))
+    return _without(docs, toxicity.toxicity(read, table(spark, sf_dir, "labels"), carry="row_key").where("predicted = 1"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that of the smallest id stays, and of equal rows one."""
+    """Of each group of linked documents that of the smallest id stays, and of equal rows one. Other columns stay; rows that differ in them alone are linked copies."""
     found = jaccard.jaccard(_by_key(docs)).groupBy(F.col("doc_id").alias("row_key")).agg(F.first("component_id").alias("component"), F.count("*").alias("n"))
-    ids = _keyed(docs).select("row_key", "doc_id").distinct()
+    ids = docs.select(_key(docs), "doc_id").distinct()
     # an id-less row stands behind those with ids
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     staying = found.join(ids, "row_key").groupBy("component").agg(F.min(F.struct(order.alias("order"), "row_key", "n")).alias("first"))
-    return _once(docs, staying.select("first.row_key", "first.n")).select(*docs.columns)
+    return _once(docs, staying.select("first.row_key", "first.n")).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as many times as the mix takes them."""
-    copies = mixing.mix(_by_key(docs)).groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("n"))
-    found = _once(docs, copies.where("mix_copies > 0"))
-    return found.withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_copies)"))).select(*docs.columns)
+    """Documents as many times as the mix takes them. Other columns stay."""
+    copies = mixing.mix(_by_key(docs)).groupBy(F.col("doc_id").alias("row_key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    found = _once(docs, copies.where("copies > 0"))
+    return found.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left; other columns than doc_id and text are not in the result."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 
@@ -82,11 +89,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Their results lie in the folder that spark.checkpoint.dir names."""
+    """All stages over documents. Their results lie in the folder that spark.checkpoint.dir names; a stage's goes when the next one's is written."""
     shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs
