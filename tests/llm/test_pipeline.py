@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomgraph.llm import bpe, jaccard, mixing, quality, toxicity
@@ -19,7 +20,7 @@ def test_stages_take_effect(spark):
     left = {r.doc_id for r in quality.quality(docs).collect() if r.kept}
     left = {r.doc_id for r in toxicity.toxicity(frame(left), spark.read.parquet(f"{SF}/labels.parquet")).collect() if not r.predicted}
     left = {r.doc_id for r in jaccard.jaccard(frame(left)).collect() if r.component_id == r.doc_id}
-    key_of = {r.row_key: r.doc_id for r in corpus_pipeline._keyed(docs).collect()}  # ranks documents of one size
+    key_of = {r.row_key: r.row.doc_id for r in corpus_pipeline._keyed(docs).collect()}  # ranks documents of one size
     copies = {key_of[r.doc_id]: r.copies for r in mixing.mix(corpus_pipeline._by_key(frame(left))).collect() if r.copies}
     got = corpus_pipeline.run(spark, SF).collect()
     assert collections.Counter(r.doc_id for r in got) == copies
@@ -55,3 +56,23 @@ def test_rows_that_share_an_id(spark):
     sizes = {r.text: len(r.text.split()) for r in clean[:2]}
     mixed = corpus_pipeline.mixed(spark, twice, SF).collect()
     assert abs(sum(sizes[r.text] for r in mixed) - sum(sizes[t] for t in (clean[0].text, clean[1].text, clean[1].text))) <= max(sizes.values())
+
+
+def test_extra_columns_of_any_name_keep_their_values(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["n", "copies", "mix_copies", "row_key", "row", "component", "first", "order", "kept", "predicted", "component_id", "a.b"]
+    wide = docs
+    for k, name in enumerate(names):
+        wide = wide.withColumn(name, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        left = stage(spark, wide, SF)
+        assert left.columns == wide.columns
+        rows = left.collect()
+        assert rows and all(r[name] == f"{k}-{r.doc_id}" for r in rows for k, name in enumerate(names))
+    assert corpus_pipeline.encoded(spark, wide, SF).count() == 60
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
