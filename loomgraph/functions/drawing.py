@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.session import ship
+from ..sources.session import checkpoint, ship
 
 #: World size, least and most pixels by kind; the same of strokes by relation; charges and links.
 SIZES = {
@@ -73,9 +75,9 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
 
 
 def hit_node(nodes: DataFrame, x: float, y: float, zoom: float) -> DataFrame:
-    """The nearest node (id, kind, x, y) whose disc, with three pixels around, holds the point."""
+    """The nearest node (id, kind, x, y) that the point is less than its kind's size and three away from, both as pixels."""
     away = F.hypot(F.col("x") - x, F.col("y") - y)
-    return nodes.withColumn("away", away).where(F.col("away") <= size_at(F.col("kind"), zoom) + 3 / zoom).orderBy("away", "id").limit(1)
+    return nodes.withColumn("away", away).where(F.col("away") < (world_size(F.col("kind")) + 3) / zoom).orderBy("away", "id").limit(1)
 
 
 def bounding_camera(points: DataFrame, width: float, height: float, pad: float = 40.0) -> DataFrame:
@@ -168,28 +170,51 @@ def link_scale(nodes: DataFrame) -> DataFrame:
     return nodes.agg((50 / F.sqrt(F.greatest(F.lit(1), F.count("*")).cast("double"))).alias("scale"))
 
 
+#: Points of a group that one task takes to a hull.
+HULL_POINTS = 10_000
+
+
+def _corners(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points are the hull's corners, counter-clockwise from the leftmost (of equal ones the lowest)."""
+    order = np.lexsort((y, x))
+    order = order[np.concatenate(([True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)))]
+    px, py, chains = x[order].tolist(), y[order].tolist(), []
+    for walk in (range(len(px)), range(len(px) - 1, -1, -1)):
+        chain: list[int] = []
+        for k in walk:
+            while len(chain) > 1 and (px[chain[-1]] - px[chain[-2]]) * (py[k] - py[chain[-2]]) <= (py[chain[-1]] - py[chain[-2]]) * (px[k] - px[chain[-2]]):
+                chain.pop()
+            chain.append(k)
+        chains.append(chain[:-1] if len(px) > 1 else chain)
+    return order[chains[0] + (chains[1] if len(px) > 1 else [])]
+
+
 def convex_hulls(points: DataFrame, group: str) -> DataFrame:
     """(group, x, y, position) of the corners of each group's convex hull, counter-clockwise from the leftmost.
 
-    Only the lowest and highest point of each x can be corners, so those alone are gathered.
+    Corners of a part of the points hold all corners of the whole that lie in it. So a group is dealt into blocks of
+    HULL_POINTS, the blocks' corners are gathered and dealt again, and in the end one block has no more than the
+    corners of a few. Null coordinates are no points.
     """
     ship(points.sparkSession)
-    ends = points.groupBy(group, "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
-    schema = f"{group} {dict(points.dtypes)[group]}, x double, y double, position int"
-
-    def hull(key, rows):
-        import pandas as pd
-
-        dots = sorted({(float(x), float(y)) for x, low, high in zip(rows["x"], rows["low"], rows["high"], strict=True) for y in (low, high)})
-        chains = []
-        for part in (dots, dots[::-1]):
-            chain: list[tuple[float, float]] = []
-            for p in part:
-                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
-                    chain.pop()
-                chain.append(p)
-            chains.append(chain[:-1] if len(dots) > 1 else chain)
-        corners = chains[0] + chains[1] if len(dots) > 1 else chains[0]
-        return pd.DataFrame({group: [key[0]] * len(corners), "x": [c[0] for c in corners], "y": [c[1] for c in corners], "position": range(len(corners))})
-
-    return ends.groupBy(group).applyInPandas(hull, schema)
+    kind = dict(points.dtypes)[group]
+    left = points.where("x is not null and y is not null").select(F.struct(F.col(group).alias("of")).alias("part"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def hull(found: pa.Table) -> pa.Table:
+        x, y = found.column("x").to_numpy(), found.column("y").to_numpy()
+        own = _corners(x, y)
+        return pa.table({"part": found.column("part").take(pa.array(own)), "x": x[own], "y": y[own], "position": pa.array(range(len(own)), pa.int32())})
+
+    schema = f"part struct<of:{kind}>, x double, y double, position int"
+    while True:
+        size = left.groupBy("part").agg(F.count("*").alias("n"))
+        blocks = F.ceil(F.col("n") / HULL_POINTS)
+        dealt = left.join(size, "part").withColumn("block", F.pmod(F.xxhash64("x", "y"), blocks))
+        found = checkpoint(dealt.select("part", "x", "y", "block").groupBy("part", "block").applyInArrow(hull, schema))
+        most, after = size.agg(F.max("n")).first()[0] or 0, found.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= HULL_POINTS:
+            return found.select(F.col("part.of").alias(group), "x", "y", "position")
+        left = found.select("part", "x", "y")
+        if after > most / 2:  # nearly all are corners: what is left is the result's own size
+            last = left.groupBy("part").applyInArrow(hull, schema)
+            return last.select(F.col("part.of").alias(group), "x", "y", "position")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.session import checkpoint
 from .filters import find
 
 
@@ -48,14 +49,32 @@ def governs_scope(decisions: DataFrame, nodes: DataFrame, edges: DataFrame, scop
     return decisions.join(governing, "id", "left_semi")
 
 
+#: Levels of the bins below, enough for any number of a line.
+LEVELS = 31
+
+
+def _pieces(spans: DataFrame) -> DataFrame:
+    """spans with the (level, bin) pairs whose bins, of 2^level lines, make up a span exactly: two to a level at most."""
+    low, high = "-shiftright(-start_line, k)", "shiftright(end_line + 1, k)"  # a bin's number rounded up, and down
+    each = f"filter(array(if({low} % 2 <> 0, {low}, null), if({high} % 2 <> 0, {high} - 1, null)), b -> b is not null)"
+    cut = f"flatten(transform(sequence(0, {LEVELS - 1}), k -> if({low} < {high}, transform({each}, b -> struct(k as level, b as bin)), array())))"
+    usable = spans.withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line")}).where("start_line <= end_line")
+    return usable.withColumn("piece", F.explode(F.expr(cut))).select("*", "piece.*").drop("piece")
+
+
 def enclosing_symbols(lines: DataFrame, spans: DataFrame, file: str) -> DataFrame:
     """For each (file, line) the symbol of the fewest lines around it, null where none is.
 
-    An equi join on the file finds the spans, and a minimum takes the narrowest of them; of equally
-    narrow ones the first by name.
+    Spans are cut into bins of powers of two, of which each keeps its narrowest span; a line looks into the one bin
+    of each level that it lies in. So neither a file of very many spans and lines nor nested spans make more than
+    some LEVELS rows a line or span. Of equally narrow ones the first by name counts.
     """
-    around = lines.select(file, "line").distinct().join(spans, file).where("line between start_line and end_line")
-    best = around.groupBy(file, "line").agg(F.min_by("sym", F.struct(F.col("end_line") - F.col("start_line"), F.col("sym"))).alias("sym"))
+    width = F.struct((F.col("end_line") - F.col("start_line")).alias("width"), F.col("sym").alias("sym"))
+    narrowest = checkpoint(_pieces(spans).groupBy(file, "level", "bin").agg(F.min(width).alias("best")))
+    levels = narrowest.agg(F.max("level")).first()[0]
+    probes = lines.select(file, F.col("line").cast("long").alias("line")).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels or 0))))
+    placed = probes.withColumn("bin", F.expr("shiftright(line, level)"))
+    best = placed.join(narrowest, [file, "level", "bin"]).groupBy(file, "line").agg(F.min("best").alias("best")).select(file, "line", F.col("best.sym").alias("sym"))
     return lines.join(best, [file, "line"], "left")
 
 

@@ -428,13 +428,16 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
     return drawing.centroids(points, "part").select("part", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "n")
 
 
+@query("convex_hulls", """with p as (select distinct c_nationkey as part, c_acctbal::double as x, c_custkey::double as y from customer),
+    sides as (select a.part, a.x, a.y, case when (b.x, b.y) > (a.x, a.y) then 0 else 1 end as chain from p a join p b on a.part = b.part and (a.x, a.y) <> (b.x, b.y)
+      where not exists (select 1 from p o where o.part = a.part and ((b.x - a.x) * (o.y - a.y) < (b.y - a.y) * (o.x - a.x)
+        or (b.x - a.x) * (o.y - a.y) = (b.y - a.y) * (o.x - a.x) and ((o.x - a.x) * (o.x - b.x) > 0 or (o.y - a.y) * (o.y - b.y) > 0)))),
+    corners as (select * from sides union all select part, any_value(x), any_value(y), 0 from p group by part having count(*) = 1)
+    select part, x, y, (row_number() over (partition by part order by chain, case when chain = 0 then x else -x end, case when chain = 0 then y else -y end) - 1)::int as position from corners""")
 def convex_hulls(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "customer").select(F.col("c_nationkey").alias("part"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"))
     return drawing.convex_hulls(points, "part")
 
-
-QUERIES["convex_hulls"] = convex_hulls
-
 _INDEX = "with p as (select 'shop' as name, '2024-01-01' as indexed_at)"
 
 

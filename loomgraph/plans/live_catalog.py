@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.wire import ulid
 from ..operators import commands
 from ..sources.schema import MUTATIONS
-from ..sources.session import shared_folder
+from ..sources.session import checkpoint, shared_folder
 from ..sources.tables import graph_edges, graph_nodes, table
 from ..streaming import git, live, pipeline
-from .catalog import _FOLD, mutation_log, query
+from . import maintained, projection
+from .catalog import _FOLD, _project_sql, mutation_log, query
 from .view_catalog import SQL
 
 #: Of each document: a decision is made, perhaps changed and superseded, promoted and deleted. Some refer to what is not there.
@@ -130,3 +131,17 @@ def event_pipeline(spark: SparkSession, d: str) -> DataFrame:
     sent = spark.read.parquet(f"{folder}/sent")
     actors = spark.read.parquet(f"{folder}/log").select(F.col("id").alias("seq"), "actor")
     return sent.join(actors, "seq").groupBy("type", F.col("actor").alias("kind")).agg(F.count("*").alias("count"), F.count_distinct("seq").alias("ids"))
+
+
+@query("maintained_edges", _project_sql(1.5, "edges").replace("from part\n", "from part where p_partkey % 5 <> 0\n").replace("where next is not null", "where next is not null and o_orderkey % 11 <> 0"))
+def maintained_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of files' groups, kept up to date: a third of the parts come, a fifth and some calls go."""
+    nodes, edges = checkpoint(graph_nodes(spark, d)), checkpoint(graph_edges(spark, d))
+    number = F.regexp_extract("id", "[0-9]+", 0).cast("long")
+    at = lambda k: (F.col("kind") == "component") & (number % k == 0)
+    represented = lambda rows: projection.project(rows, edges.limit(0), 1.5).representative
+    view = maintained.EdgeView(spark, _folder(spark, "view")).start(edges, represented(nodes.where(~at(3))))
+    gone = nodes.where(at(5)).select("id", F.lit(None).cast("string").alias("rep"))
+    cut = edges.where((F.col("relation") == "CALLS") & (F.regexp_extract("source_id", "[0-9]+", 0).cast("long") % 11 == 0))
+    view.apply(edges.limit(0), cut, represented(nodes.where(at(3) & ~at(5))).unionByName(gone))
+    return view.edges().select("source_id", "target_id", "aggregate", "count", "relation", F.size("relations").cast("long").alias("relations"))

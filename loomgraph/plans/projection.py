@@ -18,12 +18,14 @@ from ..sources.session import checkpoint
 @dataclass
 class Projection:
     """nodes: (id, kind, name, group_kind, member_count); edges: (source_id, target_id, aggregate, count, relation,
-    relations); groups: path groups shown; territories: those of which something is shown."""
+    relations); groups: path groups shown; territories: those of which something is shown; representative: (id, rep) of every
+    node that is shown or folded."""
 
     nodes: DataFrame
     edges: DataFrame
     groups: DataFrame
     territories: DataFrame
+    representative: DataFrame
 
 
 def group_chains(groups: DataFrame) -> DataFrame:
@@ -38,27 +40,32 @@ def group_chains(groups: DataFrame) -> DataFrame:
     return own.unionByName(climbed.select("id", F.col("a.path").alias("at"), (F.col("a.level") + 1).alias("level")).join(dirs, "at").select("id", "above", "level"))
 
 
-def aggregate_edges(edges: DataFrame, representative: DataFrame) -> DataFrame:
-    """Edges between representatives; representative is (id, rep).
+def counted_pairs(edges: DataFrame, representative: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation, raw, n): edges counted by the representatives of their ends (id, rep) and relation.
 
-    Edges whose ends are their own representatives stay as they are, one of each kind; others are
-    counted by the pair of representatives and relation, and those counts by pair. Ties for the
-    commonest relation go to the first by name.
+    raw: whether the ends are their own representatives.
     """
     left = representative.select(F.col("id").alias("source_id"), F.col("rep").alias("source_rep"))
     right = representative.select(F.col("id").alias("target_id"), F.col("rep").alias("target_rep"))
     placed = edges.join(left, "source_id").join(right, "target_id").where("source_rep <> target_rep")
     raw = (F.col("source_rep") == F.col("source_id")) & (F.col("target_rep") == F.col("target_id"))
-    shape = (F.col("source_rep").alias("source_id"), F.col("target_rep").alias("target_id"))
-    plain = placed.where(raw).select(*shape, "relation").distinct()
-    plain = plain.select("source_id", "target_id", F.lit(False).alias("aggregate"), F.lit(1).cast("long").alias("count"), "relation", F.create_map("relation", F.lit(1).cast("long")).alias("relations"))
-    each = placed.where(~raw).groupBy(*shape, "relation").agg(F.count("*").alias("n"))
+    return placed.select(F.col("source_rep").alias("source_id"), F.col("target_rep").alias("target_id"), "relation", raw.alias("raw")).groupBy("source_id", "target_id", "relation", "raw").agg(F.count("*").alias("n"))
+
+
+def shaped(counts: DataFrame) -> DataFrame:
+    """Edges as shown, from counted_pairs: raw ones as they are, one of each kind, others by pair. Ties for the commonest relation go to the first by name."""
+    plain = counts.where("raw").select("source_id", "target_id", F.lit(False).alias("aggregate"), F.lit(1).cast("long").alias("count"), "relation", F.create_map("relation", F.lit(1).cast("long")).alias("relations"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "relation", "n")))
-    folded = each.groupBy("source_id", "target_id").agg(F.sum("n").alias("count"), ranked.alias("by"))
+    folded = counts.where("not raw").groupBy("source_id", "target_id").agg(F.sum("n").alias("count"), ranked.alias("by"))
     entries = F.transform("by", lambda x: F.struct(x.relation, x.n))
     return plain.unionByName(folded.select("source_id", "target_id", F.lit(True).alias("aggregate"), "count", F.col("by")[0].relation.alias("relation"), F.map_from_entries(entries).alias("relations")))
 
 
+def aggregate_edges(edges: DataFrame, representative: DataFrame) -> DataFrame:
+    """Edges between representatives; representative is (id, rep)."""
+    return shaped(counted_pairs(edges, representative))
+
+
 def project(
     nodes: DataFrame, edges: DataFrame, zoom: float, focus: tuple[str, int] | None = None, filters: tuple[str, ...] = KINDS, search: str = ""
 ) -> Projection:
@@ -96,7 +103,7 @@ def project(
     representative = leaves.select("id", F.col("id").alias("rep")).unionByName(folded.select("id", F.col("above").alias("rep")))
     seen = leaves.select("id").unionByName(closest.join(shown.select(F.col("id").alias("group")), "group", "left_semi").select("id"))
     alive = territory_members(nodes, edges).join(seen.select(F.col("id").alias("member")), "member", "left_semi").select("id")
-    return Projection(visible, aggregate_edges(edges, representative), shown, territories(nodes, edges).join(alive, "id", "left_semi"))
+    return Projection(visible, aggregate_edges(edges, representative), shown, territories(nodes, edges).join(alive, "id", "left_semi"), representative)
 
 
 def _closest(nodes: DataFrame, groups: DataFrame, depth: int | None) -> DataFrame:

@@ -27,9 +27,8 @@ def governance_pull(spark: SparkSession, d: str) -> DataFrame:
     return drawing.governance_pull(nodes, graph_edges(spark, d, ("GOVERNS",)), alpha=0.5)
 
 
-@query("hit_node", f"""{GRAPH}, {_PLACED}, near as (select id, kind, sqrt((x - 30.2) * (x - 30.2) + (y - 40.1) * (y - 40.1)) as away, case kind when 'decision' then 10 when 'file' then 5 else 2.5 end as world,
-      case kind when 'decision' then 14 when 'file' then 7 else 5 end as least_px, case kind when 'decision' then 22 when 'file' then 12 else 8 end as most_px from placed where kind in ('decision', 'path', 'file'))
-    select id, kind from near where away <= (least(greatest(world * 2, least_px), most_px) + 3) / 2 order by away, id limit 1""")
+@query("hit_node", f"""{GRAPH}, {_PLACED}, near as (select id, kind, sqrt((x - 30.2) * (x - 30.2) + (y - 40.1) * (y - 40.1)) as away, case kind when 'decision' then 10 when 'file' then 5 else 2.5 end as world from placed where kind in ('decision', 'path', 'file'))
+    select id, kind from near where away < (world + 3) / 2 order by away, id limit 1""")
 def hit_node(spark: SparkSession, d: str) -> DataFrame:
     return drawing.hit_node(_placed(graph_nodes(spark, d, ("decision", "path", "file"))), 30.2, 40.1, 2.0).select("id", "kind")
 

@@ -1,5 +1,8 @@
 """Small graphs with results known by hand."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +248,42 @@ def test_quotes_compare_all_short_items(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}x" for i in range(1200)))], "doc_id long, text string")
     items = spark.createDataFrame([(i, f"w{i}x") for i in range(1200)], "item_id long, text string")
     assert quotes(docs, items).distinct().count() == 1200
+
+
+def test_lines_in_very_many_spans(spark):
+    rnd = random.Random(8)
+    spans = [("f", f"s{k}", a, a + rnd.choice((0, 1, 5, 40, 300))) for k in range(300) for a in [rnd.randint(0, 400)]] + [("f", "none", 9, 3), ("g", "all", 0, 10**6)]
+    lines = [("f", k) for k in range(-2, 750)] + [("g", 10**6), ("g", 10**6 + 1), ("h", 1)]
+    got = joins.enclosing_symbols(spark.createDataFrame(lines, "file string, line int"), spark.createDataFrame(spans, "file string, sym string, start_line int, end_line int"), "file")
+    narrowest = lambda f, line: min(((b - a, s) for g, s, a, b in spans if g == f and a <= line <= b), default=(0, None))[1]
+    assert pairs(got) == sorted((f, line, narrowest(f, line)) for f, line in lines)
+    # spans around one another: a product of lines and spans would have ten billion rows
+    n = 100_000
+    nested = spark.range(n).select(F.lit("f").alias("file"), F.concat(F.lit("s"), "id").alias("sym"), F.col("id").alias("start_line"), (2 * n - F.col("id")).alias("end_line"))
+    found = joins.enclosing_symbols(spark.range(n).select(F.lit("f").alias("file"), F.col("id").alias("line")), nested, "file")
+    assert found.where(F.concat(F.lit("s"), "line") == F.col("sym")).count() == n
+
+
+def test_hulls_in_blocks(spark, monkeypatch):
+    rnd = random.Random(3)
+    groups = {"square": [(rnd.randint(0, 9), rnd.randint(0, 9)) for _ in range(400)], "line": [(k, 2 * k) for k in range(50)], "one": [(1, 1)] * 3, "two": [(0, 1), (0, 5)], None: [(rnd.gauss(0, 1), rnd.gauss(0, 1)) for _ in range(300)]}
+    ring = [(math.cos(k / 40 * math.pi), math.sin(k / 40 * math.pi)) for k in range(80)]
+    points = spark.createDataFrame([(g, float(x), float(y)) for g, p in (groups | {"ring": ring}).items() for x, y in p] + [("one", None, 3.0)], "part string, x double, y double")
+
+    def found():
+        rows = {}
+        for r in drawing.convex_hulls(points, "part").collect():
+            rows.setdefault(r.part, []).append((r.position, r.x, r.y))
+        return {g: [c[1:] for c in sorted(p)] for g, p in rows.items()}
+
+    whole = found()
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    for g, p in (groups | {"ring": ring}).items():
+        corners = whole[g]
+        assert corners[0] == min((float(x), float(y)) for x, y in p) and len(set(corners)) == len(corners)
+        if len(corners) > 2:  # every point is on the left of every side, and sides turn left
+            sides = list(zip(corners, corners[1:] + corners[:1], strict=True))
+            assert all(turn(a, b, c) >= -1e-12 for a, b in sides for c in p) and all(turn(a, b, c) > 0 for (a, b), (_, c) in zip(sides, sides[1:] + sides[:1], strict=True))
+    assert whole["line"] == [(0, 0), (49, 98)] and whole["one"] == [(1, 1)] and whole["two"] == [(0, 1), (0, 5)] and len(whole["ring"]) == 80
+    monkeypatch.setattr(drawing, "HULL_POINTS", 20)
+    assert found() == whole
