@@ -60,6 +60,11 @@ class Query:
         if any(not need for need, _ in self.alternatives):
             raise ValueError("every part of a query must ask for something")
 
+    def terms(self) -> tuple[list[str], list[str]]:
+        """The words that must stand whole, and those of which a start is asked for."""
+        words = [w for part, star, _ in self.parts for w in (part[:-1] if star else part)]
+        return sorted(set(words)), sorted({part[-1] for part, star, _ in self.parts if star})
+
     @property
     def parts(self) -> list[tuple]:
         return sorted({p for need, no in self.alternatives for p in need + no}, key=str)
@@ -79,9 +84,19 @@ def _hits(postings: DataFrame, part: tuple) -> DataFrame:
 def search(postings: DataFrame, sizes: DataFrame, query: str) -> DataFrame:
     """(node_id, rank) of the documents that a query finds in a kept index, the best, of the lowest rank, first."""
     parsed = Query(query)
+    return _ranked(sizes.join(_counted(postings, parsed), "node_id", "left").fillna(0), parsed)
+
+
+def rank_hits(postings: DataFrame, parsed: Query, docs: int, mean: float) -> DataFrame:
+    """(node_id, rank) from the postings (with words) of a query's terms alone, and the number and mean words of all documents."""
+    words = postings.groupBy("node_id").agg(F.max("words").alias("words"))
+    return _ranked(_counted(postings, parsed).join(words, "node_id"), parsed, docs, mean)
+
+
+def _counted(postings: DataFrame, parsed: Query) -> DataFrame:
+    """(node_id, tf0, tf1, ...): the places of each part in the documents that have any."""
     found = [_hits(postings, part).select("node_id", *(F.col("tf").alias(f"tf{k}") if k == i else F.lit(0).cast("long").alias(f"tf{k}") for k in range(len(parsed.parts)))) for i, part in enumerate(parsed.parts)]
-    each = reduce(DataFrame.unionByName, found).groupBy("node_id").agg(*(F.sum(f"tf{k}").alias(f"tf{k}") for k in range(len(parsed.parts))))
-    return _ranked(sizes.join(each, "node_id", "left").fillna(0), parsed)
+    return reduce(DataFrame.unionByName, found).groupBy("node_id").agg(*(F.sum(f"tf{k}").alias(f"tf{k}") for k in range(len(parsed.parts))))
 
 
 def search_texts(docs: DataFrame, query: str, columns: tuple[str, ...] = ("title", "description", "rationale")) -> DataFrame:
@@ -104,10 +119,11 @@ def _places(words: Column, part: tuple) -> Column:
     return F.when(F.size(words) >= len(wanted), F.size(F.filter(starts, at))).otherwise(0)
 
 
-def _ranked(counted: DataFrame, parsed: Query) -> DataFrame:
-    """(node_id, rank) from every document's number of words and of places of each part."""
+def _ranked(counted: DataFrame, parsed: Query, docs: int | None = None, mean: float | None = None) -> DataFrame:
+    """(node_id, rank) from every document's number of words and of places of each part; if docs and mean are given, of those that have any."""
     parts = range(len(parsed.parts))
-    total = counted.agg(F.count("*").alias("n"), F.avg("words").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"docs{k}") for k in parts))
+    corpus = (F.count("*"), F.avg("words")) if docs is None else (F.lit(docs), F.lit(mean))
+    total = counted.agg(corpus[0].alias("n"), corpus[1].alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"docs{k}") for k in parts))
     wanted = {p: k for k, p in enumerate(parsed.parts)}
     positive = {wanted[p] for need, _ in parsed.alternatives for p in need}
     has = {k: F.col(f"tf{k}") > 0 for k in parts}

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.wire import ulid
-from ..operators import commands
+from ..operators import commands, segments
 from ..sources.schema import MUTATIONS
 from ..sources.session import checkpoint, shared_folder
 from ..sources.tables import graph_edges, graph_nodes, table
 from ..streaming import git, live, pipeline
 from . import maintained, projection
-from .catalog import _FOLD, _project_sql, mutation_log, query
+from .catalog import _BM25, _FOLD, _project_sql, mutation_log, query
 from .view_catalog import SQL
 
 #: Of each document: a decision is made, perhaps changed and superseded, promoted and deleted. Some refer to what is not there.
@@ -145,3 +145,17 @@ def maintained_edges(spark: SparkSession, d: str) -> DataFrame:
     cut = edges.where((F.col("relation") == "CALLS") & (F.regexp_extract("source_id", "[0-9]+", 0).cast("long") % 11 == 0))
     view.apply(edges.limit(0), cut, represented(nodes.where(at(3) & ~at(5))).unionByName(gone))
     return view.edges().select("source_id", "target_id", "aggregate", "count", "relation", F.size("relations").cast("long").alias("relations"))
+
+
+@query("bm25_segments", _BM25)
+def bm25_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Documents indexed in five updates: halves with other words first, then all as they are, and some that come and go."""
+    text = table(spark, d, "documents").select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("node_id"), F.col("text").alias("description"), "doc_id")
+    kept = segments.SegmentedIndex(spark, _folder(spark, "segments"), ("description",))
+    other = lambda rows, word: rows.withColumn("description", F.concat_ws(" ", F.lit(word), "node_id"))
+    kept.update(other(text.where("doc_id % 2 = 0"), "the old"))
+    kept.update(other(text.where("doc_id % 3 = 0"), "and new"))
+    kept.update(other(text.where("doc_id % 5 = 0").withColumn("node_id", F.concat(F.lit("x"), "node_id")), "the and"))
+    kept.update(text.where("doc_id % 2 = 1"), text.where("doc_id % 5 = 0").select(F.concat(F.lit("x"), "node_id").alias("node_id")))
+    kept.update(text.where("doc_id % 2 = 0"))
+    return kept.search("the OR and").select("node_id", F.round("rank", 9).alias("rank"))
