@@ -312,6 +312,23 @@ query("phrase_search", r"""select 'd-' || doc_id as node_id from documents where
 )
 
 
+_FOLDED = r"""with cut as (select doc_id, list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), 'àâäçèéêëîïôöùûü', 'aaaceeeeiioouuu'), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
+    places as (select doc_id, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from cut), total as (select count(*) as n, avg(len(w)) as mean from cut),
+    part as (%s), seen as (select p, count(distinct doc_id) as docs from part group by p),
+    tf as (%s),
+    scored as (select doc_id, list(p) as ps, -sum(greatest(ln((n - docs + 0.5) / (docs + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))) as rank from tf join seen using (p) join cut using (doc_id), total group by doc_id)
+    select 'd-' || doc_id as node_id, round(rank, 9) as rank from scored where %s"""
+_PLACED = "select doc_id, {p} as p, {length} as n, pos from places where term = '{term}'"
+query("bm25_near", _FOLDED % (
+    " union all ".join(_PLACED.format(p=p, length=1, term=term) for p, term in enumerate(("the", "of", "and"))),
+    """select a.doc_id, a.p, count(distinct a.pos) as tf from part a join part e on e.doc_id = a.doc_id and a.pos between e.pos - 4 and e.pos where
+      (select count(distinct o.p) from part o where o.doc_id = e.doc_id and o.pos between e.pos - 4 and e.pos) = 3 group by a.doc_id, a.p""", "true"))(_bm25("NEAR(the of and, 3)"))
+query("bm25_brackets", _FOLDED % (
+    " union all ".join(_PLACED.format(p=p, length=1, term=term) for p, term in enumerate(("des", "ou", "la"))) + " union all select doc_id, 3, 1, pos from places where pos = 0 and term like 'e%'",
+    "select doc_id, p, count(*) as tf from part where p <> 2 group by doc_id, p",
+    "(list_contains(ps, 0) or list_contains(ps, 3)) and list_contains(ps, 1) and doc_id not in (select doc_id from part where p = 2)"))(_bm25("(DÈS OR ^é*) AND où NOT là"))
+
+
 def event_log(spark: SparkSession, d: str) -> DataFrame:
     """The events table in the form of the log."""
     rows = table(spark, d, "events")
