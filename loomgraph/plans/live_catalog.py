@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.wire import ulid
 from ..operators import commands, segments
+from ..sources import connector, saved
 from ..sources.schema import MUTATIONS
 from ..sources.session import checkpoint, shared_folder
 from ..sources.tables import graph_edges, graph_nodes, table
 from ..streaming import git, live, pipeline
 from . import maintained, projection
-from .catalog import _BM25, _FOLD, _project_sql, mutation_log, query
+from .catalog import _BM25, _FOLD, GRAPH, _project_sql, mutation_log, query
 from .view_catalog import SQL
 
 #: Of each document: a decision is made, perhaps changed and superseded, promoted and deleted. Some refer to what is not there.
@@ -159,3 +160,37 @@ def bm25_segments(spark: SparkSession, d: str) -> DataFrame:
     kept.update(text.where("doc_id % 2 = 1"), text.where("doc_id % 5 = 0").select(F.concat(F.lit("x"), "node_id").alias("node_id")))
     kept.update(text.where("doc_id % 2 = 0"))
     return kept.search("the OR and").select("node_id", F.round("rank", 9).alias("rank"))
+
+
+@query("saved_graph", f"""{GRAPH}, n as (select *, cast(substr(id, 3) as bigint) as k from g_nodes where kind in ('decision', 'path', 'file')), left_nodes as (select * from n where kind <> 'decision' or k % 7 <> 0)
+    select 'node' as part, id, case when kind = 'decision' and k % 5 = 0 then 'renamed' else name end as value, case when kind = 'decision' and k % 5 = 0 then 'team' else 'personal' end as tier from left_nodes
+    union all select distinct 'edge', source_id, target_id, relation from g_edges where relation in ('GOVERNS', 'SUPERSEDES') and source_id in (select id from left_nodes) and target_id in (select id from left_nodes)
+    union all select 'annotation', id, 'e', 'e' from left_nodes where kind = 'decision' and k % 3 = 0""")
+def saved_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions and what they govern, saved under the first schema version, opened by another session under the last, changed, and opened again."""
+    folder, kinds = _folder(spark, "saved"), ("decision", "path", "file")
+    number = F.substring("id", 3, 20).cast("long")
+    none, at = F.lit(None).cast("string"), F.lit("2020-01-01T00:00:00.000Z")
+    old = saved.SavedGraph(spark, folder, buckets=16, version=1)
+    old.load("nodes", graph_nodes(spark, d, kinds).select("id", "kind", "name", "qualified_name", "file_path", none.alias("data"), at.alias("created_at")))
+    old.load("edges", graph_edges(spark, d, ("GOVERNS", "SUPERSEDES")).withColumn("created_at", at))
+    kept = saved.SavedGraph(spark.newSession(), folder)
+    decisions = kept.read("nodes").where("kind = 'decision'")
+    kept.upsert("nodes", decisions.where(number % 5 == 0).withColumns({"name": F.lit("renamed"), "tier": F.lit("team"), "updated_at": F.lit("2020-01-02T00:00:00.000Z")}))
+    kept.upsert("annotations", decisions.where(number % 3 == 0).select(F.col("id"), F.col("id").alias("decision_id"), F.lit("e").alias("edge_id"), at.alias("created_at")))
+    kept.remove_nodes(decisions.where(number % 7 == 0))
+    again = saved.SavedGraph(spark, folder, "reopened")
+    assert again.list_tables() == ["reopened_annotations", "reopened_edges", "reopened_events", "reopened_nodes"]
+    return spark.sql("""select 'node' as part, id, name as value, tier from reopened_nodes union all select 'edge', source_id, target_id, relation from reopened_edges
+        union all select 'annotation', decision_id, edge_id, edge_id from reopened_annotations""")
+
+
+@query("connector_search", """select 'search' as asked, cast(doc_id as varchar) as id, 'docs://' || doc_id as url, '{"length":' || length(text) || '}' as metadata from documents where contains(text, 'of the') and contains(text, 'and')
+    union all select 'resolve', cast(item_id as varchar), 'bench://' || item_id, '{"length":' || length(text) || '}' from benchmark where item_id in (3, 5)""")
+def connector_search(spark: SparkSession, d: str) -> DataFrame:
+    """Two systems outside behind one interface: documents that are searched, items that are resolved."""
+    docs = connector.Connector(spark, "docs", f"{d}/documents.parquet", "doc_id", url="docs://")
+    items = connector.Connector(spark, "bench", f"{d}/benchmark.parquet", "item_id", url="bench://")
+    columns = ("id", "url", "metadata")
+    found = docs.search("of the").where(F.contains("title", F.lit("and")))
+    return found.select(F.lit("search").alias("asked"), *columns).unionByName(items.resolve("3", "5", "none").select(F.lit("resolve").alias("asked"), *columns))
