@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schema import LABEL_KINDS
+from .session import checkpoint
 
 #: Characters by which short items are looked for.
 ANCHOR = 8
+#: Numbers of words by which other items are looked for, the most that an item has.
+GRAMS = (6, 3, 1)
+#: Items, and bytes of their texts, up to which every task gets all of them.
+ITEM_ROWS, ITEM_BYTES = 200_000, 32 << 20
 RELATIONS = ("CALLS", "IMPORTS", "GOVERNS", "SUPERSEDES", "REFERENCES")
 
 
@@ -85,24 +92,44 @@ def graph_edges(spark: SparkSession, folder: str, relations: tuple[str, ...] = R
 def quotes(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that contain an item's whole text.
 
-    The second and third word of an item lie inside it, so a text that contains it has them next to
-    one another: an equi join finds the candidates. Items of fewer than four words are looked for by
-    their first characters, ANCHOR at most, among all windows of the texts of as many characters. An
-    empty item is no reference.
+    All but the first and last word of an item stand whole, next to one another, in a text that contains it. So an item of three words or more is
+    looked for by some of these (GRAMS), those that the fewest items have; shorter ones by their first characters, ANCHOR at most, among
+    all windows of the texts of as many characters. Where the items fit into every task, a text is compared with those that it may contain
+    where it is read, and nothing is shuffled; else candidates are joined first. An empty item is no reference.
     """
     words = lambda c: F.split(c, r"[ \n]+")
-    cut = items.where("text is not null").withColumn("w", words(F.col("text")))
-    keyed = cut.where(F.size("w") > 3).select("item_id", F.col("text").alias("item"), F.concat_ws(" ", F.col("w")[1], F.col("w")[2]).alias("key"))
-    own = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 1)
-    pairs = F.expr("array_distinct(transform(sequence(0, size(w) - 2), i -> concat_ws(' ', w[i], w[i + 1])))")
-    hits = own.select("doc_id", F.explode(pairs).alias("key")).join(keyed, "key").select("doc_id", "item_id", "item")
-    short = cut.where((F.size("w") <= 3) & (F.col("text") != "")).select("item_id", F.col("text").alias("item"), F.left("text", F.lit(ANCHOR)).alias("key"))
-    for n in (r.n for r in short.select(F.length("key").alias("n")).distinct().collect()):  # ANCHOR rows at most
-        windows = F.expr(f"array_distinct(transform(sequence(1, length(text) - {n - 1}), i -> substr(text, i, {n})))")
-        own = docs.where(F.length("text") >= n).select("doc_id", F.explode(windows).alias("key"))
-        hits = hits.unionByName(own.join(short, "key").select("doc_id", "item_id", "item"))
-    found = hits.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id")
-    return found.select(_keyed("d", "doc_id").alias("source_id"), _keyed("b", "item_id").alias("target_id"))
+    hashed = lambda w, k: F.expr(f"array_distinct(transform(sequence(0, size({w}) - {k}), i -> xxhash64({', '.join(f'{w}[i + {j}]' for j in range(k))})))")
+    cut = items.where("text <> ''").select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
+    own = F.expr("slice(w, 2, size(w) - 2)")
+    size = F.size("w") - 2
+    most = reduce(lambda found, k: found.when(size >= k, F.lit(k)), GRAMS, F.when(F.lit(False), F.lit(0)))
+    long = cut.where(size >= GRAMS[-1]).withColumns({"own": own, "k": most})
+    grams = [long.where(F.col("k") == k).select("item_id", "k", F.explode(hashed("own", k)).alias("key")) for k in GRAMS]
+    every = reduce(DataFrame.unionByName, grams)
+    seen = every.groupBy("k", "key").agg(F.count("*").alias("seen"))
+    rarest = every.join(seen, ["k", "key"]).groupBy("item_id", "k").agg(F.min(F.struct("seen", "key")).alias("least"))
+    keyed = checkpoint(cut.join(rarest.select("item_id", "k", F.col("least.key").alias("key")), "item_id").select("item_id", "item", "k", "key"))
+    short = checkpoint(cut.where(size < GRAMS[-1]).select("item_id", "item", (-F.least(F.length("item"), F.lit(ANCHOR))).alias("k"), F.xxhash64(F.left("item", F.lit(ANCHOR))).alias("key")))
+    held = keyed.unionByName(short)
+    rows, letters = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item") + 64), F.lit(0))).first()
+    small = rows <= ITEM_ROWS and letters <= ITEM_BYTES
+    texts = docs.where("text is not null").select("doc_id", "text")
+    found = []
+    for k in sorted(r.k for r in held.select("k").distinct().collect()):  # GRAMS and ANCHOR rows at most
+        if k > 0:
+            split = texts.withColumn("w", words(F.col("text"))).where(F.size("w") >= k)
+            keys = hashed("w", k)
+        else:
+            split, keys = texts.where(F.length("text") >= -k), F.expr(f"array_distinct(transform(sequence(1, length(text) + {k} + 1), i -> xxhash64(substr(text, i, {-k}))))")
+        wanted = held.where(F.col("k") == k).select("item_id", "item", "key")
+        if small:
+            found.append(split.select("doc_id", "text", F.explode(keys).alias("key")).join(F.broadcast(wanted), "key").where(F.contains("text", "item")).select("doc_id", "item_id"))
+        else:
+            pairs = split.select("doc_id", F.explode(keys).alias("key")).join(wanted.select("item_id", "key"), "key").select("doc_id", "item_id")
+            found.append(pairs.join(texts, "doc_id").join(wanted.select("item_id", "item"), "item_id").where(F.contains("text", "item")).select("doc_id", "item_id"))
+    if not found:
+        found = [texts.join(items.select("item_id").limit(0), F.lit(True)).select("doc_id", "item_id")]
+    return reduce(DataFrame.unionByName, found).select(_keyed("d", "doc_id").alias("source_id"), _keyed("b", "item_id").alias("target_id"))
 
 
 def attach_index(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
