@@ -98,38 +98,40 @@ def quotes(docs: DataFrame, items: DataFrame) -> DataFrame:
     where it is read, and nothing is shuffled; else candidates are joined first. An empty item is no reference.
     """
     words = lambda c: F.split(c, r"[ \n]+")
-    hashed = lambda w, k: F.expr(f"array_distinct(transform(sequence(0, size({w}) - {k}), i -> xxhash64({', '.join(f'{w}[i + {j}]' for j in range(k))})))")
+    grams = lambda k: F.expr(f"transform(sequence(0, size(own) - {k}), i -> struct(own[i] as first, xxhash64({', '.join(f'own[i + {j}]' for j in range(k))}) as key))")
     cut = items.where("text <> ''").select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
-    own = F.expr("slice(w, 2, size(w) - 2)")
     size = F.size("w") - 2
     most = reduce(lambda found, k: found.when(size >= k, F.lit(k)), GRAMS, F.when(F.lit(False), F.lit(0)))
-    long = cut.where(size >= GRAMS[-1]).withColumns({"own": own, "k": most})
-    grams = [long.where(F.col("k") == k).select("item_id", "k", F.explode(hashed("own", k)).alias("key")) for k in GRAMS]
-    every = reduce(DataFrame.unionByName, grams)
-    seen = every.groupBy("k", "key").agg(F.count("*").alias("seen"))
-    rarest = every.join(seen, ["k", "key"]).groupBy("item_id", "k").agg(F.min(F.struct("seen", "key")).alias("least"))
-    keyed = checkpoint(cut.join(rarest.select("item_id", "k", F.col("least.key").alias("key")), "item_id").select("item_id", "item", "k", "key"))
-    short = checkpoint(cut.where(size < GRAMS[-1]).select("item_id", "item", (-F.least(F.length("item"), F.lit(ANCHOR))).alias("k"), F.xxhash64(F.left("item", F.lit(ANCHOR))).alias("key")))
-    held = keyed.unionByName(short)
+    long = cut.where(size >= GRAMS[-1]).withColumns({"own": F.expr("slice(w, 2, size(w) - 2)"), "k": most})
+    every = reduce(DataFrame.unionByName, [long.where(F.col("k") == k).select("item_id", "k", F.explode(grams(k)).alias("gram")) for k in GRAMS])
+    seen = every.groupBy("k", "gram").agg(F.count("*").alias("seen"))
+    rarest = every.join(seen, ["k", "gram"]).groupBy("item_id", "k").agg(F.min(F.struct("seen", "gram")).alias("least"))
+    keyed = cut.join(rarest.select("item_id", "k", F.col("least.gram.first").alias("first"), F.col("least.gram.key").alias("key")), "item_id").select("item_id", "item", "k", "first", "key")
+    start = F.left("item", F.lit(ANCHOR))
+    short = cut.where(size < GRAMS[-1]).select("item_id", "item", (-F.length(start)).alias("k"), start.alias("first"), F.xxhash64(start).alias("key"))
+    held = checkpoint(keyed.unionByName(short))
     rows, letters = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item") + 64), F.lit(0))).first()
     small = rows <= ITEM_ROWS and letters <= ITEM_BYTES
     texts = docs.where("text is not null").select("doc_id", "text")
     found = []
     for k in sorted(r.k for r in held.select("k").distinct().collect()):  # GRAMS and ANCHOR rows at most
+        wanted = held.where(F.col("k") == k)
         if k > 0:
-            split = texts.withColumn("w", words(F.col("text"))).where(F.size("w") >= k)
-            keys = hashed("w", k)
+            placed = texts.withColumn("w", words(F.col("text"))).select("doc_id", "text", "w", F.posexplode("w").alias("at", "first"))
+            if small:  # only where a key may begin
+                placed = placed.join(F.broadcast(wanted.select("first").distinct()), "first", "left_semi")
+            at = placed.select("doc_id", "text", F.xxhash64("first", *(F.get("w", F.col("at") + j) for j in range(1, k))).alias("key"))
         else:
-            split, keys = texts.where(F.length("text") >= -k), F.expr(f"array_distinct(transform(sequence(1, length(text) + {k} + 1), i -> xxhash64(substr(text, i, {-k}))))")
-        wanted = held.where(F.col("k") == k).select("item_id", "item", "key")
+            windows = F.expr(f"array_distinct(transform(sequence(1, length(text) + {k} + 1), i -> xxhash64(substr(text, i, {-k}))))")
+            at = texts.where(F.length("text") >= -k).select("doc_id", "text", F.explode(windows).alias("key"))
         if small:
-            found.append(split.select("doc_id", "text", F.explode(keys).alias("key")).join(F.broadcast(wanted), "key").where(F.contains("text", "item")).select("doc_id", "item_id"))
+            found.append(at.join(F.broadcast(wanted.select("item_id", "item", "key")), "key").where(F.contains("text", "item")).select("doc_id", "item_id"))
         else:
-            pairs = split.select("doc_id", F.explode(keys).alias("key")).join(wanted.select("item_id", "key"), "key").select("doc_id", "item_id")
+            pairs = at.select("doc_id", "key").join(wanted.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
             found.append(pairs.join(texts, "doc_id").join(wanted.select("item_id", "item"), "item_id").where(F.contains("text", "item")).select("doc_id", "item_id"))
     if not found:
         found = [texts.join(items.select("item_id").limit(0), F.lit(True)).select("doc_id", "item_id")]
-    return reduce(DataFrame.unionByName, found).select(_keyed("d", "doc_id").alias("source_id"), _keyed("b", "item_id").alias("target_id"))
+    return reduce(DataFrame.unionByName, found).distinct().select(_keyed("d", "doc_id").alias("source_id"), _keyed("b", "item_id").alias("target_id"))
 
 
 def attach_index(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
