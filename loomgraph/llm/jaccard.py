@@ -102,7 +102,7 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def _sent(docs: DataFrame, shards: int) -> DataFrame:
-    """A row for each block of documents and shard: the shingles there, and of each how far its set's number is from the last one's.
+    """A row for each block of documents and shard in which it has any shingle: the shingles there, and of each how far its set's number is from the last one's.
 
     Shingles that several of the block's sets have are sent once, as common. One row of a block also
     tells its distinct sets: their keys, sizes, and how many of their shingles are common.
@@ -122,14 +122,16 @@ def _sent(docs: DataFrame, shards: int) -> DataFrame:
         tokens, owner = tokens[~local], owner[~local]
         shard = of_shard(tokens)
         by_shard = np.argsort(shard, kind="stable")
-        tokens, owner, ends = tokens[by_shard].astype(np.uint32), owner[by_shard], np.searchsorted(shard[by_shard], np.arange(shards + 1))
-        common_ends = np.searchsorted(of_shard(common), np.arange(shards + 1))
+        tokens, owner, shard, common_shard = tokens[by_shard].astype(np.uint32), owner[by_shard], shard[by_shard], of_shard(common)
+        home = block % shards
+        met = np.unique(np.concatenate([shard, common_shard, [home]]))  # no row for a shard in which the block has nothing
+        ends, common_ends = ((np.searchsorted(x, met), np.searchsorted(x, met, "right")) for x in (shard, common_shard))
         rows = []
-        for s in range(shards):
-            own, head = owner[ends[s] : ends[s + 1]], s == block % shards
-            told = (np.array(list(sets), np.int64).tobytes(), _narrow(sizes), _narrow(shared)) if head else (None, None, None)
-            rows.append((s, block, *told, _narrow(np.diff(own, prepend=0)), tokens[ends[s] : ends[s + 1]].tobytes(), common[common_ends[s] : common_ends[s + 1]].astype(np.uint32).tobytes()))
-        for at in range(0, shards, 16):
+        for i, s in enumerate(met.tolist()):
+            own = owner[ends[0][i] : ends[1][i]]
+            told = (np.array(list(sets), np.int64).tobytes(), _narrow(sizes), _narrow(shared)) if s == home else (None, None, None)
+            rows.append((s, block, *told, _narrow(np.diff(own, prepend=0)), tokens[ends[0][i] : ends[1][i]].tobytes(), common[common_ends[0][i] : common_ends[1][i]].astype(np.uint32).tobytes()))
+        for at in range(0, len(rows), 16):
             cols = list(zip(*rows[at : at + 16], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names)
 
@@ -170,8 +172,9 @@ def _count_shared(sent: DataFrame, shards: int) -> DataFrame:
         for r, own in zip(rows, owners, strict=True):
             which, n = np.unique(own[shared[at : at + len(own)]], return_counts=True)
             at += len(own)
-            out.append((r["block"], r["keys"], r["sizes"], r["shared"], _narrow(np.diff(which, prepend=0)), _narrow(n)))
-        cols = list(zip(*out, strict=True))
+            if len(which) or r["keys"] is not None:
+                out.append((r["block"], r["keys"], r["sizes"], r["shared"], _narrow(np.diff(which, prepend=0)), _narrow(n)))
+        cols = list(zip(*out, strict=True)) or [()] * len(counted)
         return pa.table({c: pa.array(x, pa.binary() if i else pa.int64()) for i, (c, x) in enumerate(zip(counted, cols, strict=True))})
 
     counted = ["block", "keys", "sizes", "shared", "owners", "counts"]

@@ -488,6 +488,25 @@ def test_jaccard_messages_do_not_grow_with_shards(docs, monkeypatch):
     test_jaccard_against_all_pairs(docs, monkeypatch, 1 << 18)
 
 
+def test_jaccard_sends_no_empty_rows(spark, docs, monkeypatch):
+    """With more shards than shingles there are as many rows as shingles at most, and a row for each block; so rows grow as the input does."""
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 6000)
+
+    def sent(times):
+        many = docs.select((F.col("doc_id") * times + F.col("k")).alias("doc_id"), F.regexp_replace("text", r"(\s)", F.concat(F.col("k").cast("string"), F.lit("$1"))).alias("text")) if times > 1 else docs
+        rows = jaccard._sent(many, 1 << 20)
+        got = rows.agg(F.count("*"), F.sum(F.octet_length("shingles") + F.octet_length("common")) / 4, F.count_distinct("block")).first()
+        assert got[2] > 1 and got[0] <= got[1] + got[2]
+        assert rows.where("keys is null and octet_length(shingles) + octet_length(common) = 0").isEmpty()
+        return got[0], got[1]
+
+    once = sent(1)
+    docs = docs.crossJoin(spark.range(4).withColumnRenamed("id", "k"))
+    four = sent(4)
+    assert four[1] > 3 * once[1]
+    assert four[0] / once[0] <= 1.1 * four[1] / once[1]
+
+
 def plain_lattice(pieces):
     log = dict(zip(pieces.texts, pieces.log, strict=True))
 
