@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpoint
+from .session import written
 
 
 def _looked_up(rows: DataFrame, key: str, up: DataFrame) -> DataFrame:
@@ -27,21 +27,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are ignored. All work is joins and minima with map-side combining; only a count reaches the driver.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     root = None
     while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("up"))
         for _ in range(2):
             up = _looked_up(up, "up", up).select("id", F.coalesce("found", "up").alias("up"))
-        up = checkpoint(up)
+        up = written(up)
         if root is None:
             root = up.select("id", F.col("up").alias("root"))
         else:
             root = _looked_up(root, "root", up).select("id", F.coalesce("found", "root").alias("root"))
-        root = checkpoint(root)
+        root = written(root)
         moved = _looked_up(_looked_up(pairs, "a", up).withColumnRenamed("found", "x"), "b", up).withColumnRenamed("found", "y").where("x <> y")
-        pairs = checkpoint(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        pairs = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if root is None:
         return pairs.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return root
