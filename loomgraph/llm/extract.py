@@ -7,7 +7,9 @@ that cost (an advert or a form amid the article) are left out, and the rest is g
 
 Inside surroundings that speak for main text (an article, a class that labelled pages have there)
 tags hardly cost and other surroundings neither earn nor cost, so that a run goes on to the last
-word; to cross the border of such surroundings costs as much as BORDER words earn.
+word. Where they hold a good part of a page's words, all words outside them cost a little, so that a run
+goes from one to the next and leaves out what stands between. What a class says against an element
+does not count where hardly anything is left of the page without it.
 """
 
 from __future__ import annotations
@@ -35,8 +37,11 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 #: Elements whose end tag may be left out, and those that a new one of these closes.
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
-#: What the border of main surroundings, a tag inside them and a tag of even odds cost; the least and most of a tag and of a word.
-BORDER, INSIDE, TAG, TAGS, WORDS = 25.0, 0.01, 0.1, (0.02, 3.0), (-1.0, 1.0)
+#: What a word outside main surroundings, a tag inside them and a tag of even odds cost; the least and most of a tag and of a word.
+OUTSIDE, INSIDE, TAG, TAGS, WORDS = -0.1, 0.01, 0.1, (0.02, 3.0), (-1.0, 1.0)
+#: The share of a page's words that main surroundings must hold for those outside to cost, and the shares from which a part of a class
+#: (or any, if main surroundings are within) and a whole class say nothing against an element, if it has LEAST words or more and main surroundings elsewhere under REST of them.
+HOLD, WIDE, WHOLE, REST, LEAST = 0.2, 0.5, 0.8, 0.1, 25
 #: Log odds from which an element's name, a class, or a part of a class makes its words cost, and from which a class speaks for main text.
 NAME, CLASS, PART, MAIN = -1.0, -0.7, -2.0, 1.2
 #: Labelled pages, written for this purpose: what stands between main marks is the main text. Words stand for words of any kind.
@@ -64,6 +69,11 @@ LABELLED = (
     # roles instead of names
     "<body><div role='banner'><a>w</a></div><div role='navigation'><a>w</a><a>w</a></div><div role='complementary'><p>w w w w w</p></div><div role='contentinfo'>w w w</div><div role='search'>w</div>"
     "<!--main--><div role='main'><p>w w w w w w w w w w w w w w w w w w w</p><p>w w w w w w w w w w w w</p><ol><li>w w w w</li><li>w w w w w</li></ol></div><!--/main--><dialog>w w w w w</dialog><div role='alert'>w w w w</div><div role='dialog'>w w w w w</div></body>",
+    # columns and boxes
+    "<body><div class='row'><!--main--><div class='col-a a-col'><div class='a-column a-box a-area'><p>w w w w w w w w w w w w w w w w w w w w w w w w</p></div><div class='side-a right-a reader-a user-a'><p>w w w w w w w w w w w w w w w w w w w w w w</p></div></div><!--/main-->"
+    "<div class='col-right right-col right-column rail right-rail side side-column side-col sidecol'><p>w w w w w w w w w w</p></div><div class='promobox promo-box adbox ad-box adslot ad-slot advertising adsense'>w w w w w w w w</div>"
+    "<div class='infobar noticebar notice-bar gdpr cookiebar cookie-bar'>w w w w w w</div><div class='trending popular most-read most-popular see-also further-reading teasers'><a>w w w</a> <a>w w w</a></div>"
+    "<div class='reader-comments user-comments comment-area commentlist feedback reader-feedback opinions user-opinions reactions guestbook'><p>w w w w w w w w w</p></div></div></body>",
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -135,21 +145,22 @@ class Weights:
         both = [max(1, sum(tags[i].values())) for i in (True, False)]
         self.tags = {t: min(TAGS[1], max(TAGS[0], TAG * math.exp(-odds(tags, *both, t)))) for t in {*tags[True], *tags[False]}}
 
-    def context(self, outer: float, name: str, traits: list[str], kept: bool) -> tuple[float, bool]:
+    def against(self, traits: list[str], kept: bool) -> dict[str, float]:
+        """The traits that speak against an element. A header of main text does not."""
+        return {t: self.traits[t] for t in traits if t in self.traits and self.traits[t] < _limit(t) and not (kept and t == "header")}
+
+    def context(self, outer: float, name: str, traits: list[str], kept: bool, against: dict[str, float]) -> tuple[float, bool]:
         """The score of a word in an element, and whether it stands in main surroundings.
 
-        The worst of an element's own traits and of what it stands in counts; an outermost article or
-        main element makes good what only classes around it say.
+        The worst of what speaks against an element and of what it stands in counts; for an article or main
+        element its own classes can make good what others of them say.
         """
         semantic = name in ("article", "main")
-        own = {t: self.traits[t] for t in traits if t in self.traits and not (kept and t == "header")}
-        worst = min((w for t, w in own.items() if w < _limit(t)), default=0.0)
-        best = max((w for t, w in own.items() if semantic or t[0] == "."), default=0.0)
+        best = max((self.traits[t] for t in traits if t in self.traits and (semantic or t[0] == ".")), default=0.0)
+        worst = min(against.values(), default=0.0)
         if worst and not (semantic and best >= -worst):
-            return min(outer, max(WORDS[0], worst)), kept
-        if semantic and not kept:
-            return self.word, True
-        return outer, kept or outer > 0 and best >= MAIN
+            return min(outer, max(WORDS[0], worst)), False
+        return outer, kept or outer > 0 and (semantic or best >= MAIN)
 
 
 def _limit(trait: str) -> float:
@@ -161,53 +172,116 @@ def learnt(pages: tuple[str, ...] = LABELLED) -> Weights:
     return Weights(pages)
 
 
-def scored(page: str, weights: Weights) -> tuple[list[float], list[tuple[int, int, str]]]:
-    """The scores of a page's words and tags in order, and of each text (place among them, block, text) where its words may count.
-
-    Every text is one entry of the scores, of all its words together.
-    """
-    scores: list[float] = []
-    texts: list[tuple[int, int, str]] = []
-    stack: list[tuple[str, float, bool]] = [("", weights.word, False)]
+def walked(page: str) -> list[tuple[str, str, str]]:
+    """(kind, name, content): texts, tags, and elements opened and shut, well nested; left out end tags are made good."""
+    events: list[tuple[str, str, str]] = []
+    stack: list[str] = []
     open_at: dict[str, list[int]] = {}  # of each name the places in the stack
     blocks: list[int] = []  # places of elements that are blocks
-    block = 0
 
     def leave(level: int) -> None:
         while len(stack) > level:
-            name, _, kept = stack.pop()
+            name = stack.pop()
             open_at[name].pop()
             if name in BLOCKS:
                 blocks.pop()
-            if kept and not stack[-1][2]:
-                scores.append(-BORDER)
+            events.append(("shut", name, ""))
 
     for kind, name, rest in tokens(page):
         if kind == "text":
-            text = entities.unescape(rest)
-            if not text:
-                continue
-            _, score, kept = stack[-1]
-            if score > 0:
-                texts.append((len(scores), block, text))
-            scores.append(len(text.split()) * (max(score, 0.0) if kept else score))
+            if text := entities.unescape(rest):
+                events.append(("text", "", text))
         elif kind != "mark":
-            block += name in BLOCKS
-            scores.append(-INSIDE if stack[-1][2] else -weights.tags.get(name, TAG))
+            events.append(("tag", name, ""))
             if kind == "open":
-                while blocks and name in CLOSED_BY.get(stack[blocks[-1]][0], ()):
+                while blocks and name in CLOSED_BY.get(stack[blocks[-1]], ()):
                     leave(blocks[-1])
                 if name not in VOID:
-                    _, outer, kept = stack[-1]
-                    now = weights.context(outer, name, _traits(name, rest), kept)
-                    if now[1] and not kept:
-                        scores.append(-BORDER)
                     open_at.setdefault(name, []).append(len(stack))
                     if name in BLOCKS:
                         blocks.append(len(stack))
-                    stack.append((name, *now))
+                    stack.append(name)
+                    events.append(("open", name, rest))
             elif open_at.get(name):
                 leave(open_at[name][-1])
+    leave(0)
+    return events
+
+
+def judged(events: list[tuple[str, str, str]], weights: Weights) -> tuple[dict[int, tuple[float, bool]], bool]:
+    """The score of a word in each element by its event, and whether it stands in main surroundings; whether words outside such cost.
+
+    Words are counted by element first, all and those in main surroundings, without those that names of elements speak against.
+    """
+    traits: dict[int, list[str]] = {}
+    held: dict[int, tuple[int, int]] = {}
+    words = main = 0
+    stack: list[tuple[int, int, int, bool, bool]] = [(-1, 0, 0, False, False)]  # event, words and main words before it, shut out by name, main
+    for i, (kind, name, rest) in enumerate(events):
+        if kind == "text":
+            if not stack[-1][3]:
+                n = len(rest.split())
+                words, main = words + n, main + n * stack[-1][4]
+        elif kind == "open":
+            _, _, _, out, kept = stack[-1]
+            traits[i] = own = _traits(name, rest)
+            against = weights.against(own, kept)
+            out = out or any(t[0] != "." for t in against)
+            kept = not out and (kept or not against and weights.context(weights.word, name, own, kept, against)[1])
+            stack.append((i, words, main, out, kept))
+        elif kind == "shut":
+            j, before, main_before, _, _ = stack.pop()
+            held[j] = words - before, main - main_before
+
+    def said(i: int, kept: bool) -> dict[str, float]:
+        against = weights.against(traits[i], kept)
+        n, inside = held[i]
+        if n < LEAST or main - inside >= REST * n:
+            return against
+        share = WIDE if inside or all(_limit(t) == PART for t in against) else WHOLE
+        return {t: w for t, w in against.items() if t[0] != "."} if n > share * words else against
+
+    found = {-1: (weights.word, False)}
+    inside = 0
+    within: list[tuple[float, bool]] = [found[-1]]
+    for i, (kind, name, rest) in enumerate(events):
+        if kind == "open":
+            outer, kept = within[-1]
+            found[i] = weights.context(outer, name, traits[i], kept, said(i, kept))
+            within.append(found[i])
+        elif kind == "shut":
+            within.pop()
+        elif kind == "text" and within[-1][1]:
+            inside += len(rest.split())
+    return found, inside > 0 and inside >= HOLD * words
+
+
+def scored(page: str, weights: Weights) -> tuple[list[float], list[tuple[int, int, str]]]:
+    """The scores of a page's words and tags in order, and of each text (place among them, block, text) where its words may count.
+
+    Every text is one entry of the scores, of all its words together.
+    """
+    events = walked(page)
+    found, held = judged(events, weights)
+    scores: list[float] = []
+    texts: list[tuple[int, int, str]] = []
+    within: list[tuple[float, bool, bool]] = [(*found[-1], False)]
+    block = 0
+    for i, (kind, name, text) in enumerate(events):
+        score, kept, amid = within[-1]
+        if kind == "text":
+            if held and not kept and score > 0:
+                score = OUTSIDE
+            if score > 0:
+                texts.append((len(scores), block, text))
+            scores.append(len(text.split()) * (max(score, 0.0) if amid else score))
+        elif kind == "tag":
+            block += name in BLOCKS
+            scores.append(-INSIDE if amid else -weights.tags.get(name, TAG))
+        elif kind == "open":
+            within.append((*found[i], amid or found[i][1]))
+        else:
+            within.pop()
     return scores, texts
 
 
