@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, jaccard, mixing, quality, toxicity
-from loomgraph.llm.session import checkpoint, shared_folder, table
+from loomgraph.llm.session import shared_folder, table, written
 
 
 def _key(docs: DataFrame) -> Column:
@@ -39,7 +39,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def _once(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(row_key, row, n, ...) of the docs of keys (row_key, n, ...); of the n equal rows of a key one."""
-    joined = _keyed(docs).join(checkpoint(keys), "row_key")  # read twice
+    joined = _keyed(docs).join(written(keys), "row_key")  # read twice
     return joined.where("n = 1").unionByName(joined.where("n > 1").dropDuplicates(["row_key"]))
 
 

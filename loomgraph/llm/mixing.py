@@ -18,7 +18,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import checkpoint
+from .session import checkpoint, written
 
 #: Weights of the sources in order, repeating; most copies of a document; documents ranked in one task.
 WEIGHTS, MOST, RANKED = (1, 2, 3), 3, 2_000
@@ -72,22 +72,23 @@ def balance(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     share = F.col("target") / F.col("source_size")
     low, high = F.least(F.lit(0.0), F.ln(share) / F.col("least")), F.when(share > 1, log(MOST) / F.col("least")).otherwise(0.0)
     now = wanted.where("source_size > 0").join(least, "key").select("key", "target", low.alias("low"), high.alias("high"), F.lit(0.0).alias("tilt"))
-    now = checkpoint(now)
+    now = written(now)
     for _ in range(ITERATIONS):
-        each = counts.join(now.select("key", "tilt"), "key").withColumn("rate", tilted(F.col("tilt"), F.col("size")))
+        each = counts.join(now, "key").withColumn("rate", tilted(F.col("tilt"), F.col("size")))
         words = F.col("n") * F.col("size") * F.col("rate")
         slope = F.when(F.col("rate") < MOST, words * F.col("size")).otherwise(0.0)
-        sums = each.groupBy("key").agg(F.sum(words).alias("words"), F.sum(slope).alias("slope"))
+        # a source's own columns come along, so that they need not be joined again
+        own = [F.first(c).alias(c) for c in ("target", "low", "high", "tilt")]
+        sums = each.groupBy("key").agg(*own, F.sum(words).alias("words"), F.sum(slope).alias("slope"))
         over = F.col("words") - F.col("target")
-        step = now.join(sums, "key").withColumn("miss", F.abs(over) / F.col("target"))
+        step = sums.withColumn("miss", F.abs(over) / F.col("target"))
         step = step.withColumn("low", F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(over > 0, F.col("tilt")).otherwise(F.col("high")))
         newton = F.col("tilt") - F.try_divide(over, F.col("slope"))
         inside = (newton >= F.col("low")) & (newton <= F.col("high"))
         moved = F.when(F.col("miss") <= PRECISE, F.col("tilt")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        now = checkpoint(step.select("key", "target", "low", "high", moved.alias("tilt"), "miss"))
-        if (now.agg(F.max("miss")).first()[0] or 0.0) <= PRECISE:
+        now = written(step.select("key", "target", "low", "high", moved.alias("tilt"), "miss"))
+        if now.where(F.col("miss") > PRECISE).isEmpty():
             break
-        now = now.drop("miss")
     return now.select("key", "tilt")
 
 
@@ -101,19 +102,19 @@ def rounded(counts: DataFrame, tilts: DataFrame, wanted: DataFrame) -> DataFrame
     upto = F.sum(F.col("n") * F.col("rate")).over(from_largest)
     made = rates.withColumn("upto", upto).withColumn("copies", F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("n") * F.col("rate") + 0.5))
     limit = MOST * F.col("n")
-    made = checkpoint(made.select("key", "size", "n", "rate", F.least(F.greatest("copies", F.lit(0)), limit).alias("copies")))
+    made = made.join(wanted.select("key", "target"), "key")
+    made = written(made.select("key", "size", "n", "rate", F.least(F.greatest("copies", F.lit(0)), limit).alias("copies"), "target"))
     for _ in range(REPAIRS):
-        taken = made.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
-        missing = wanted.join(taken, "key").select("key", (F.col("target") - F.col("taken")).alias("missing"))
+        missing = made.groupBy("key").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("missing"))
         more = F.greatest(F.least(F.round(F.col("missing") / F.col("size")), limit - F.col("copies")), -F.col("copies")).cast("long")
         tried = made.join(missing, "key").withColumn("more", more).where("more <> 0")
         left = F.abs(F.col("missing") - F.col("more") * F.col("size"))
         best = tried.withColumn("left", left).where(F.col("left") < F.abs("missing")).groupBy("key").agg(F.min(F.struct("left", "size", "more")).alias("best"))
-        best = checkpoint(best.select("key", "best.size", "best.more"))
+        best = written(best.select("key", "best.size", "best.more"))
         if best.isEmpty():
             break
-        made = checkpoint(made.join(best, ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more"))
-    return made
+        made = written(made.join(best, ["key", "size"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more"))
+    return made.drop("target")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -127,8 +128,8 @@ def mix(docs: DataFrame) -> DataFrame:
     first by hash one more. They are ranked in parts of bounded length, each of which is due its share.
     """
     sized = checkpoint(sizes(docs))
-    wanted = checkpoint(targets(sized))
-    counts = checkpoint(sized.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")))
+    wanted = written(targets(sized))
+    counts = written(sized.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")))
     made = rounded(counts, balance(counts, wanted), wanted)
 
     each = made.select("key", "size", "n", "rate", F.floor(F.col("copies") / F.col("n")).alias("all"), F.pmod("copies", "n").alias("extra"), F.ceil(F.col("n") / RANKED).alias("parts"))

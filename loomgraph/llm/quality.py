@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import windows
-from .session import bucket, checkpoint, ship
+from .session import bucket, checkpoint, ship, written
 from .words import chunks, mix, spans, split
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -166,21 +166,22 @@ def estimates(rows: DataFrame) -> DataFrame:
     d = len(FLOORS)
     half = chi_square_at(0.5, d // 2)
     factor = 0.5 / chi_square(half, d // 2 + 1)
-    sized = _with(rows, rows.groupBy("part").agg(F.count("*").alias("n"))).withColumn("subset", F.pmod("h", F.greatest(F.lit(STARTS), F.floor(F.col("n") / SUBSET))))
-    medians = rows.groupBy("part").agg(F.array(*(F.percentile_approx(v, 0.5, RANKS) for v in FLOORS)).alias("centre"))
+    centres = F.array(*(F.percentile_approx(v, 0.5, RANKS) for v in FLOORS))
+    parts = written(rows.groupBy("part").agg(F.count("*").alias("n"), centres.alias("centre")))
+    sized = _with(rows, parts.select("part", "n")).withColumn("subset", F.pmod("h", F.greatest(F.lit(STARTS), F.floor(F.col("n") / SUBSET))))
     plain = F.array(*map(F.lit, np.diag(1 / np.array(list(FLOORS.values())) ** 2).ravel().tolist()))
-    middle = medians.select("part", F.struct(F.lit(math.inf).alias("logdet"), "centre", plain.alias("inverse")).alias("middle"))
+    middle = parts.select("part", F.struct(F.lit(math.inf).alias("logdet"), "centre", plain.alias("inverse")).alias("middle"))
     subsets = _fitted(_moments(sized, [F.col("subset") == k for k in range(STARTS)]), factor)
-    now = checkpoint(subsets.join(middle, "part").select("part", F.array_append("fits", F.col("middle")).alias("fits")))
+    now = written(subsets.join(middle, "part").select("part", F.array_append("fits", F.col("middle")).alias("fits")))
     every = range(STARTS + 1)
     for _ in range(STEPS):
         away = _with(rows, now).select("part", "salt", *FLOORS, *(_distance(F.col("fits")[k]).alias(f"away{k}") for k in every))
-        limits = away.groupBy("part").agg(*(F.percentile_approx(f"away{k}", 0.5, RANKS).alias(f"limit{k}") for k in every))
+        limits = written(away.groupBy("part").agg(*(F.percentile_approx(f"away{k}", 0.5, RANKS).alias(f"limit{k}") for k in every)))
         near = _moments(_with(away, limits), [F.col(f"away{k}") <= F.col(f"limit{k}") for k in every])
-        after = checkpoint(_fitted(near, factor).join(now.select("part", F.col("fits").alias("before")), "part"))
+        after = written(_fitted(near, factor).join(now.select("part", F.col("fits").alias("before")), "part"))
         fell = F.array_max(F.zip_with("before", "fits", lambda b, f: b["logdet"] - f["logdet"]))
         now = after.select("part", "fits")
-        if (after.agg(F.max(fell)).first()[0] or 0.0) <= FALL:
+        if after.where(fell > FALL).isEmpty():
             break
     return now.select("part", F.array_min("fits").alias("fit")).select("part", "fit.*")
 
@@ -198,6 +199,6 @@ def quality(docs: DataFrame) -> DataFrame:
     made = made.withColumn("part", F.to_json(F.struct("lang", "source"))).withColumn("h", bucket("doc_id", *COUNTS))
     made = checkpoint(made.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).drop("lang", "source"))
     good = made.where("not base_failed").select("part", "salt", "h", *FLOORS)
-    judged = _with(made, checkpoint(estimates(good)), "left").withColumn("away", _distance(F.struct("centre", "inverse")))
+    judged = _with(made, written(estimates(good)), "left").withColumn("away", _distance(F.struct("centre", "inverse")))
     kept = ~F.col("base_failed") & (F.coalesce("away", F.lit(0.0)) <= chi_square_at(1 - TAIL, len(FLOORS) // 2))
     return judged.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), F.sqrt("away").alias("distance"))
