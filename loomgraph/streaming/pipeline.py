@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType
 
 from ..operators.events import append_new, derive
 from ..sources.schema import EVENTS
@@ -15,6 +16,10 @@ from ..sources.schema import EVENTS
 TAIL = 20
 #: Ranges of the log that are named one by one; a batch that touches more reads what lies between its first and last.
 NAMED = 1000
+#: Ranges that a batch is written to, about: one that touches more is written to wider ones, of fewer first digits.
+WRITTEN = 256
+#: Numbers of first digits that a wider range can have, and what stands after them in its name.
+WIDTHS, WIDE = range(1, 13), "~"
 
 
 def id_range(event: Column | str) -> Column:
@@ -23,14 +28,35 @@ def id_range(event: Column | str) -> Column:
     return F.when(F.length(event) > TAIL, F.left(event, F.length(event) - TAIL)).otherwise("short")
 
 
+def written_ranges(rows: DataFrame) -> Column:
+    """The ranges to which a batch is written: those of its ids, or where they are more than WRITTEN, the narrowest wider ones that are not.
+
+    A wider range is named by its first digits and WIDE, which no number ends with.
+    """
+    own = id_range("id")
+    counts = rows.agg(F.approx_count_distinct(own), *(F.approx_count_distinct(F.left(own, F.lit(k))) for k in WIDTHS)).first()
+    if counts[0] <= WRITTEN:
+        return own
+    width = max((k for k, n in zip(WIDTHS, counts[1:], strict=True) if n <= WRITTEN), default=WIDTHS[0])
+    return F.when(own == "short", own).otherwise(F.concat(F.left(own, F.lit(width)), F.lit(WIDE)))
+
+
+def _around(ranges: list[str]) -> set[str]:
+    """The wider ranges in which ranges lie."""
+    return {r[:k] + WIDE for r in ranges for k in WIDTHS}
+
+
 def touched(log: DataFrame, rows: DataFrame) -> DataFrame:
     """The part of a log (partitioned by range) in which ids of rows can lie: other ranges' files are not read."""
     ranges = rows.select(id_range("id").alias("range")).distinct()
     some = [r.range for r in ranges.limit(NAMED + 1).collect()]
+    text = log.schema["range"].dataType == StringType()  # ranges that were read as numbers have no wider ones among them
     if len(some) <= NAMED:
-        return log.where(F.col("range").isin(some))
+        return log.where(F.col("range").isin(sorted({*some, *(_around(some) if text else ())})))
     first, last = ranges.agg(F.min("range"), F.max("range")).first()
-    return log.where(F.col("range").between(first, last))
+    between = F.col("range").between(first, last)
+    # of the wider ranges, only those around the first or the last can lie outside
+    return log.where(between | F.col("range").isin(sorted(_around([first, last]))) if text else between)
 
 
 def in_order(events: DataFrame, mutations: DataFrame) -> DataFrame:
@@ -50,7 +76,7 @@ def run_pipeline(events: DataFrame, nodes: Callable[[], DataFrame], log: str, mu
 
     nodes gives the current state at the time of the batch. Rows carry their batch, and a batch that
     is run again replaces what it wrote before, so events and mutations are stored once. The log is partitioned by
-    range of ids, and a batch looks for its ids only in the ranges that they lie in, however long the log is.
+    range of ids, wider ones for a large batch, and a batch looks for its ids only in the ranges that they lie in, however long the log is.
     """
     spark = events.sparkSession
     stored = spark.createDataFrame([], EVENTS + ", batch long, range string").schema
@@ -66,9 +92,9 @@ def run_pipeline(events: DataFrame, nodes: Callable[[], DataFrame], log: str, mu
         rows = rows.persist()
         try:
             derived = derive(rows, nodes())
-            ranged = rows.withColumns({"batch": F.lit(number).cast("long"), "range": id_range("id")})
-            # a batch has a folder of its own in every range it touches; run again, it replaces these
-            ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("range", "batch").parquet(log)
+            ranged = rows.withColumns({"batch": F.lit(number).cast("long"), "range": written_ranges(rows)})
+            # a batch has a folder of its own in every range it touches, with a file or more of a large one; run again, it replaces these
+            ranged.hint("rebalance", "range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("range", "batch").parquet(log)
             derived.write.mode("overwrite").parquet(f"{mutations}/batch={number}")
             if hand_on:
                 hand_on(in_order(rows, derived), number)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.events import derive, fold_edges, fold_nodes
 from loomgraph.sources.schema import MUTATIONS
+from loomgraph.streaming import pipeline
 from loomgraph.streaming.git import COMMITS, GitLogReader, git_stream
 from loomgraph.streaming.live import live_changes, live_edges, live_nodes
 from loomgraph.streaming.pipeline import event_windows, read_events, run_pipeline, touched
@@ -125,3 +126,25 @@ def test_a_batch_reads_only_the_ranges_that_its_ids_lie_in(spark, tmp_path):
     assert "PartitionFilters" in plan and "range" in plan.split("PartitionFilters")[1].split("]")[0]
     assert [(pos, kind) for rows in sent for _, pos, kind in rows] == [(-1, "event"), (0, "mutation")] * 10
     assert all(rows == sorted(rows) for rows in sent)
+
+
+def test_a_large_batch_goes_to_few_ranges_and_is_found_in_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline, "WRITTEN", 8)
+    source, log = tmp_path / "in", tmp_path / "log"
+    source.mkdir()
+    nodes = spark.createDataFrame([], "id string, kind string, name string, status string, data string")
+    sent = []
+    event = lambda minute, k: {"id": f"{minute:06d}" + f"{k:020d}", "kind": "decision.deleted", "actor": "a", "created_at": k, "project_id": "", "payload": '{"decision_id":"d"}'}
+    # many ranges; then one of them, a new one, and a short id; then many again, of which some are known
+    batches = [[event(m, 1) for m in range(60)], [event(17, 1), event(17, 2), event(90, 1), event(0, 1) | {"id": "s"}], [event(m, k) for m in range(50, 100) for k in (1, 2)] + [event(0, 1) | {"id": "s"}]]
+    for named in (1000, 3):
+        monkeypatch.setattr(pipeline, "NAMED", named)
+        for k, rows in enumerate(batches):
+            (source / f"{named}-{k}.json").write_text("\n".join(map(json.dumps, rows)))
+            run_pipeline(read_events(spark, str(source), 1), lambda: nodes, str(log), str(tmp_path / "made"), str(tmp_path / "state"), lambda rows, n: sent.append(rows.where("type = 'event'").count())).awaitTermination()
+        if named == 1000:
+            assert len([f for f in log.rglob("*.parquet") if "batch=0" in str(f)]) <= 8
+    want = {r["id"] for rows in batches for r in rows}
+    stored = spark.read.parquet(str(log))
+    assert stored.count() == len(want) and {r.id for r in stored.select("id").collect()} == want
+    assert sent == [60, 3, 100 - 10 - 1, 0, 0, 0]
