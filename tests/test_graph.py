@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from loomgraph.functions import drawing, paths
 from loomgraph.operators import events, filters, fulltext, groups, joins, traverse
 from loomgraph.operators.store import Store
-from loomgraph.plans import projection
+from loomgraph.plans import catalog, projection
+from loomgraph.sources.session import checkpoint
 from loomgraph.sources.tables import unified_nodes
 
 NODES = "id string, kind string, name string, qualified_name string, file_path string"
@@ -47,6 +48,47 @@ def test_why_climbs_to_a_governed_folder(spark):
     assert pairs(traverse.why_built(targets, nodes, edges)) == [("src/auth/jwt.ts", "d", 2)]
 
 
+def test_why_counts_each_path_once_and_gives_what_why_gives(spark, monkeypatch):
+    rnd = random.Random(4)
+    folders = ["a", "a/b", "a/c", "e"]
+    files = [f"{rnd.choice(folders + ['z'])}/f{k}.ts" for k in range(60)]
+    rows = [(f"d{k}", "decision", "D", None, None) for k in range(300)] + [(f"p{k}", "path", p, None, f"{p}/") for k, p in enumerate(folders)]
+    rows += [("p9", "path", "again", None, "a/b"), *((f"q{k}", "file", "f", None, p) for k, p in enumerate(files)), ("s", "function", "s", "a/b/f.ts::s", "a/b/f.ts"), ("r", "function", "s", "e/none", None)]
+    ends = ["p0", "p1", "p9", "q1", "q2", "s", "r"]
+    edges = edges_of(spark, *((f"d{k}", rnd.choice(ends), "GOVERNS") for k in range(300)), ("d1", "p1", "GOVERNS"), ("d1", "p9", "GOVERNS"), ("s", "p2", "GOVERNS"), ("d2", "p3", "SUPERSEDES"))
+    nodes, targets = spark.createDataFrame(rows, NODES), spark.createDataFrame([(t,) for t in [*files, files[0], "a/b/f.ts::s", "e/none", "a/b", None]], "target string")
+    want = traverse.why_built(targets, nodes, edges).groupBy("target", "level").agg(F.count_distinct("decision_id"), F.min("decision_id"))
+    got = traverse.why_built_counts(targets, nodes, edges)
+    assert pairs(got) == pairs(want) and {r.level for r in got.collect()} == {-1, 0, 1, 2}
+    # the query's joins make no row for each target and decision: 200 files under the folder that 200 decisions govern
+    monkeypatch.setattr(catalog, "graph_nodes", lambda spark, d, kinds: frames[0].where(F.col("kind").isin(*kinds)))
+    monkeypatch.setattr(catalog, "graph_edges", lambda spark, d, relations: frames[1])
+    many = [(f"d{k}", "decision", "D", None, None) for k in range(200)] + [(f"c{k}", "file", "f", None, f"top/f{k}.ts") for k in range(200)] + [("p", "path", "top", None, "top/")]
+    frames = checkpoint(spark.createDataFrame(many, NODES)), checkpoint(edges_of(spark, *((f"d{k}", "p", "GOVERNS") for k in range(200))))
+    asked = catalog.why_built(spark, "")
+    assert {tuple(r)[1:] for r in asked.collect()} == {(1, 200, "d0")} and asked.count() == 200
+    assert largest_join(asked) <= 1000
+
+
+def largest_join(df):
+    """The most rows that a join of the plan made when it ran."""
+    df.collect()
+    walk, most = [df._jdf.queryExecution().executedPlan()], 0
+    while walk:
+        node = walk.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            walk.append(node.executedPlan())
+        elif name in ("ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage"):
+            walk.append(node.plan())
+        else:
+            if "Join" in name:
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            children = node.children()
+            walk += [children.apply(k) for k in range(children.size())]
+    return most
+
+
 def test_neighbours_and_loops(spark):
     nodes = spark.createDataFrame([(x, "file", x, None, None) for x in "ab"], NODES)
     edges = edges_of(spark, ("a", "b", "X"), ("a", "a", "X"), ("a", "gone", "X"))
