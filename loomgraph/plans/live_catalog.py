@@ -137,14 +137,15 @@ def event_pipeline(spark: SparkSession, d: str) -> DataFrame:
 @query("maintained_edges", _project_sql(1.5, "edges").replace("from part\n", "from part where p_partkey % 5 <> 0\n").replace("where next is not null", "where next is not null and o_orderkey % 11 <> 0"))
 def maintained_edges(spark: SparkSession, d: str) -> DataFrame:
     """The edges of files' groups, kept up to date: a third of the parts come, a fifth and some calls go."""
-    nodes, edges = checkpoint(graph_nodes(spark, d)), checkpoint(graph_edges(spark, d))
+    nodes, edges = checkpoint(graph_nodes(spark, d)), graph_edges(spark, d)
+    none = spark.createDataFrame([], edges.schema)
     number = F.regexp_extract("id", "[0-9]+", 0).cast("long")
     at = lambda k: (F.col("kind") == "component") & (number % k == 0)
-    represented = lambda rows: projection.project(rows, edges.limit(0), 1.5).representative
+    represented = lambda rows: projection.project(rows, none, 1.5).representative
     view = maintained.EdgeView(spark, _folder(spark, "view")).start(edges, represented(nodes.where(~at(3))))
     gone = nodes.where(at(5)).select("id", F.lit(None).cast("string").alias("rep"))
-    cut = edges.where((F.col("relation") == "CALLS") & (F.regexp_extract("source_id", "[0-9]+", 0).cast("long") % 11 == 0))
-    view.apply(edges.limit(0), cut, represented(nodes.where(at(3) & ~at(5))).unionByName(gone))
+    cut = graph_edges(spark, d, ("CALLS",)).where(F.regexp_extract("source_id", "[0-9]+", 0).cast("long") % 11 == 0)
+    view.apply(none, cut, represented(nodes.where(at(3) & ~at(5))).unionByName(gone))
     return view.edges().select("source_id", "target_id", "aggregate", "count", "relation", F.size("relations").cast("long").alias("relations"))
 
 

@@ -58,6 +58,7 @@ class Buckets:
 
     def _write(self, rows: DataFrame, buckets: list[int], version: int) -> None:
         names = [c.strip().split()[0] for c in self.schema.split(",")]
-        # a file a bucket, and more of one that is large
-        rows.select(*names).withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/version={version}")
+        # a file a bucket, and more of one that is large; in order of the key, in which files are smaller
+        ordered = rows.select(*names).withColumn("bucket", self.bucket()).hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.key)
+        ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/version={version}")
         self.spark.createDataFrame([(b, version) for b in buckets], "bucket int, version int").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")

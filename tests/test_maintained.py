@@ -1,6 +1,7 @@
 """Views kept up to date against views from scratch."""
 
 import random
+from pathlib import Path
 
 from loomgraph.plans.maintained import EdgeView
 from loomgraph.plans.projection import aggregate_edges
@@ -47,3 +48,20 @@ def test_a_change_reads_and_writes_only_the_buckets_it_touches(spark, tmp_path):
     files = {f.split("bucket=")[1].split("/")[0] for f in view.counts.read(touched).inputFiles()}
     assert files <= {str(b) for b in touched} and "PartitionFilters" in view.counts.read(touched)._jdf.queryExecution().executedPlan().toString()
     assert view.edges().count() == 399
+
+
+def test_a_small_change_leaves_the_ends_and_no_shuffle_files(spark, tmp_path):
+    edges = [(f"a{k}", f"b{k}", "X") for k in range(100)]
+    view = EdgeView(spark, str(tmp_path / "view"), 4).start(spark.createDataFrame(edges, EDGE), spark.createDataFrame([(e, e) for x in edges for e in x[:2]], REP))
+    none = spark.createDataFrame([], EDGE)
+    ends = {f: f.stat().st_mtime_ns for f in (tmp_path / "view" / "incident").rglob("*.parquet")}
+    shuffles = lambda: {f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*")}
+    before = shuffles()
+    view.apply(none, spark.createDataFrame(edges[:2], EDGE), spark.createDataFrame([("a9", "g")], REP))
+    assert shuffles() <= before
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "view" / "incident").rglob("*.parquet")} == ends and view.changes.read().count() == 4
+    view.apply(spark.createDataFrame(edges[:1], EDGE), none, spark.createDataFrame([], REP))
+    assert {r.source_id for r in view.edges().collect()} == {"g", *(f"a{k}" for k in range(100) if k not in (1, 9))}
+    view.apply(none, spark.createDataFrame(edges[20:60], EDGE), spark.createDataFrame([], REP))
+    assert view.changes.read().count() == 0 and view.incident.read().count() == 2 * 59 and view.edges().count() == 59
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
