@@ -45,6 +45,27 @@ def index(docs: DataFrame, columns: tuple[str, ...] = ("title", "description", "
     return each.groupBy("node_id", "column", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("p")).alias("at"))
 
 
+def word_counts(docs: DataFrame, columns: tuple[str, ...] = ("title", "description", "rationale")) -> DataFrame:
+    """(node_id, words) of every document, from its texts."""
+    return docs.select("node_id", reduce(Column.__add__, [F.size(words_of(F.col(c))) for c in columns]).cast("long").alias("words"))
+
+
+def row_postings(docs: DataFrame, columns: tuple[str, ...] = ("title", "description", "rationale")) -> DataFrame:
+    """(node_id, column, term, at, words): the index of documents no two of which have one id, each made where it is read, without a shuffle.
+
+    A column's words are sorted with their places, and a term is a run of them. words is the number in all columns.
+    """
+    placed = lambda c: F.sort_array(F.transform(words_of(F.col(c)), lambda w, p: F.struct(w.alias("term"), p.alias("p"))))
+    split = docs.select("node_id", F.array(*(F.struct(F.lit(c).alias("column"), placed(c).alias("s")) for c in columns)).alias("parts"))
+    split = split.withColumn("words", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + F.size(x.s)))
+    each = split.select("node_id", "words", F.explode("parts").alias("part")).select("node_id", "words", "part.column", "part.s").where(F.size("s") > 0)
+    first = lambda i: (i == 1) | (F.get("s", i - 1).term != F.get("s", i - 2).term)
+    runs = each.withColumn("runs", F.concat(F.filter(F.sequence(F.lit(1), F.size("s")), first), F.array(F.size("s") + 1)))
+    run = lambda k: F.struct(F.get("s", F.get("runs", k) - 1).term.alias("term"), F.slice("s", F.get("runs", k), F.get("runs", k + 1) - F.get("runs", k)).p.alias("at"))
+    made = F.transform(F.sequence(F.lit(0), F.size("runs") - 2), run)
+    return runs.select("node_id", "column", "words", F.inline(made)).select("node_id", "column", "term", "at", "words")
+
+
 def lengths(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """(node_id, words) of every document, those without a word among them."""
     counted = postings.groupBy("node_id").agg(F.sum("tf").alias("words"))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.buckets import BUCKETS, Buckets
-from ..sources.session import checkpoint
-from .fulltext import Query, index, lengths, rank_hits
+from ..sources.session import checkpoint, tidy
+from .fulltext import Query, rank_hits, row_postings, word_counts
 
 FANOUT = 4
 #: First characters of a term by which it has its bucket; a search for starts that short or shorter reads all buckets.
@@ -52,8 +52,8 @@ class SegmentedIndex:
         return F.pmod(F.xxhash64(F.left(term, F.lit(LEAD))), F.lit(self.buckets)).cast("int")
 
     def _write(self, postings: DataFrame, segment: int) -> None:
-        rows = postings.select("node_id", "column", "term", "tf", "at", "words").withColumn("bucket", self._bucket(F.col("term")))
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/segments/segment={segment}")
+        rows = postings.select("node_id", "column", "term", "at", "words").withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", "bucket")
+        rows.select("node_id", "column", "term", F.size("at").cast("long").alias("tf"), "at", "words", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/segments/segment={segment}")
 
     def _say(self, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, _CHANGES).coalesce(1).write.mode("append").parquet(f"{self.folder}/changes")
@@ -69,11 +69,14 @@ class SegmentedIndex:
         return rows.join(gone, ["segment", "node_id"], "left_anti")
 
     def update(self, changed: DataFrame, removed: DataFrame | None = None) -> None:
-        """Take in documents (node_id and the columns), new or in place of what they were; removed ids (node_id) go."""
+        """Take in documents (node_id, each once, and the columns), new or in place of what they were; removed ids (node_id) go."""
+        with tidy(self.spark):
+            self._update(changed, removed)
+
+    def _update(self, changed: DataFrame, removed: DataFrame | None) -> None:
         number = self._next()
-        own = checkpoint(index(changed, self.columns))
-        sizes = checkpoint(lengths(own, changed))
-        self._write(own.join(sizes, "node_id"), number)
+        sizes = checkpoint(word_counts(changed, self.columns))
+        self._write(row_postings(changed, self.columns), number)
         ids = sizes.select("node_id")
         ids = checkpoint(ids if removed is None else ids.unionByName(removed.select("node_id")).distinct())
         buckets = self.documents.touched(ids)

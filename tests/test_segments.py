@@ -1,8 +1,10 @@
 """A segmented index against an index of all documents made anew."""
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import fulltext
 from loomgraph.operators.segments import SegmentedIndex
@@ -39,3 +41,25 @@ def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
     read = plan.split("PartitionFilters")[1].split("]")[0]
     assert len({b for b in range(16) if f"{b}" in read.replace(",", " ").replace(")", " ").replace("(", " ").split()}) <= 2
     assert sorted(r.node_id for r in kept.search("aaa OR bb*").collect()) == ["0", "1"]
+
+
+def test_postings_of_rows_are_those_of_the_index_without_shuffles_or_copies(spark, tmp_path):
+    rnd = random.Random(3)
+    text = lambda: rnd.choice((None, "", "x", "Über uber", " ".join(rnd.choices(("a", "B", "b", "é", "of-the", "10"), k=rnd.randint(1, 40)))))
+    docs = spark.createDataFrame([(f"d{k}", text(), text(), text()) for k in range(80)], DOC)
+    key = ["node_id", "column", "term", "at"]
+    made, want = fulltext.row_postings(docs), fulltext.index(docs)
+    assert sorted(map(tuple, made.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+    sizes = {r.node_id: r.words for r in fulltext.lengths(want, docs).collect()}
+    assert {r.node_id: r.words for r in fulltext.word_counts(docs).collect()} == sizes
+    assert {(r.node_id, r.words) for r in made.collect()} <= set(sizes.items())
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    # an update writes the segment and little besides: neither a second copy of the postings nor shuffle files stay
+    files = lambda folder: sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
+    local = lambda: {f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*")}
+    shared, kept = spark.sparkContext.getCheckpointDir().removeprefix("file:"), SegmentedIndex(spark, str(tmp_path / "index"), buckets=4)
+    large = spark.range(20).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("node_id"), F.lit(None).cast("string").alias("title"), F.expr("array_join(transform(sequence(1, 4000), k -> 'w' || hash(id, k)), ' ')").alias("description"), F.lit("").alias("rationale"))
+    before, held = local(), files(shared)
+    kept.update(large)
+    assert local() <= before and files(shared) - held < 200_000
+    assert spark.read.parquet(str(tmp_path / "index" / "segments")).count() > 79_000
